@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from gridloom.llm.packing import op6_packing
 from gridloom.llm.simhash import op8_simhash
+from gridloom.llm.substrings import op10_substrings
 
 QUERIES = {
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
