@@ -1,15 +1,59 @@
-"""Corpus pipeline: each stage works on all rows that the one before it kept."""
+"""Corpus pipeline: each stage works on all rows that the one before it kept.
+
+Languages that stay unknown go, one document of each near-duplicate group stays, personal data are replaced by their kinds,
+sources are mixed to their target weights, and the result is packed into training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from gridloom.llm.common import materialize
+from gridloom.llm.langid import identified
+from gridloom.llm.mixing import mixed_documents
+from gridloom.llm.packing import pack_documents
+from gridloom.llm.pii import redacted
+from gridloom.llm.simhash import keep_one
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redacted(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing", mixture),
+    ("packing", sequences),
+]
+
+#: Fingerprints, automata and the tokenizer are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed mixture: all stages over ``documents``, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs)
     return docs

@@ -180,6 +180,17 @@ def predict(docs: DataFrame, model: tuple, keep: tuple[str, ...] = ("doc_id",),
     return source.mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without those whose language stays unknown (no text, no letter); a null lang becomes the predicted one.
+
+    The model is learned from the rows of ``docs`` that have a lang. Columns and repeated rows stay as they are.
+    """
+    model = learn(docs.select("doc_id", "text", "lang"))
+    known = docs.select("text", F.struct("*").alias("row"))
+    found = predict(known, model, keep=("row",)).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def held_out() -> Column:
     """Documents that nothing is learned from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2

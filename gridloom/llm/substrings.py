@@ -263,3 +263,24 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return removals(table(spark, sf_dir, "documents", "doc_id", "text")).mapInArrow(digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT doc_id, p, hash(list_slice(words, p, p + 49)) AS h, md5(array_to_string(list_slice(words, p, p + 49), ' ')) AS m
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM docs)
+), firsts AS (
+  SELECT h, m, min(doc_id) AS least FROM windows GROUP BY h, m
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS at FROM windows JOIN firsts USING (h, m) WHERE least < doc_id
+), kept AS (
+  SELECT doc_id, count(w) AS n_kept, coalesce(string_agg(w, ' ' ORDER BY i), '') AS kept FROM (
+    SELECT d.doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM docs d
+  ) x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.i = g.at GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
