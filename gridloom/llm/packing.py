@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,15 +23,31 @@ TRIPLES = 20_000
 STEPS = 400
 
 
+#: Lower-case words that no normalisation changes and no pattern splits: ASCII and Latin-1 letters.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_MARKS = b".,!#%&*$|?;:"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids(dict):
     """Token ids of white-space delimited words as little-endian bytes. Two generations bound what it holds."""
 
-    def __init__(self, path: str, room: int = 250_000) -> None:
+    def __init__(self, path: str, room: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.room, self.old = Tokenizer.from_file(path), room, {}
+        self.model, letters = self.tokenizer.model, _byte_letters()
+        self.letters = {chr(b): letters[b] for b in range(256)}
+        probe = "größe"
+        self.plain = self._by_model(probe) == self._whole(probe)  # else the vocabulary is written in another way
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.old.get(word)
@@ -43,14 +60,22 @@ class Ids(dict):
             self[word] = found
         return found
 
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _by_model(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join([self.letters[c] for c in word.encode().decode("latin-1")]))]
+
     def _encode(self, word: bytes) -> bytes:
         if b"<|" not in word:  # else a control token may stand in it, in just this case
             low = word.lower()
             if low != word:
                 return self[low]
-            if len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalpha():  # ASCII letters; the mark is a token of its own
-                return self[word[:-1]] + self[word[-1:]]
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            body = word.rstrip(_MARKS)
+            if body and body != word and body[-1:].isalpha():  # after an ASCII letter, marks are a token run of their own
+                return self[body] + self[word[len(body) :]]
+        text = word.decode("utf-8", "replace")
+        ids = self._by_model(text) if self.plain and _PLAIN.fullmatch(text) else self._whole(text)
         return np.array(ids, "<u4").tobytes()
 
 
