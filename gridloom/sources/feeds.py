@@ -26,7 +26,11 @@ def _or_none(c: Column) -> Column:
 
 def a_levels(m: Column) -> Column:
     """Rows of one message of the A venue: a full book, or absolute changes. BUY is a bid, all else an ask."""
-    book = [F.transform(m[f"{s}s"], lambda x, s=s: _row("snapshot", m["asset_id"], F.lit(s), x["price"], x["size"])) for s in ("bid", "ask")]
+
+    def side(name: str) -> Column:
+        return F.transform(m[f"{name}s"], lambda x: _row("snapshot", m["asset_id"], F.lit(name), x["price"], x["size"]))
+
+    book = [side("bid"), side("ask")]
     changes = F.coalesce(m["price_changes"], m["changes"])
     change = F.transform(changes, lambda x: _row("absolute", F.coalesce(x["asset_id"], m["asset_id"]), F.when(x["side"] == "BUY", "bid").otherwise("ask"), x["price"], x["size"]))
     return F.when(m["event_type"] == "book", F.concat(*map(_or_none, book))).when(m["event_type"] == "price_change", _or_none(change)).otherwise(F.array().cast(LEVEL))
@@ -35,7 +39,11 @@ def a_levels(m: Column) -> Column:
 def b_levels(m: Column) -> Column:
     """Rows of one message of the B venue, whose books hold bids: ``ticker/yes`` and ``ticker/no``. A delta of an unknown side changes nothing, but counts as a message (null tick)."""
     x, ticker = m["msg"], m["msg"]["market_ticker"]
-    book = [F.transform(x[f"{s}_dollars_fp"], lambda v, s=s: _row("snapshot", F.concat(ticker, F.lit(f"/{s}")), F.lit("bid"), v[0], v[1])) for s in ("yes", "no")]
+
+    def outcome(name: str) -> Column:
+        return F.transform(x[f"{name}_dollars_fp"], lambda v: _row("snapshot", F.concat(ticker, F.lit(f"/{name}")), F.lit("bid"), v[0], v[1]))
+
+    book = [outcome("yes"), outcome("no")]
     known = x["side"].isin("yes", "no")
     delta = F.array(_row("delta", F.concat(ticker, F.lit("/"), F.when(known, x["side"]).otherwise("yes")), F.lit("bid"), F.when(known, x["price_dollars"]), F.when(known, x["delta_fp"])))
     return F.when(m["type"] == "orderbook_snapshot", F.concat(*map(_or_none, book))).when(m["type"] == "orderbook_delta", delta).otherwise(F.array().cast(LEVEL))
