@@ -80,14 +80,17 @@ class Alphabet:
 
 
 def parser(sample: bytes, alphabet: Alphabet) -> np.ndarray:
-    """2 * (next state * row width) + (1 if a new phrase begins) by state and class."""
-    step = automaton(alphabet.symbols(sample)[0].tolist())
-    width = alphabet.size
+    """2 * (next state * row width) + (1 if a new phrase begins) by state and class.
+
+    The last state stands before a text and after a symbol that the sample lacks: there any symbol begins a phrase.
+    """
+    step = [*automaton(alphabet.symbols(sample)[0].tolist()), {}]
+    width, outside = alphabet.size, len(step) - 1
     known = np.full((len(step), width), -1, np.int64)
     for s, to in enumerate(step):
         for c, t in to.items():
             known[s, c] = t
-    begin = np.where(known[0] >= 0, known[0], 0)
+    begin = np.where(known[0] >= 0, known[0], outside)
     out = np.where(known >= 0, known * width * 2, begin * width * 2 + 1)
     out[:, _PAD] = np.arange(len(step)) * width * 2
     return out.astype(np.int32).ravel()
@@ -116,8 +119,8 @@ def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[np.ndarray]) -
     owner = np.repeat(np.arange(len(bodies)), lanes)
     out = np.zeros((len(bodies), len(tables)), np.int64)
     for k, moves in enumerate(tables):
-        state = np.zeros(grid.shape[1], np.int32)
-        count = np.ones(grid.shape[1], np.int32)
+        state = np.full(grid.shape[1], len(moves) - alphabet.size, np.int32)
+        count = np.zeros(grid.shape[1], np.int32)
         for row in grid:
             state += row
             state = moves[state]
