@@ -124,18 +124,25 @@ def patterns(counts: np.ndarray, size: int) -> np.ndarray:
     rows = np.sort(np.concatenate([pairs, triples]), axis=1)[:, ::-1]
     rows = np.unique(rows[(rows[:, 1] > 0)], axis=0)
     rows = rows[(counts[rows] > 0)[:, :2].all(axis=1) & ((rows[:, 2] == 0) | (counts[rows[:, 2]] > 0))]
+    # all pairs stay; of the triples those that can be used most, ties in pseudorandom order
     fewest = np.where(rows > 0, counts[rows], np.iinfo(np.int64).max).min(axis=1)
-    return rows[np.argsort(-fewest, kind="stable")[: TRIPLES + size]]
+    triple = rows[:, 2] > 0
+    order = np.lexsort((rng.random(len(rows)), -fewest))
+    return np.concatenate([rows[order[~triple[order]]], rows[order[triple[order]]][:TRIPLES]])
 
 
 def fit(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Non-negative least squares of how often each pattern is used: multiplicative steps, which keep the sign."""
+    """Weighted non-negative least squares of how often each pattern is used: multiplicative steps, which keep the sign.
+
+    A residual counts by the square of its length, for short pieces still find room and long ones don't.
+    """
     present = (rows > 0).astype(float)
-    goal = counts.astype(float)
-    use = np.full(len(rows), 1.0)
+    goal = counts.astype(float) * np.square(np.arange(len(counts)) / len(counts))
+    use = np.where(rows[:, 2] == 0, np.where(rows > 0, counts[rows], counts.max()).min(axis=1) * 0.9, 1.0)
     up = (goal[rows] * present).sum(axis=1)
     for _ in range(STEPS):
         made = np.bincount(rows.ravel(), (present * use[:, None]).ravel(), minlength=len(counts))
+        made *= np.square(np.arange(len(counts)) / len(counts))
         use *= up / np.maximum((made[rows] * present).sum(axis=1), 1e-12)
     return use
 
