@@ -80,7 +80,8 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     # from a source's row to its slots in two steps, so that a large source's slots are made by many tasks
     chunk = 1 << 14
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk).cast("long"))))
-    parts = parts.repartition(F.col("source"), F.col("part"))
+    # a fixed number of partitions: these few rows are small, what they make is not
+    parts = parts.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("part"))
     own = F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("n"), (F.col("part") + 1) * chunk) - 1))
     made = parts.withColumn("j", own).withColumns({"slot": permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(seed)), "epoch": F.floor(F.col("j") / F.col("blocks")).cast("long"), "at": F.pmod("j", F.col("blocks"))})
     whole = F.floor(F.col("source_size") / block).cast("long")
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
     rows = laid.alias("l").join(plan.alias("p"), F.col("l.source").eqNullSafe(F.col("p.source")), "left").select("l.*", "p.target")
     first, last = F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("long")
     held = laid.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    made = slots(plan, block, shard_slots, seed)
+    made = slots(plan, block, shard_slots, seed).hint("merge")  # as many rows as the mix has blocks: never to be broadcast
     met = held.alias("h").join(made.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")) & (F.col("h.block") == F.col("s.block")))
     met = met.select("slot", "shard", "epoch", *(f"h.{c}" for c in keys), "h.begin", (F.greatest(F.col("begin"), F.col("h.block") * block) - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), F.col("h.block") * block + F.col("s.words")) - F.col("begin")).alias("until"))
     return rows, met.where(F.col("until") > F.col("from")).withColumn("words", F.col("until") - F.col("from")).drop("until")
