@@ -11,6 +11,7 @@ from gridloom.functions import text as X
 from gridloom.functions import values as V
 from gridloom.operators import align, merge
 from gridloom.sources import markets
+from gridloom.sources.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     keys = found.select("event", "a_event_id", "b_event_ticker")
     a = markets.a_markets(a_landed, strategy).withColumnRenamed("event_id", "a_event_id").join(keys, "a_event_id").withColumn("title", F.col("question"))
     b = markets.b_markets(b_landed).withColumnRenamed("event_id", "b_event_ticker").join(keys, "b_event_ticker").withColumn("sub_title", F.col("yes_sub_title"))
-    a, b, found = a.persist(), b.persist(), found.persist()  # each is read several times below
+    a, b, found = materialize(a), materialize(b), materialize(found)  # each is read several times below
     counts = a.groupBy("event").agg(F.count("*").alias("n_a")).join(b.groupBy("event").agg(F.count("*").alias("n_b")), "event")
     single = counts.where("n_a = 1 and n_b = 1").select("event")
     many = counts.where("n_a > 1 or n_b > 1").select("event")
@@ -57,7 +58,7 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     left, right = (x.join(many, "event", "left_semi") for x in (a, b))
     left = align.with_entities(left.withColumn("side", F.lit("a")), s)
     right = align.b_entities(right, s)
-    scores = align.candidates(left, right, s)
+    scores = materialize(align.candidates(left, right, s))
     chosen = align.assign(scores).drop("score").join(scores, ["event", "a_idx", "b_idx"])
     aligned.append(chosen.select("event", "a_idx", "b_idx", F.bround("score", 3).alias("score"), "a_entity", "b_entity").withColumn("alignment_type", F.lit("entity_match")))
     pairs = merge.union_all(aligned)
@@ -70,6 +71,7 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     pairs = pairs.join(found, "event")
     if s.category:
         pairs = pairs.withColumn("category", F.lit(s.category))
+    pairs = materialize(pairs)
     none = found.join(pairs.select("event").distinct(), "event", "left_anti").select("a_event_id", "b_event_ticker", F.lit("alignment").alias("stage"), F.lit("no pairs").alias("error"))
     if s.pair_dedup:
         pairs = merge.dedup_pairs(pairs, ["a_yes_token"])
