@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and the five ASCII control blanks; ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN: dict[str, str] = {}
-_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,34 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if there:
-        return there.rstrip("/")
-    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gridloom-"))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and lost executors cost nothing.
-
-    The files go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop_tables() -> None:
-    for spark, path in _TABLES:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            return
+def few(df: DataFrame, bound: int) -> bool:
+    """Whether ``df`` has at most ``bound`` rows: the check that goes before each broadcast."""
+    return df.limit(bound + 1).count() <= bound
 
 
 def n_words(text: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import WORD, materialize, n_words, row_key, table
+from gridloom.llm.common import WORD, n_words, row_key, table
+from gridloom.sources.tables import materialize
 
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, SHARD_SLOTS, SEED = 256, 1024, 17

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import materialize, table, texts
+from gridloom.llm.common import table, texts
+from gridloom.sources.tables import materialize
 
 #: Piece lengths are ranked within (length, bucket), so that a length that most pieces share is no single task.
 RANK_BUCKETS = 1024

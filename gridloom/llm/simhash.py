@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, row_key, table, texts
+from gridloom.llm.common import row_key, table, texts
 from gridloom.llm.components import components
+from gridloom.sources.tables import materialize
 
 BITS, BLOCK = 64, 16
 
