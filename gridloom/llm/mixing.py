@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import WORD, n_words, row_key, table
+from gridloom.llm.common import WORD, few, n_words, row_key, table
 from gridloom.sources.tables import materialize
 
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, SHARD_SLOTS, SEED = 256, 1024, 17
 #: Rows of a source are ordered within such hash buckets, so that a source with a third of all rows is no single task.
 BUCKETS = 1024
+#: The targets of at most so many sources are broadcast.
+BROADCAST_SOURCES = 10_000
 _ROUNDS = 12
 
 
@@ -102,7 +104,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
     keys = [c for c in docs.columns if c not in ("source", "size")]
     laid = materialize(layout(docs, block, seed))
     plan = materialize(targets(laid.groupBy("source").agg(F.max("source_size").alias("source_size"))))
-    rows = laid.alias("l").join(plan.alias("p"), F.col("l.source").eqNullSafe(F.col("p.source")), "left").select("l.*", "p.target")
+    known = F.broadcast(plan) if few(plan, BROADCAST_SOURCES) else plan
+    rows = laid.alias("l").join(known.alias("p"), F.col("l.source").eqNullSafe(F.col("p.source")), "left").select("l.*", "p.target")
     first, last = F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block).cast("long")
     held = laid.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     made = slots(plan, block, shard_slots, seed).hint("merge")  # as many rows as the mix has blocks: never to be broadcast

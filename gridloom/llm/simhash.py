@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, keep: tupl
     roots = components(near_links(own.select("fp"), budget)).withColumnRenamed("node", "fp")
     linked = own.join(roots, "fp")
     component = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    by_fp = own.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges: then Spark splits the fingerprint of a large group of copies
+    by_fp = materialize(own.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(by_fp, "fp", "left").select(*keep, "fp", "component_id")
 
 

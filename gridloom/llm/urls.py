@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import few, table
 
 #: (rule, verdict). A rule is a host and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -65,8 +65,7 @@ def with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """``rows`` with the count and the smoothed share of blocked URLs of their suffix, over all labelled rows."""
     stats = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
     stats = stats.select("suffix", F.log2(F.col("n") + 1).alias("suffix_count"), ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
-    few = stats.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
-    return rows.join(F.broadcast(stats) if few else stats, "suffix", "left").fillna({"suffix_count": 0.0, "suffix_rate": 0.5})
+    return rows.join(F.broadcast(stats) if few(stats, BROADCAST_SUFFIXES) else stats, "suffix", "left").fillna({"suffix_count": 0.0, "suffix_rate": 0.5})
 
 
 class Trees:
