@@ -59,13 +59,19 @@ def is_placeholder(e: Column, strategy: str) -> Column:
     return F.lower(F.trim(e)).rlike(rf"^(?:(?:{nouns})\s+[a-z0-9]{{1,3}}|{whole})$")
 
 
-def similarity(a: Column, b: Column, s: V.Strategy) -> Column:
+def token_sets(e: Column) -> tuple[Column, Column]:
+    """The distinct tokens of an entity, and those that are digits."""
+    distinct = F.array_distinct(split_tokens(e))
+    return distinct, F.filter(distinct, is_digits)
+
+
+def similarity(a: Column, b: Column, s: V.Strategy, sets: tuple[Column, Column, Column, Column] | None = None) -> Column:
     """Overlap coefficient of the token sets, 1 for equal entities, 0 where a guard of the strategy speaks against it.
 
-    The larger of Jaccard and overlap is always the overlap, as a union is no smaller than the shorter side.
+    The larger of Jaccard and overlap is always the overlap, as a union is no smaller than the shorter side. ``sets`` are the
+    token sets of both, where they are columns already.
     """
-    x, y = (F.array_distinct(split_tokens(e)) for e in (a, b))
-    xd, yd = (F.filter(t, is_digits) for t in (x, y))
+    x, xd, y, yd = sets or (*token_sets(a), *token_sets(b))
     shared = F.size(F.array_intersect(x, y))
     short, long = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
     guards = []
@@ -75,8 +81,8 @@ def similarity(a: Column, b: Column, s: V.Strategy) -> Column:
         compare = words(V.DIRECTIONAL)
         guards += [F.arrays_overlap(t, compare) & (F.size(d) > 0) for t, d in ((x, xd), (y, yd))]
     if s.digit_divergence:
-        same = [F.array_sort(F.array_except(t, d)) for t, d in ((x, xd), (y, yd))]
-        guards.append((same[0] == same[1]) & (F.size(xd) > 0) & (F.size(yd) > 0) & (F.array_sort(xd) != F.array_sort(yd)))
+        same = [F.sort_array(F.array_except(t, d)) for t, d in ((x, xd), (y, yd))]
+        guards.append((same[0] == same[1]) & (F.size(xd) > 0) & (F.size(yd) > 0) & (F.sort_array(xd) != F.sort_array(yd)))
     guards.append(short < 2)
     if s.bundle_from is not None:
         guards.append((short >= s.bundle_from) & (shared > 0) & (long - shared >= 2 * shared))

@@ -12,22 +12,22 @@ from gridloom.functions import values as V
 
 
 def shared_tokens(titles: DataFrame) -> DataFrame:
-    """(event, side, n, shared): the titles of a side and the tokens that all of them have.
+    """(event, side, n, shared) of ``titles(event, side, tokens)``: the titles of a side and the tokens that all of them have.
 
-    The least and the greatest count decide, so the shuffle carries token counts, no titles.
+    One scan: an empty token stands for the title itself, so its count is the number of titles, the largest of all. The
+    shuffles carry tokens and counts, no titles.
     """
-    marked = titles.select("event", "side", F.array_distinct(X.tokens(F.col("title"))).alias("tokens"))
-    n = marked.groupBy("event", "side").agg(F.count("*").alias("n"))
-    counts = marked.select("event", "side", F.explode("tokens").alias("token")).groupBy("event", "side", "token").agg(F.count("*").alias("df"))
-    common = counts.join(n, ["event", "side"]).where(F.col("df") == F.col("n")).groupBy("event", "side").agg(F.array_sort(F.collect_set("token")).alias("shared"))
-    return n.join(common, ["event", "side"], "left")
+    each = titles.select("event", "side", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
+    counts = each.groupBy("event", "side", "token").agg(F.count("*").alias("df"))
+    common = counts.withColumn("n", F.max("df").over(Window.partitionBy("event", "side"))).where(F.col("df") == F.col("n"))
+    return common.groupBy("event", "side").agg(F.max("n").alias("n"), F.array_remove(F.sort_array(F.collect_set("token")), "").alias("shared"))
 
 
 def with_entities(titles: DataFrame, s: V.Strategy) -> DataFrame:
     """``titles(event, side, idx, title, ..)`` with n, the titles of the side, and entity."""
-    shared = shared_tokens(titles)
-    alone = F.col("n") == 1
-    return titles.join(shared, ["event", "side"]).withColumn("entity", X.entity(X.tokens(F.col("title")), F.col("shared"), alone, s.stop)).drop("shared")
+    titles = titles.withColumn("tokens", X.tokens(F.col("title")))
+    joined = titles.join(shared_tokens(titles), ["event", "side"])
+    return joined.withColumn("entity", X.entity(F.col("tokens"), F.col("shared"), F.col("n") == 1, s.stop)).drop("shared", "tokens")
 
 
 def b_entities(b: DataFrame, s: V.Strategy) -> DataFrame:
@@ -52,9 +52,11 @@ def candidates(a: DataFrame, b: DataFrame, s: V.Strategy, least: float = V.Thres
     left = a.where(F.col("entity") != "")
     if s.anonymous:
         left = left.where(~X.is_placeholder(F.col("entity"), s.name))
-    left = left.select("event", F.col("idx").alias("a_idx"), F.col("entity").alias("a_entity"))
-    right = b.where(F.col("entity") != "").select("event", F.col("idx").alias("b_idx"), F.col("entity").alias("b_entity"))
-    return left.join(right, "event").withColumn("score", X.similarity(F.col("a_entity"), F.col("b_entity"), s)).where(F.col("score") >= least)
+    # token sets are made once a title, before the join pairs it with many
+    sides = [rows.select("event", F.col("idx").alias(f"{k}_idx"), F.col("entity").alias(f"{k}_entity"), *(c.alias(n) for n, c in zip((f"{k}_set", f"{k}_digits"), X.token_sets(F.col("entity")), strict=True))) for k, rows in (("a", left), ("b", b.where(F.col("entity") != "")))]
+    sets = tuple(F.col(c) for c in ("a_set", "a_digits", "b_set", "b_digits"))
+    scored = sides[0].join(sides[1], "event").withColumn("score", X.similarity(F.col("a_entity"), F.col("b_entity"), s, sets))
+    return scored.where(F.col("score") >= least).drop("a_set", "a_digits", "b_set", "b_digits")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
