@@ -81,7 +81,7 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     one = Window.partitionBy(F.lit(0))
     rows = rows.withColumns({"first": F.sum("n").over(one.orderBy(F.col("source").asc_nulls_last())) - F.col("n"), "all": F.sum("n").over(one)})
     # from a source's row to its slots in two steps, so that a large source's slots are made by many tasks
-    chunk = 1 << 14
+    chunk = 1 << 17
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk).cast("long"))))
     # a fixed number of partitions: these few rows are small, what they make is not
     parts = parts.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("part"))

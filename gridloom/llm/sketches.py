@@ -14,8 +14,8 @@ from gridloom.llm.common import row_key, table
 
 WIDTH, SIZE = 5, 128
 BLANKS, GAP = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
-#: Ranges of ids within which neighbours are found.
-ROWS_A_RANGE, MOST_RANGES = 500, 1024
+#: Ranges of ids within which neighbours are found: cut at quantiles, and these cut evenly where more are needed.
+ROWS_A_RANGE, QUANTILES, MOST_PARTS = 500, 1024, 128
 _LEAST = -(2**63)
 
 
@@ -59,28 +59,35 @@ def merge(parts: DataFrame, *key: str, column: str = "sketch", size: int = SIZE)
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with range and halo: descending doc_id within a range, each range followed by the row after it.
 
-    Ties go by a hash of the text, null ids come last. The row after the last is the first. Ranges are cut at quantiles of
-    the ids; of each, just the first id comes to the driver, for at most ``MOST_RANGES`` ranges. The texts move once.
+    Ties go by a hash of the text, null ids come last. The row after the last is the first. The texts move once. Of each
+    range the first id is broadcast, for at most ``QUANTILES * MOST_PARTS`` ranges, whatever the input.
     """
     ids = docs.select("doc_id")
     unique = ids.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = docs.withColumns({"at": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "key": F.lit(0).cast("long") if unique else row_key(F.col("text"))})
-    n = min(MOST_RANGES, max(1, ids.count() // ROWS_A_RANGE))
-    cuts = rows.agg(F.percentile_approx("at", [k / n for k in range(1, n)] or [0.5], F.lit(20 * MOST_RANGES))).head()[0] or []
-    bounds = F.array(*(F.lit(int(c)).cast("long") for c in sorted(set(cuts)))) if n > 1 else F.array().cast("array<bigint>")
-    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda c: c < F.col("at"))))
-    cells = rows.groupBy("range").agg(F.max(F.struct("at", F.bitwise_not("key").alias("key"))).alias("first")).orderBy(F.desc("range")).collect()
-    if not cells:
-        return rows.withColumn("halo", F.lit(False))
-    # the first row of a range also follows the last row of the range before it in descending order
-    before = {c["range"]: cells[i - 1]["range"] for i, c in enumerate(cells)}
-    firsts = F.create_map(*(F.lit(x) for c in cells for x in (c["range"], c["first"]["at"])))
-    keys = F.create_map(*(F.lit(x) for c in cells for x in (c["range"], ~c["first"]["key"])))
-    to = F.create_map(*(F.lit(x) for a, b in before.items() for x in (a, b)))
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("halo"))
-    also = F.struct(F.element_at(to, F.col("range")).alias("range"), F.lit(True).alias("halo"))
-    leads = (F.col("at") == F.element_at(firsts, F.col("range"))) & (F.col("key") == F.element_at(keys, F.col("range")))
-    return rows.withColumn("in", F.explode(F.when(leads, F.array(own, also)).otherwise(F.array(own)))).withColumns({"range": F.col("in.range"), "halo": F.col("in.halo")}).drop("in")
+    wanted = max(1, ids.count() // ROWS_A_RANGE)
+    n, parts = min(QUANTILES, wanted), min(MOST_PARTS, -(-wanted // QUANTILES))
+    at = F.col("at")
+    cuts, low, high = rows.agg(F.percentile_approx("at", [k / n for k in range(1, n)] or [0.5], F.lit(20 * QUANTILES)), F.min("at"), F.max("at")).head()
+    bounds = sorted({int(c) for c in cuts}) if n > 1 and cuts else []
+    rows = rows.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda c: c < at)))
+    if parts > 1:
+        edges = F.array(*(F.lit(float(x)) for x in [low, *bounds, high]))
+        since, until = edges[F.col("cell")], edges[F.col("cell") + 1]
+        part = F.floor((at.cast("double") - since) / (until - since + 1) * parts).cast("int")
+        rows = rows.withColumn("range", F.col("cell") * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)))
+    else:
+        rows = rows.withColumn("range", F.col("cell"))
+    cells = rows.groupBy("range").agg(F.max(F.struct("at", F.bitwise_not("key").alias("key"))).alias("first"))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("range"))
+    # the first row of a range also follows the last row of the range before it in descending order, round to the first
+    to = F.coalesce(F.lag("range").over(down), F.min("range").over(Window.partitionBy(F.lit(0))))
+    cells = cells.select("range", F.col("first.at").alias("first_at"), F.bitwise_not("first.key").alias("first_key"), to.alias("to"))
+    own = F.struct(F.col("range"), F.lit(False).alias("halo"))
+    also = F.struct(F.col("to").alias("range"), F.lit(True).alias("halo"))
+    leads = (at == F.col("first_at")) & (F.col("key") == F.col("first_key"))
+    rows = rows.join(F.broadcast(cells), "range").withColumn("in", F.explode(F.when(leads, F.array(own, also)).otherwise(F.array(own))))
+    return rows.select(*docs.columns, "at", "key", "in.range", "in.halo")
 
 
 def edited_pairs(docs: DataFrame, size: int = SIZE, width: int = WIDTH) -> DataFrame:

@@ -378,6 +378,23 @@ def test_op9(spark, rows):
         assert (g.fingerprint == got[after.doc_id].fingerprint) == (shingles_of(t) == shingles_of(after.text))
 
 
+@pytest.mark.parametrize(("quantiles", "rows_a_range"), [(1024, 500), (1024, 7), (4, 5), (1, 1)])
+def test_op9_next(spark, monkeypatch, quantiles, rows_a_range):
+    """The row after each, over few and many ranges of uneven ids, ties and a null."""
+    monkeypatch.setattr(sketches, "QUANTILES", quantiles)
+    monkeypatch.setattr(sketches, "ROWS_A_RANGE", rows_a_range)
+    ids = sorted({*random.Random(1).sample(range(-(10**12), 10**12), 150), *range(40), 10**15, -(2**62)}, reverse=True)
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "null")], "doc_id bigint, text string").repartition(3)
+    by, after = {}, {}
+    for r in sketches.with_next(docs).collect():
+        by.setdefault(r.range, []).append(r)
+    for found in by.values():
+        found.sort(key=lambda r: (r.halo, -r["at"]))
+        after |= {a.doc_id: b.doc_id for a, b in zip(found, found[1:], strict=False) if not a.halo}
+    order = [*ids, None]
+    assert after == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_op9_estimates(spark):
     a, b = " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(1000, 3000))
     df = spark.createDataFrame([(0, a), (1, b)], "k int, text string").withColumn("sketch", sketches.sketch(F.col("text")))
