@@ -31,7 +31,7 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     """
 
     def step(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.xxhash64(r, *key) - x, n)
+        mirror = F.pmod(F.xxhash64(r, *key).bitwiseAND(F.lit((1 << 62) - 1)) - x, n)  # masked: the difference can't overflow
         return F.when(F.xxhash64(F.greatest(x, mirror), r, *key).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
 
     return F.when(n > 1, F.reduce(F.sequence(F.lit(1), F.lit(_ROUNDS)), x, step)).otherwise(x)
