@@ -78,3 +78,9 @@ def oversum(best_bids: DataFrame, markets: DataFrame, threshold: float, least: i
     rows = markets.where(F.coalesce("event", F.lit("")) != "").select("event", "book").distinct().join(best_bids.select("book", "price"), "book", "left")
     out = rows.groupBy("event").agg(F.count("*").alias("n_markets"), F.count("price").alias("counted"), F.coalesce(F.sum("price"), F.lit(0.0)).alias("total"))
     return out.withColumn("is_oversum", (F.col("n_markets") >= least) & (F.col("counted") >= least) & (F.col("total") > threshold))
+
+
+def active(known: DataFrame, log: DataFrame) -> DataFrame:
+    """(n_books, n_active): how many of the ``known(book)`` books the log has updated."""
+    seen = log.select("book").distinct().withColumn("seen", F.lit(True))
+    return known.select("book").distinct().join(seen, "book", "left").agg(F.count("*").alias("n_books"), F.count_if(F.col("seen").isNotNull()).alias("n_active"))

@@ -95,6 +95,21 @@ def market_json(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("event_id").cast("bigint").alias("idx"), "question", "yes_token", "no_token")
 
 
+@query("open_markets", """
+SELECT p_partkey AS idx, 'K-' || CAST(p_partkey AS VARCHAR) AS ticker, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS yes_sub_title, CASE p_partkey % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'active' ELSE 'unopened' END AS status
+FROM part WHERE p_partkey % 5 < 3""")
+def open_markets(spark: SparkSession, d: str) -> DataFrame:
+    from gridloom.sources import markets
+
+    k = F.col("p_partkey")
+    status = F.element_at(X.words(["open", "active", "unopened", "closed", "settled"]), (k % 5 + 1).cast("int"))
+    market = F.struct(F.concat(F.lit("K-"), k.cast("string")).alias("ticker"), F.col("p_name").alias("title"), F.when(k % 2 == 0, F.col("p_type")).alias("yes_sub_title"), status.alias("status"))
+    body = F.struct(F.array(market).alias("markets"))
+    wrapped = F.when(k % 3 == 0, F.to_json(F.struct(body.alias("event")))).otherwise(F.to_json(body))
+    rows = I.read(spark, d, "part").select(k.cast("string").alias("event_id"), wrapped.alias("body"))
+    return markets.b_markets(rows).select(F.col("event_id").cast("bigint").alias("idx"), "ticker", "title", "yes_sub_title", "status")
+
+
 # ---- text ----
 
 
@@ -453,6 +468,13 @@ def oversum(spark: SparkSession, d: str) -> DataFrame:
     return books.oversum(best, markets, T.oversum, T.oversum_markets).drop("total")
 
 
+@query("active_books", f"""WITH {I.MESSAGES}, known AS (SELECT DISTINCT user_id AS book FROM events UNION SELECT user_id + 100000 FROM events)
+SELECT count(*) AS n_books, count(*) FILTER (book IN (SELECT book FROM messages)) AS n_active FROM known""")
+def active_books(spark: SparkSession, d: str) -> DataFrame:
+    log = I.messages(spark, d)
+    return books.active(log.select("book").union(log.select(F.col("book") + 100_000)), log)
+
+
 _PAIRS = f"""{I.MESSAGES}, pairs AS (SELECT DISTINCT user_id AS pair, user_id AS a_book, user_id + 1 AS b_book FROM events),
  legs AS (SELECT a_book AS book, pair, 'a' AS leg FROM pairs UNION ALL SELECT b_book, pair, 'b' FROM pairs),
  touched AS (SELECT m.*, pair, leg FROM messages m JOIN legs USING (book)),
