@@ -1,4 +1,4 @@
-"""Dates as text, and how long a position is locked."""
+"""Dates as text, and how long a position is locked. The session's zone is UTC."""
 
 from __future__ import annotations
 
@@ -27,7 +27,3 @@ def resolution(a: Column, b: Column, as_of: Column, cap: float = Thresholds.date
 def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
 
-
-def staleness(eval_ms: Column, last_ms: Column) -> Column:
-    """Age of a book in ms; one never updated is very old."""
-    return F.coalesce(eval_ms - last_ms, F.lit(999_999))

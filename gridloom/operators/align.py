@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,31 +63,36 @@ def candidates(a: DataFrame, b: DataFrame, s: V.Strategy, least: float = V.Thres
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """One-to-one assignment of ``pairs(event, a_idx, b_idx, score)``: best score first, ties by a_idx, then b_idx; both
-    sides are then taken. One fold over each event's sorted pairs."""
-    row = "struct<minus:double,a_idx:bigint,b_idx:bigint>"
-    edge = F.struct((-F.col("score")).alias("minus"), F.col("a_idx").cast("bigint").alias("a_idx"), F.col("b_idx").cast("bigint").alias("b_idx"))
+    """One-to-one assignment of ``pairs(event, a_idx, b_idx, score, ..)``: best score first, ties by a_idx, then b_idx; both
+    sides are then taken. Other columns stay. The sorted pairs of an event stream through; its taken sides are held."""
 
-    def step(done: Column, x: Column) -> Column:
-        clash = F.exists(done, lambda d: (d["a_idx"] == x["a_idx"]) | (d["b_idx"] == x["b_idx"]))
-        return F.when(clash, done).otherwise(F.array_append(done, x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        event, used_a, used_b = None, set(), set()
+        for batch in batches:
+            keep = []
+            for i, (e, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("event", "a_idx", "b_idx")), strict=True)):
+                if e != event:
+                    event, used_a, used_b = e, set(), set()
+                if a not in used_a and b not in used_b:
+                    used_a.add(a)
+                    used_b.add(b)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
 
-    sorted_ = pairs.groupBy("event").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    chosen = sorted_.select("event", F.explode(F.reduce("edges", F.array().cast(f"array<{row}>"), step)).alias("x"))
-    return chosen.select("event", "x.a_idx", "x.b_idx", (-F.col("x.minus")).alias("score"))
+    return pairs.repartition(F.col("event")).sortWithinPartitions("event", F.desc("score"), "a_idx", "b_idx").mapInArrow(run, pairs.schema)
 
 
 def assign_rounds(pairs: DataFrame) -> DataFrame:
     """The same result as ``assign`` for events with very many pairs: a pair that is best for both its ends is taken, its ends
-    leave, and so on. No event is gathered in one row; each round cuts its lineage."""
+    leave, and so on. No event is gathered in one task; each round cuts its lineage."""
     order = [F.desc("score"), "a_idx", "b_idx"]
-    left, out = pairs.select("event", "a_idx", "b_idx", "score").checkpoint(), None
+    left, out = pairs.checkpoint(), None
     while not left.isEmpty():
         first = [F.row_number().over(Window.partitionBy("event", side).orderBy(*order)) == 1 for side in ("a_idx", "b_idx")]
         taken = left.withColumns({"p": first[0], "q": first[1]}).where("p and q").drop("p", "q").checkpoint()
         out = taken if out is None else out.unionByName(taken)
         left = left.join(taken.select("event", "a_idx"), ["event", "a_idx"], "left_anti").join(taken.select("event", "b_idx"), ["event", "b_idx"], "left_anti").checkpoint()
-    return pairs.select("event", "a_idx", "b_idx", "score").limit(0) if out is None else out
+    return pairs.limit(0) if out is None else out
 
 
 def direct(a: DataFrame, b: DataFrame, s: V.Strategy) -> DataFrame:

@@ -1,48 +1,67 @@
 """Order books replayed from a log of messages: one row a level, exact whole numbers for ticks and sizes.
 
-A log has (book, seq, kind, side, tick, qty); seq orders it. A snapshot replaces its book. Absolute messages set a level, and
-remove it at or below 0. Deltas add to a level, which never falls below 0.
+A log has (book, seq, kind, side, tick, qty); seq orders it, and item and pos within a seq where the log has them. Rows that
+share seq and item are one message. A snapshot replaces its book: of a level that it names twice the last size above 0 counts; a
+row without a tick only clears. Absolute messages set a level, and remove it at or below 0. Deltas add to a level, which never
+falls below 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEVEL = ("book", "side", "tick")
+ORDER = ("seq", "item", "pos")
+
+
+def ordered(log: DataFrame) -> DataFrame:
+    """``log`` with item and pos, 0 where it has none."""
+    return log.withColumns({c: F.lit(0) for c in ORDER[1:] if c not in log.columns})
 
 
 def epochs(log: DataFrame) -> DataFrame:
-    """``log`` with epoch, the number of snapshot messages of the book so far (rows of one message share a seq)."""
-    upto = Window.partitionBy("book").orderBy("seq")
-    first = (F.col("kind") == "snapshot") & ~F.coalesce((F.lag("seq").over(upto) == F.col("seq")) & (F.lag("kind").over(upto) == "snapshot"), F.lit(False))
+    """``log`` with epoch, the number of snapshot messages of the book so far."""
+    log, upto = ordered(log), Window.partitionBy("book").orderBy(*ORDER)
+    same = (F.lag("seq").over(upto) == F.col("seq")) & (F.lag("item").over(upto) == F.col("item")) & (F.lag("kind").over(upto) == "snapshot")
+    first = (F.col("kind") == "snapshot") & ~F.coalesce(same, F.lit(False))
     return log.withColumn("first", first.cast("int")).withColumn("epoch", F.sum("first").over(upto.rowsBetween(Window.unboundedPreceding, 0))).drop("first")
 
 
 def absolute_state(log: DataFrame) -> DataFrame:
     """The levels (book, side, tick, size) that a log of snapshots and absolute messages leaves. Aggregations only."""
-    since = log.groupBy("book").agg(F.max(F.when(F.col("kind") == "snapshot", F.col("seq"))).alias("since"))
-    live = log.join(since, "book").where(F.col("since").isNull() | (F.col("seq") >= F.col("since")))
-    last = live.groupBy(*LEVEL).agg(F.max_by("qty", "seq").alias("size"))
+    log, message = ordered(log), F.struct("seq", "item")
+    since = log.groupBy("book").agg(F.max(F.when(F.col("kind") == "snapshot", message)).alias("since"))
+    live = log.join(since, "book").where(F.col("since").isNull() | (message >= F.col("since"))).where(_counts())
+    last = live.groupBy(*LEVEL).agg(F.max_by("qty", F.struct(*ORDER)).alias("size"))
     return last.where("size > 0")
 
 
+def _counts() -> Column:
+    """Rows that say something of a level."""
+    return F.col("tick").isNotNull() & ((F.col("kind") != "snapshot") | (F.col("qty") > 0))
+
+
 def delta_sizes(log: DataFrame) -> DataFrame:
     """``log`` with size, the level's size after each message, where all quantities are deltas to what the last snapshot left.
 
     The clamp at 0 is a reflected sum: with S the plain running sum, the size is S - min(0, the least S so far).
     """
-    run = Window.partitionBy(*LEVEL, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = epochs(log).withColumn("s", F.sum("qty").over(run))
+    run = Window.partitionBy(*LEVEL, "epoch").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    of, at, full = Window.partitionBy(*LEVEL, "epoch"), F.struct(*ORDER), F.col("kind") == "snapshot"
+    counts = F.coalesce(F.max(F.when(full & (F.col("qty") > 0), at)).over(of), F.max(F.when(full, at)).over(of))
+    marked = epochs(log).where("tick is not null").withColumn("counts", counts).where(~full | (at == F.col("counts"))).drop("counts")
+    marked = marked.withColumn("qty", F.when(full, F.greatest("qty", F.lit(0))).otherwise(F.col("qty")))
+    marked = marked.withColumn("s", F.sum("qty").over(run))
     return marked.withColumn("size", F.col("s") - F.least(F.lit(0), F.min("s").over(run))).drop("s")
 
 
 def delta_state(log: DataFrame) -> DataFrame:
     """The levels that a log of snapshots and deltas leaves."""
     sizes = delta_sizes(log)
-    last = sizes.groupBy(*LEVEL, "epoch").agg(F.max_by("size", "seq").alias("size"))
-    newest = sizes.groupBy("book").agg(F.max("epoch").alias("epoch"))
+    last = sizes.groupBy(*LEVEL, "epoch").agg(F.max_by("size", F.struct(*ORDER)).alias("size"))
+    newest = epochs(log).groupBy("book").agg(F.max("epoch").alias("epoch"))
     return last.join(newest, ["book", "epoch"]).where("size > 0").select(*LEVEL, "size")
 
 
@@ -59,6 +78,11 @@ def complement(bids: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, F.col("ask").alias("price")).agg(F.max_by("size", rows["price"]).alias("size"))
 
 
+def depth(levels: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and depth: how many levels a book has, as the depth gate counts them."""
+    return levels.groupBy(*keys).agg(F.count("*").alias("depth"))
+
+
 def vwap(levels: DataFrame, *keys: str, target: float, ascending: bool = True) -> DataFrame:
     """``keys``, vwap, cost and levels of walking ``levels(keys, price, size)`` until ``target`` dollars are filled.
 

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.dates import resolution
 from gridloom.functions.text import sure
@@ -26,14 +25,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def keep_first(rows: DataFrame, keys: list, order: list) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+def keep_first(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    """The row of each group that is least by ``order``, nulls first. An aggregate, which combines before it shuffles."""
+    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    return rows.groupBy(*named).agg(F.min_by(F.struct("*"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("__row")).select("__row.*")
 
 
 def dedup_pairs(pairs: DataFrame, tie: list[str]) -> DataFrame:
     """The pair with the best score of each (ticker, entity); a missing entity counts as ''. Ties go by the ``tie`` columns."""
-    return keep_first(pairs, [F.col("b_ticker"), F.coalesce("a_entity", F.lit(""))], [F.desc("score"), *tie])
+    return keep_first(pairs, [F.col("b_ticker"), F.coalesce("a_entity", F.lit(""))], [F.col("score").isNull(), -F.col("score"), *map(F.col, tie)])
 
 
 def dedup_events(events: DataFrame, s: Strategy) -> DataFrame:
@@ -43,7 +43,7 @@ def dedup_events(events: DataFrame, s: Strategy) -> DataFrame:
         events = events.where(~sure(F.contains(title, F.lit("More Markets"))))
     if s.country_guard:
         events = events.where(~sure((F.col("b_event_ticker") == GDP_TICKER) & title.rlike(GDP_DROPS)))
-    return keep_first(events, ["b_event_ticker"], ["ordinal"]) if s.event_dedup else events
+    return keep_first(events, [F.col("b_event_ticker")], [F.col("ordinal")]) if s.event_dedup else events
 
 
 def verified(pairs: DataFrame, verdicts: DataFrame, threshold: float = T.auto_accept) -> DataFrame:
@@ -67,6 +67,25 @@ def verdict_of(reply: Column) -> Column:
     return F.struct(verdict.alias("verdict"), F.coalesce(x["reason"], F.lit("")).alias("reason"), F.coalesce(x["a_identified"], F.lit("")).alias("a_identified"), F.coalesce(x["b_identified"], F.lit("")).alias("b_identified"))
 
 
+def verification_request(pairs: DataFrame) -> DataFrame:
+    """(pair_key, request): what an external verifier is asked about each pair, as JSON; long texts stop at 200 characters."""
+    fields = [F.substring(F.coalesce(c, F.lit("")), 1, 200).alias(c) for c in ("a_question", "b_title", "a_event_title", "b_event_title")]
+    entities = [F.coalesce(c, F.lit("")).alias(c) for c in ("a_entity", "b_entity")]
+    rules = F.lit("Do both contracts resolve on the same outcome? Identify each entity first, UNKNOWN if unsure. Answer in JSON with verdict MATCH or REJECT, reason, a_identified, b_identified; in doubt REJECT.")
+    return pairs.select("pair_key", F.to_json(F.struct(rules.alias("task"), *fields, *entities)).alias("request"))
+
+
+def verdict_log(pairs: DataFrame, replies: DataFrame, threshold: float = T.auto_accept) -> DataFrame:
+    """The nine columns of the log: pairs below ``threshold`` with the verdict of ``replies(pair_key, reply)``; no reply rejects."""
+    said = pairs.where(F.col("score") < threshold).join(replies, "pair_key", "left").withColumn("x", verdict_of(F.col("reply")))
+    return said.select(*(F.substring(c, 1, 100).alias(c) for c in ("a_question", "b_title")), "a_entity", "b_entity", "x.a_identified", "x.b_identified", "score", "x.verdict", "x.reason")
+
+
+def verdict_counts(log: DataFrame) -> DataFrame:
+    """n_match, n_reject and n_error of a verdict log."""
+    return log.agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v.lower()}") for v in ("MATCH", "REJECT", "ERROR")))
+
+
 def with_dates(pairs: DataFrame, as_of: Column) -> DataFrame:
     x = resolution(F.col("a_end_date"), F.col("b_expiration_time"), as_of)
     return pairs.withColumn("__x", x).select("*", "__x.*").drop("__x")

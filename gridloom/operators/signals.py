@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,19 +34,28 @@ def latest(touched: DataFrame) -> DataFrame:
 
 
 def ages(rows: DataFrame) -> DataFrame:
-    """a_ms and b_ms, the legs' ages at the message; a leg never seen is very old."""
-    return rows.withColumns({f"{k}_ms": F.coalesce(F.unix_millis("recv_ts") - F.unix_millis(f"{k}_ts"), F.lit(999_999_999_999)) for k in ("a", "b")})
+    """a_ms and b_ms, the legs' ages at the message; null for a leg never seen."""
+    return rows.withColumns({f"{k}_ms": F.unix_millis("recv_ts") - F.unix_millis(f"{k}_ts") for k in ("a", "b")})
 
 
 def cooled(signals: DataFrame, cooldown_ms: int) -> DataFrame:
-    """(pair, at) of the signals that fire: one within ``cooldown_ms`` of the last that fired does not. A fold by pair."""
-
-    def step(done: Column, x: Column) -> Column:
-        held = (F.size(done) > 0) & (x - F.try_element_at(done, F.lit(-1)) < cooldown_ms)
-        return F.when(F.coalesce(held, F.lit(False)), done).otherwise(F.array_append(done, x))
-
-    ordered = signals.groupBy("pair").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    return ordered.select("pair", F.explode(F.reduce("ats", F.array().cast("array<bigint>"), step)).alias("at"))
+    """(pair, at) of the signals that fire: one within ``cooldown_ms`` of the last that fired does not.
+
+    The sorted signals stream through; of a pair just the time of its last firing is held, however long its history.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, fired = None, None
+        for batch in batches:
+            keep = []
+            for i, (p, at) in enumerate(zip(batch.column("pair").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                if p != pair or fired is None or at - fired >= cooldown_ms:
+                    pair, fired = p, at
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    rows = signals.select("pair", F.col("at").cast("bigint").alias("at")).where("pair is not null and at is not null")
+    return rows.repartition(F.col("pair")).sortWithinPartitions("pair", "at").mapInArrow(run, rows.schema)
 
 
 def ledger(trades: DataFrame, target: float = T.target) -> DataFrame:

@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 AS_OF = "1998-01-01 00:00:00"
 YEAR = 2026
+_UTC: dict[str, SparkSession] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table. Its times have no zone and mean UTC, so the session is set to it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Its times have no zone and mean UTC, so it is read in a session of that zone; the caller's own stays as it is."""
+    return in_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_utc(spark: SparkSession) -> SparkSession:
+    """``spark`` if its zone is UTC, else a copy of it whose zone is."""
+    if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return spark
+    key = spark.sparkContext.applicationId
+    if key not in _UTC:
+        _UTC[key] = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+        _UTC[key].conf.set("spark.sql.session.timeZone", "UTC")
+    return _UTC[key]
 
 
 def level_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

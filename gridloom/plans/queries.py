@@ -14,6 +14,7 @@ from gridloom.functions import values as V
 from gridloom.functions.dates import iso_millis
 from gridloom.operators import align, books, merge, signals
 from gridloom.plans import inputs as I
+from gridloom.sources import feeds
 
 T = V.Thresholds()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,13 +189,17 @@ for _s in V.STRATEGIES:
     _score_query(_s)
 
 
-@query("greedy", f"""WITH {_pairs_sql('S2')}, sorted AS (
-  SELECT event, list([{{'a': a_idx, 'b': b_idx, 's': score}}] ORDER BY score DESC, a_idx, b_idx) AS c FROM pairs GROUP BY 1
+_FOLDED = """sorted AS (
+  SELECT event, list([{'a': a_idx, 'b': b_idx, 's': score}] ORDER BY score DESC, a_idx, b_idx) AS c FROM pairs GROUP BY 1
 ), folded AS (
   SELECT event, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a = x[1].a OR y.b = x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS e FROM sorted
-) SELECT event, e.a AS a_idx, e.b AS b_idx, round_even(e.s, 3) AS score FROM folded""")
+)"""
+_CONFLICT = f"((2025 + a.idx % 4) >= {I.YEAR} AND abs((2025 + a.idx % 4) - (24 + b.idx % 6 + 2000)) > 1)"
+
+
+@query("greedy", f"WITH {_pairs_sql('S2')}, {_FOLDED} SELECT event, e.a AS a_idx, e.b AS b_idx, round_even(e.s, 3) AS score FROM folded")
 def greedy(spark: SparkSession, d: str) -> DataFrame:
-    return align.assign(_candidates(spark, d, "S2")).withColumn("score", F.bround("score", 3))
+    return align.assign(_candidates(spark, d, "S2")).select("event", "a_idx", "b_idx", F.bround("score", 3).alias("score"))
 
 
 @query("direct_binary", f"""WITH {I.TITLES}, one AS (
@@ -300,9 +305,8 @@ def placeholders(spark: SparkSession, d: str) -> DataFrame:
 @query("union_dedup", f"""WITH {I.SCORED} SELECT strategy, b_ticker, a_entity, score, idx FROM (
   SELECT *, row_number() OVER (PARTITION BY b_ticker, coalesce(a_entity, '') ORDER BY score DESC, strategy, idx) AS nth FROM scored) WHERE nth = 1""")
 def union_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.scored(spark, d)
-    frames = [rows.where(F.col("strategy") == s) for s in V.STRATEGIES]
-    return merge.dedup_pairs(merge.union_all(frames), ["strategy", "idx"])
+    rows = I.scored(spark, d)  # one scan of all strategies' pairs; files of single strategies come by ``merge.union_all``
+    return merge.dedup_pairs(merge.union_all([rows]), ["strategy", "idx"])
 
 
 @query("score_bands", f"WITH {I.SCORED} SELECT count(*) FILTER (score = 1) AS exact, count(*) FILTER (score >= 0.75 AND score < 1) AS high, count(*) FILTER (score >= 0.5 AND score < 0.75) AS low FROM scored")
@@ -410,11 +414,13 @@ def time_value(spark: SparkSession, d: str) -> DataFrame:
     return I.read(spark, d, "orders").select(k.alias("idx"), x.alias("x")).select("idx", "x.reason", F.round("x.required", 9).alias("required"))
 
 
-@query("arbitrage", f"""WITH {_VWAP} SELECT market, round(cost, 6) AS cost, round(1 - cost, 6) AS profit FROM classed
-WHERE verdict = 'candidate' AND a_levels >= 1 AND b_levels >= 1 AND days >= 1
+@query("arbitrage", f"""WITH {_VWAP}, depths AS (SELECT market, count(*) FILTER (side = 'a') AS a_depth, count(*) FILTER (side = 'b') AS b_depth FROM levels GROUP BY 1)
+SELECT market, round(cost, 6) AS cost, round(1 - cost, 6) AS profit FROM classed JOIN depths USING (market)
+WHERE verdict = 'candidate' AND a_depth >= 2 AND b_depth >= 2 AND days >= 1
   AND 1 - cost >= 0.04::DOUBLE * (CASE WHEN capped THEN greatest(days, 1095.0::DOUBLE) ELSE days END / 365.0::DOUBLE)""")
 def arbitrage(spark: SparkSession, d: str) -> DataFrame:
-    rows = _legs(spark, d).where("verdict = 'candidate'").withColumn("profit", F.lit(1.0) - F.col("cost"))
+    deep = books.depth(I.level_rows(spark, d), "market", "side").where(F.col("depth") >= T.levels).groupBy("market").count().where("count = 2").select("market")
+    rows = _legs(spark, d).where("verdict = 'candidate'").join(deep, "market").withColumn("profit", F.lit(1.0) - F.col("cost"))
     ok = P.time_value(F.col("profit"), F.col("days"), F.col("capped"))["ok"]
     return rows.where(ok).select("market", F.round("cost", 6).alias("cost"), F.round("profit", 6).alias("profit"))
 
@@ -480,7 +486,7 @@ _PAIRS = f"""{I.MESSAGES}, pairs AS (SELECT DISTINCT user_id AS pair, user_id AS
  touched AS (SELECT m.*, pair, leg FROM messages m JOIN legs USING (book)),
  seen AS (SELECT *, last_value(CASE WHEN leg = 'a' THEN recv_ts END IGNORE NULLS) OVER w AS a_ts, last_value(CASE WHEN leg = 'b' THEN recv_ts END IGNORE NULLS) OVER w AS b_ts FROM touched
    WINDOW w AS (PARTITION BY pair ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- aged AS (SELECT *, coalesce(epoch_us(recv_ts) // 1000 - epoch_us(a_ts) // 1000, 999999999999) AS a_ms, coalesce(epoch_us(recv_ts) // 1000 - epoch_us(b_ts) // 1000, 999999999999) AS b_ms FROM seen)"""
+ aged AS (SELECT *, epoch_us(recv_ts) // 1000 - epoch_us(a_ts) // 1000 AS a_ms, epoch_us(recv_ts) // 1000 - epoch_us(b_ts) // 1000 AS b_ms FROM seen)"""
 STALE_MS, COOLDOWN_MS = 6 * 3_600_000, 24 * 3_600_000
 
 
@@ -495,9 +501,9 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
     return _aged(spark, d).groupBy("pair", "leg").agg(F.count("*").alias("n"))
 
 
-@query("as_of", f"WITH {_PAIRS} SELECT pair, seq, a_ms, b_ms FROM aged")
+@query("as_of", f"WITH {_PAIRS} SELECT pair, seq, coalesce(a_ms, -1) AS a_ms, coalesce(b_ms, -1) AS b_ms FROM aged")
 def as_of(spark: SparkSession, d: str) -> DataFrame:
-    return _aged(spark, d).select("pair", "seq", "a_ms", "b_ms")
+    return _aged(spark, d).select("pair", "seq", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("a_ms", "b_ms")))
 
 
 @query("counters", f"""WITH {_PAIRS} SELECT CASE WHEN a_ts IS NULL OR b_ts IS NULL THEN 'unseen' WHEN a_ms > {STALE_MS} OR b_ms > {STALE_MS} THEN 'stale' WHEN qty <= 0 THEN 'thin' ELSE 'signal' END AS outcome, count(*) AS n FROM aged GROUP BY 1""")
@@ -520,30 +526,152 @@ def cooldown(spark: SparkSession, d: str) -> DataFrame:
 # ---- whole pipelines ----
 
 
-@query("manifest", "")
+def _landed(rows: DataFrame, day: str) -> list[DataFrame]:
+    """Landed JSON of both venues' events, made of ``rows(event, side, idx, title, ticker)``."""
+    rows = rows.withColumn("question", F.col("title"))
+    a_market = F.struct("question", F.lit(False).alias("closed"), F.lit(True).alias("active"), F.to_json(F.array(F.concat(F.lit("y"), "idx"), F.concat(F.lit("n"), "idx"))).alias("clobTokenIds"), F.lit(day).alias("endDate"))
+    b_market = F.struct("ticker", "title", F.lit("active").alias("status"), F.lit(day).alias("expiration_time"))
+    return [rows.where(F.col("side") == k).groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", m.alias("m")))).alias("ms")).select(F.col("event").alias("event_id"), F.to_json(F.struct(F.col("ms.m").alias("markets"))).alias("body")) for k, m in (("a", a_market), ("b", b_market))]
+
+
+def _matches(rows: DataFrame, category: str, title: Column) -> DataFrame:
+    return rows.select(F.lit(category).alias("category"), F.col("event").alias("a_event_id"), title.alias("a_event_title"), F.col("event").alias("b_event_ticker"), F.col("event").alias("b_event_title")).distinct().withColumn("ordinal", F.xxhash64("a_event_id"))
+
+
+_DAY = "2026-11-03T00:00:00Z"
+
+
+@query("manifest", f"""WITH {_pairs_sql('S2')}, {_FOLDED}
+SELECT folded.event AS b_event_ticker, a.title AS a_question, b.ticker AS b_ticker, round_even(e.s, 3) AS score, 306.0::DOUBLE AS days_to_resolution, false AS date_capped
+FROM folded JOIN titles a ON a.idx = e.a JOIN titles b ON b.idx = e.b WHERE e.s >= 0.75 AND NOT {_CONFLICT}""")
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """Strategy S2 over landed JSON made from ``part``, then the manifest."""
     from gridloom.plans.resolve import build_manifest, resolve
 
-    rows = I.titles(spark, d).withColumn("question", F.col("title"))
-    day = F.lit("2026-11-03T00:00:00Z")
-    a_market = F.struct("question", F.lit(False).alias("closed"), F.lit(True).alias("active"), F.to_json(F.array(F.concat(F.lit("y"), "idx"), F.concat(F.lit("n"), "idx"))).alias("clobTokenIds"), day.alias("endDate"))
-    b_market = F.struct("ticker", "title", F.lit("active").alias("status"), day.alias("expiration_time"))
-    landed = [rows.where(F.col("side") == k).groupBy("event").agg(F.sort_array(F.collect_list(F.struct("idx", m.alias("m")))).alias("ms")).select(F.col("event").alias("event_id"), F.to_json(F.struct(F.col("ms.m").alias("markets"))).alias("body")) for k, m in (("a", a_market), ("b", b_market))]
-    matches = rows.select(F.lit("Sports").alias("category"), F.col("event").alias("a_event_id"), F.concat("event", F.lit(" vs all")).alias("a_event_title"), F.col("event").alias("b_event_ticker"), F.col("event").alias("b_event_title")).distinct().withColumn("ordinal", F.xxhash64("a_event_id"))
-    pairs = resolve(matches, *landed, "S2", I.YEAR).pairs
-    none = spark.createDataFrame([], "pair_key string, verdict string, reason string, a_identified string, b_identified string")
+    rows = I.titles(spark, d)
+    pairs = resolve(_matches(rows, "Sports", F.concat("event", F.lit(" vs all"))), *_landed(rows, _DAY), "S2", I.YEAR).pairs
+    none = pairs.select(F.lit("").alias("pair_key"), *(F.lit("").alias(c) for c in ("verdict", "reason", "a_identified", "b_identified"))).limit(0)
     out = build_manifest([pairs], none, F.lit("2026-01-01").cast("timestamp"))
     return out.select("b_event_ticker", "a_question", "b_ticker", "score", "days_to_resolution", "date_capped")
 
 
-ORACLE_SQL["manifest"] = f"""WITH {_pairs_sql('S2')}, sorted AS (
-  SELECT event, list([{{'a': a_idx, 'b': b_idx, 's': score}}] ORDER BY score DESC, a_idx, b_idx) AS c FROM pairs GROUP BY 1
-), folded AS (
-  SELECT event, unnest(list_reduce(c, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a = x[1].a OR y.b = x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS e FROM sorted
-) SELECT folded.event AS b_event_ticker, a.title AS a_question, b.ticker AS b_ticker, round_even(e.s, 3) AS score, 306.0::DOUBLE AS days_to_resolution, false AS date_capped
-FROM folded JOIN titles a ON a.idx = e.a JOIN titles b ON b.idx = e.b
-WHERE e.s >= 0.75 AND NOT ((2025 + a.idx % 4) >= {I.YEAR} AND abs((2025 + a.idx % 4) - (24 + b.idx % 6 + 2000)) > 1)"""
+def _resolve_query(s: str, category: str, title: str) -> None:
+    """All pairs of one strategy, whose event matches are found by ``category`` and, for S3, by a title that is no head-to-head."""
+
+    @query(f"resolve_{s.lower()}", f"""WITH {_pairs_sql(s)}, {_FOLDED}
+SELECT folded.event AS b_event_ticker, a.title AS a_question, b.ticker AS b_ticker, a.entity AS a_entity, b.entity AS b_entity, round_even(e.s, 3) AS score, 'entity_match' AS alignment_type
+FROM folded JOIN entities a ON a.idx = e.a JOIN entities b ON b.idx = e.b WHERE NOT {_CONFLICT}""")
+    def resolved(spark: SparkSession, d: str) -> DataFrame:
+        from gridloom.plans.resolve import resolve
+
+        rows = I.titles(spark, d)
+        other = _matches(rows, category, F.concat("event", F.lit(title))).unionByName(_matches(rows, "Other", F.lit("of no strategy")))
+        return resolve(other, *_landed(rows, _DAY), s, I.YEAR).pairs.select("b_event_ticker", "a_question", "b_ticker", "a_entity", "b_entity", "score", "alignment_type")
+
+
+for _s, _category, _title in (("S1", "Elections", " poll"), ("S3", "Sports", " award"), ("S5", "Companies", " earnings")):
+    _resolve_query(_s, _category, _title)
+
+
+@query("resolve_s4", f"""WITH {I.BRACKETS}, sided AS (SELECT event, side, count(*) FILTER (idx % 7 <> 6) * 10 > count(*) * 3 AS is_numeric FROM brackets GROUP BY 1, 2
+), numeric AS (SELECT event FROM sided GROUP BY 1 HAVING count(*) = 2 AND bool_and(is_numeric)
+), b AS (SELECT *, CASE WHEN idx % 3 <> 1 THEN p_size END AS lo, CASE WHEN idx % 3 = 0 THEN p_size + 5 WHEN idx % 3 = 1 THEN p_size END AS hi FROM brackets WHERE idx % 7 <> 6
+), met AS (SELECT x.event, x.idx AS a_idx, min(y.idx) AS b_idx, '(' || coalesce(CAST(x.lo AS VARCHAR) || '.0', 'None') || ', ' || coalesce(CAST(x.hi AS VARCHAR) || '.0', 'None') || ')' AS entity
+  FROM b x JOIN b y ON x.event = y.event AND x.side = 'a' AND y.side = 'b' AND x.lo IS NOT DISTINCT FROM y.lo AND x.hi IS NOT DISTINCT FROM y.hi JOIN numeric ON numeric.event = x.event GROUP BY x.event, x.idx, x.lo, x.hi
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY b_idx, entity ORDER BY 'y' || CAST(a_idx AS VARCHAR)) AS nth FROM met)
+SELECT r.event AS b_event_ticker, a.title AS a_question, 'K' || CAST(r.b_idx AS VARCHAR) AS b_ticker, r.entity AS a_entity, 1.0::DOUBLE AS score, 'exact_boundary' AS alignment_type FROM ranked r JOIN brackets a ON a.idx = r.a_idx WHERE nth = 1""")
+def resolve_s4(spark: SparkSession, d: str) -> DataFrame:
+    """The numeric route: brackets of both venues that have the same bounds."""
+    from gridloom.plans.resolve import resolve
+
+    rows = I.brackets(spark, d).withColumns({"ticker": F.concat(F.lit("K"), F.col("idx").cast("string"))})
+    found = resolve(_matches(rows, "Economics", F.concat("event", F.lit(" rate"))), *_landed(rows, _DAY), "S4", I.YEAR).pairs
+    return found.where("alignment_type = 'exact_boundary'").select("b_event_ticker", "a_question", "b_ticker", "a_entity", "score", "alignment_type")
+
+
+@query("resolve_errors", f"""WITH {_pairs_sql('S2')}, {_FOLDED}, paired AS (SELECT DISTINCT folded.event FROM folded JOIN titles a ON a.idx = e.a JOIN titles b ON b.idx = e.b WHERE NOT {_CONFLICT}),
+ sides AS (SELECT event, bool_or(side = 'a') AND length(event) % 2 = 0 AS has_a, bool_or(side = 'b') AS has_b FROM titles GROUP BY 1)
+SELECT event AS a_event_id, CASE WHEN NOT has_a THEN 'a_fetch' WHEN NOT has_b THEN 'b_fetch' ELSE 'alignment' END AS stage, CASE WHEN has_a AND has_b THEN 'no pairs' ELSE 'not landed' END AS error
+FROM sides WHERE NOT has_a OR NOT has_b OR event NOT IN (SELECT event FROM paired)""")
+def resolve_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The error side: events that were not landed, and those that gave no pairs."""
+    from gridloom.plans.resolve import resolve
+
+    rows = I.titles(spark, d)
+    a, b = _landed(rows, _DAY)
+    found = resolve(_matches(rows, "Sports", F.concat("event", F.lit(" vs all"))), a.where(F.length("event_id") % 2 == 0), b, "S2", I.YEAR)
+    return found.errors.select("a_event_id", "stage", "error")
+
+
+# ---- verdict log and feed messages ----
+
+
+@query("verdict_log", f"""WITH {I.SCORED} SELECT 'q' || CAST(idx AS VARCHAR) AS a_question, b_ticker AS b_title, coalesce(a_entity, '') AS a_entity, score,
+  CASE WHEN idx % 3 = 0 AND idx % 9 <> 0 THEN 'MATCH' ELSE 'REJECT' END AS verdict, CASE WHEN idx % 3 = 0 THEN 'same' ELSE '' END AS reason FROM scored WHERE score < 0.75""")
+def verdict_log(spark: SparkSession, d: str) -> DataFrame:
+    return _verdict_log(spark, d).select("a_question", "b_title", "a_entity", "score", "verdict", "reason")
+
+
+@query("verdict_counts", f"""WITH {I.SCORED} SELECT count(*) FILTER (idx % 3 = 0 AND idx % 9 <> 0) AS n_match, count(*) FILTER (idx % 3 <> 0 OR idx % 9 = 0) AS n_reject, 0::BIGINT AS n_error FROM scored WHERE score < 0.75""")
+def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
+    return merge.verdict_counts(_verdict_log(spark, d))
+
+
+def _verdict_log(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("idx")
+    rows = I.scored(spark, d).withColumns({"pair_key": k.cast("string"), "a_question": F.concat(F.lit("q"), k.cast("string")), "b_title": F.col("b_ticker"), "a_entity": F.coalesce("a_entity", F.lit("")), "b_entity": F.lit("e")})
+    says = F.struct(F.lit("MATCH").alias("verdict"), F.lit("same").alias("reason"), F.lit("x").alias("a_identified"), F.when(k % 9 == 0, "unknown").otherwise("x").alias("b_identified"))
+    return merge.verdict_log(rows, rows.where("idx % 3 = 0").select("pair_key", F.to_json(says).alias("reply")))
+
+
+@query("feed_levels", """WITH e AS (SELECT event_id AS k, user_id % 9 AS m FROM events), frames AS (SELECT k, m, k % 5 AS kind FROM e),
+ rows AS (
+  SELECT k, 0 AS item, 0 AS pos, 'snapshot' AS kind, 'A' || m AS book, 'bid' AS side, NULL::BIGINT AS tick, NULL::BIGINT AS qty FROM frames WHERE kind = 0
+  UNION ALL SELECT k, 0, 1, 'snapshot', 'A' || m, 'bid', 4000, 100 * (k % 7) FROM frames WHERE kind = 0 AND k % 2 = 0
+  UNION ALL SELECT k, 0, 2, 'snapshot', 'A' || m, 'bid', 4000, 100 * (k % 3) FROM frames WHERE kind = 0 AND k % 2 = 0
+  UNION ALL SELECT k, 0, 0, 'absolute', 'A' || m, 'bid', 100 * (40 + k % 4), 1000 FROM frames WHERE kind = 1
+  UNION ALL SELECT k, 0, 1, 'absolute', 'A' || m, 'bid', 100 * (40 + k % 4), 0 FROM frames WHERE kind = 1 AND k % 3 = 0
+  UNION ALL SELECT k, 1, 0, 'absolute', 'A' || m, 'ask', 6000, 250 FROM frames WHERE kind = 1
+  UNION ALL SELECT k, 0, 0, 'snapshot', 'M' || m || '/yes', 'bid', NULL, NULL FROM frames WHERE kind = 2
+  UNION ALL SELECT k, 0, 1, 'snapshot', 'M' || m || '/no', 'bid', NULL, NULL FROM frames WHERE kind = 2
+  UNION ALL SELECT k, 0, 2, 'snapshot', 'M' || m || '/no', 'bid', 3000 + k % 5, 500 FROM frames WHERE kind = 2 AND k % 4 > 0)
+SELECT k AS seq, item, pos, kind, book, side, coalesce(tick, -1) AS tick, coalesce(qty, -1) AS qty FROM rows""")
+def feed_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded frames: empty and one-sided books, levels named twice, lists of messages, sides in any case, malformed JSON."""
+    return feeds.decode(_frames(spark, d)).select("seq", "item", "pos", "kind", "book", "side", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("tick", "qty")))
+
+
+@query("feed_books", """WITH e AS (SELECT event_id AS k, 'A' || (user_id % 9) AS book FROM events),
+ clears AS (SELECT k, book FROM e WHERE k % 5 = 0), sets AS (
+  SELECT k, 0 AS item, 2 AS pos, book, 'bid' AS side, 4000 AS tick, 100 * CASE WHEN k % 3 > 0 THEN k % 3 ELSE k % 7 END AS qty FROM e WHERE k % 5 = 0 AND k % 2 = 0
+  UNION ALL SELECT k, 0, 1, book, 'bid', 100 * (40 + k % 4), CASE WHEN k % 3 = 0 THEN 0 ELSE 1000 END FROM e WHERE k % 5 = 1
+  UNION ALL SELECT k, 1, 0, book, 'ask', 6000, 250 FROM e WHERE k % 5 = 1),
+ live AS (SELECT s.* FROM sets s LEFT JOIN (SELECT book, max(k) AS since FROM clears GROUP BY 1) c USING (book) WHERE (since IS NULL OR k >= since) AND NOT (k % 5 = 0 AND qty <= 0))
+SELECT book, side, CAST(tick AS BIGINT) AS tick, CAST(arg_max(qty, k) AS BIGINT) AS size FROM live GROUP BY 1, 2, 3 HAVING arg_max(qty, k) > 0""")
+def feed_books(spark: SparkSession, d: str) -> DataFrame:
+    """The books of the first venue that those frames leave."""
+    return books.absolute_state(feeds.decode(_frames(spark, d).where("venue = 'a'"))).select("book", "side", "tick", "size")
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    e, k = I.read(spark, d, "events"), F.col("event_id")
+    m = F.col("user_id") % 9
+
+    def level(price: Column, size: Column, *more: Column) -> Column:
+        return F.struct(price.cast("string").alias("price"), size.cast("string").alias("size"), *more)
+
+    none = F.array().cast("array<struct<price:string,size:string>>")
+    a_id = F.concat(F.lit("A"), m.cast("string"))
+    full = F.struct(F.lit("book").alias("event_type"), a_id.alias("asset_id"), F.when(k % 2 == 0, F.array(level(F.lit("0.40"), k % 7), level(F.lit("0.4"), k % 3))).otherwise(none).alias("bids"))
+    price = (40 + k % 4) / 100
+    changed = [level(price, n, a_id.alias("asset_id"), F.lit(side).alias("side")) for n, side in ((F.lit("10"), "buy"), (F.lit("0"), "BUY"))]
+    change = F.struct(F.lit("price_change").alias("event_type"), F.when(k % 3 == 0, F.array(*changed)).otherwise(F.array(changed[0])).alias("price_changes"))
+    ask = F.struct(F.lit("price_change").alias("event_type"), F.array(level(F.lit("0.6"), F.lit("2.5"), a_id.alias("asset_id"), F.lit("SELL").alias("side"))).alias("changes"))
+    no = F.when(k % 4 > 0, F.array(F.array(((3000 + k % 5) / 10000).cast("string"), F.lit("5")))).otherwise(F.array().cast("array<array<string>>"))
+    snapshot = F.struct(F.lit("orderbook_snapshot").alias("type"), F.struct(F.concat(F.lit("M"), m.cast("string")).alias("market_ticker"), no.alias("no_dollars_fp")).alias("msg"))
+    listed = F.concat(F.lit("["), F.to_json(change), F.lit(","), F.to_json(ask), F.lit("]"))
+    body = F.when(k % 5 == 0, F.to_json(full)).when(k % 5 == 1, listed).when(k % 5 == 2, F.to_json(snapshot)).when(k % 5 == 3, "{broken").otherwise('{"event_type": "other"}')
+    return e.select(k.alias("seq"), F.col("ts").cast("timestamp").alias("recv_ts"), F.when(k % 5 == 2, "b").otherwise("a").alias("venue"), body.alias("body"))
 
 
 def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -560,7 +688,7 @@ def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = F.coalesce(*(F.when(c, F.struct(F.lit(kind).alias("kind"), book.alias("book"), F.lit(side).alias("side"), t.cast("bigint").alias("tick"), q.cast("bigint").alias("qty"))) for c, kind, book, side, t, q in rows))
     log = e.select(k.alias("seq"), F.col("ts").alias("recv_ts"), x.alias("x")).select("seq", "recv_ts", "x.*")
     i = F.col("id").cast("string")
-    pairs = spark.range(32).select(F.concat(F.lit("E"), F.floor(F.col("id") / 4).cast("string")).alias("event"), F.concat(F.lit("P"), i).alias("pair"), F.concat(F.lit("A"), i, F.lit("y")).alias("a_yes"), F.concat(F.lit("A"), i, F.lit("n")).alias("a_no"), F.concat(F.lit("M"), i).alias("b_ticker"), (F.col("id") * 20 + 0.5).cast("double").alias("days"), (F.col("id") % 8 == 0).alias("capped"))
+    pairs = I.in_utc(spark).range(32).select(F.concat(F.lit("E"), F.floor(F.col("id") / 4).cast("string")).alias("event"), F.concat(F.lit("P"), i).alias("pair"), F.concat(F.lit("A"), i, F.lit("y")).alias("a_yes"), F.concat(F.lit("A"), i, F.lit("n")).alias("a_no"), F.concat(F.lit("M"), i).alias("b_ticker"), (F.col("id") * 20 + 0.5).cast("double").alias("days"), (F.col("id") % 8 == 0).alias("capped"))
     return log, pairs
 
 

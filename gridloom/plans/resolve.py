@@ -34,7 +34,8 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     """Pairs of one strategy and the events that gave none.
 
     ``matches`` as in ``schemas.MATCHES``; ``a_landed`` and ``b_landed`` have (event_id, body). An event is a match of both ids,
-    so one venue's event may take part in several.
+    so one venue's event may take part in several. The markets and the pairs are written to the shared folder here, so building
+    the result runs jobs.
     """
     s = V.STRATEGIES[strategy]
     found, errors = markets.lookup(events_of(matches, s), a_landed, b_landed)
@@ -42,7 +43,7 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     keys = found.select("event", "a_event_id", "b_event_ticker")
     a = markets.a_markets(a_landed, strategy).withColumnRenamed("event_id", "a_event_id").join(keys, "a_event_id").withColumn("title", F.col("question"))
     b = markets.b_markets(b_landed).withColumnRenamed("event_id", "b_event_ticker").join(keys, "b_event_ticker").withColumn("sub_title", F.col("yes_sub_title"))
-    a, b, found = materialize(a), materialize(b), materialize(found)  # each is read several times below
+    a, b = materialize(a), materialize(b)  # each is read several times below
     counts = a.groupBy("event").agg(F.count("*").alias("n_a")).join(b.groupBy("event").agg(F.count("*").alias("n_b")), "event")
     single = counts.where("n_a = 1 and n_b = 1").select("event")
     many = counts.where("n_a > 1 or n_b > 1").select("event")
@@ -58,8 +59,7 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     left, right = (x.join(many, "event", "left_semi") for x in (a, b))
     left = align.with_entities(left.withColumn("side", F.lit("a")), s)
     right = align.b_entities(right, s)
-    scores = materialize(align.candidates(left, right, s))
-    chosen = align.assign(scores).drop("score").join(scores, ["event", "a_idx", "b_idx"])
+    chosen = align.assign(align.candidates(left, right, s))
     aligned.append(chosen.select("event", "a_idx", "b_idx", F.bround("score", 3).alias("score"), "a_entity", "b_entity").withColumn("alignment_type", F.lit("entity_match")))
     pairs = merge.union_all(aligned)
     pairs = pairs.join(a.select("event", F.col("idx").alias("a_idx"), F.col("yes_token").alias("a_yes_token"), F.col("no_token").alias("a_no_token"), F.col("question").alias("a_question"), F.col("end_date").alias("a_end_date")), ["event", "a_idx"])

@@ -11,13 +11,10 @@ PAIRS = (
     "a_yes_token string, a_no_token string, a_question string, b_ticker string, b_title string, alignment_type string, score double, a_entity string, b_entity string, "
     "a_end_date string, b_expiration_time string, a_event_id string, a_event_title string, b_event_ticker string, b_event_title string, category string"
 )
-ERRORS = "a_event_id string, b_event_ticker string, stage string, error string"
 MANIFEST = (
     "a_yes_token string, a_no_token string, a_question string, b_ticker string, b_title string, score double, a_entity string, b_entity string, a_event_id string, a_event_title string, "
     "b_event_ticker string, b_event_title string, category string, a_end_date string, b_expiration_time string, resolution_date timestamp, days_to_resolution double, date_capped boolean"
 )
-VERDICTS = "pair_key string, verdict string, reason string, a_identified string, b_identified string"
-MESSAGES = "seq bigint, recv_ts timestamp, kind string, book string, side string, tick bigint, qty bigint"
 DATE_COLUMNS = ("a_end_date", "b_expiration_time", "resolution_date", "days_to_resolution", "date_capped")
 
 

@@ -10,26 +10,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or an own folder where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    return there.rstrip("/") if there else _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gridloom-"))
+    """``spark.checkpoint.dir``; where that is unset, the warehouse, or with a local master a temporary folder."""
+    if there := spark.conf.get("spark.checkpoint.dir", None):
+        return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gridloom-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back. What is used several times is computed once, plans stay short, and lost executors cost nothing."""
+    """``df`` written once and read back. What is used several times is computed once, plans stay short, and lost executors cost
+    nothing. This runs a job: functions that call it do so while they build their result."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> set[str]:
+    """The intermediate tables that are there now."""
+    return set(_WRITTEN)
+
+
+def drop(paths: set[str]) -> None:
+    """Removes intermediate tables that no pending result reads any more."""
+    for path in paths:
+        if spark := _WRITTEN.pop(path, None):
+            with contextlib.suppress(Exception):  # the JVM may be gone
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
-def _drop() -> None:
-    for spark, path in _WRITTEN:
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _drop_all() -> None:
+    drop(written())

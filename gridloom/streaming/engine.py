@@ -1,7 +1,8 @@
 """Stateful evaluation of pairs, in a stream or over a log: one class holds the state of an event, both feed it.
 
 State is keyed by the B venue's event, as over-sum needs all its books. Input rows are messages joined with the pairs they
-touch: event, seq, recv_ms, kind, book, side, tick, qty, pair, a_yes, a_no, b_ticker, days, capped, n_markets.
+touch: event, seq, item, pos, recv_ms, kind, book, side, tick, qty, pair, a_yes, a_no, b_ticker, days, capped, n_markets.
+A message that comes after a later one of its event, or comes again, is late: it changes no book and is not evaluated.
 """
 
 from __future__ import annotations
@@ -17,32 +18,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridloom.functions.values import Thresholds
+from gridloom.operators.books import ordered
+from gridloom.operators.signals import ledger
 
-INPUT = ("event", "seq", "recv_ms", "kind", "book", "side", "tick", "qty", "pair", "a_yes", "a_no", "b_ticker", "days", "capped", "n_markets")
-OUTPUT = "event string, seq bigint, pair string, outcome string, at bigint, direction string, a_vwap double, b_vwap double, cost double, profit double, required double, a_staleness_ms bigint, b_staleness_ms bigint"
+INPUT = ("event", "seq", "item", "pos", "recv_ms", "kind", "book", "side", "tick", "qty", "pair", "a_yes", "a_no", "b_ticker", "days", "capped", "n_markets")
+OUTPUT = "event string, seq bigint, item int, pair string, outcome string, at bigint, direction string, a_vwap double, b_vwap double, cost double, profit double, required double, a_staleness_ms bigint, b_staleness_ms bigint"
 TICKS, UNITS = 10_000, 100
-NEVER = 999_999
+
+
+def missing(x: object) -> bool:
+    return x is None or (isinstance(x, float) and math.isnan(x))
 
 
 class Event:
-    """Books and cooldowns of one event."""
+    """Books and cooldowns of one event, and its last message."""
 
     def __init__(self) -> None:
+        self.last: tuple[int, int] | None = None
         self.levels: dict[tuple[str, str], dict[int, int]] = {}
         self.seen: dict[str, int] = {}
         self.fired: dict[str, int] = {}
 
     def apply(self, rows: list) -> None:
-        """One message: its rows share a seq. A snapshot clears its books first."""
+        """One message, rows in order. A snapshot clears its books first, and its sizes of 0 say nothing."""
         cleared = set()
         for r in rows:
-            if r.tick is None or (isinstance(r.tick, float) and math.isnan(r.tick)):
-                continue
-            tick, qty = int(r.tick), int(r.qty)
             if r.kind == "snapshot" and r.book not in cleared:
                 cleared.add(r.book)
+                self.seen[r.book] = int(r.recv_ms)
                 for side in ("bid", "ask"):
                     self.levels.pop((r.book, side), None)
+            if missing(r.tick) or missing(r.qty):
+                continue
+            tick, qty = int(r.tick), int(r.qty)
+            if r.kind == "snapshot" and qty <= 0:
+                continue
             side = self.levels.setdefault((r.book, r.side), {})
             size = max(side.get(tick, 0) + qty, 0) if r.kind == "delta" else qty
             if size > 0:
@@ -51,8 +61,9 @@ class Event:
                 side.pop(tick, None)
             self.seen[r.book] = int(r.recv_ms)
 
-    def age(self, book: str, now: int) -> int:
-        return now - self.seen[book] if book in self.seen else NEVER
+    def age(self, book: str, now: int) -> int | None:
+        """None for a book never seen."""
+        return now - self.seen[book] if book in self.seen else None
 
     def asks(self, book: str) -> list[tuple[float, float]]:
         return sorted((t / TICKS, q / UNITS) for t, q in self.levels.get((book, "ask"), {}).items())
@@ -88,8 +99,8 @@ def evaluate(state: Event, r: object, t: Thresholds) -> Iterator[tuple]:
     """Outcomes of one pair at one message; a trade ends the evaluation and starts the cooldown."""
     now = int(r.recv_ms)
 
-    def row(outcome: str, *rest: object) -> tuple:
-        return (r.event, int(r.seq), r.pair, outcome, now, *(rest or (None,) * 8))
+    def row(outcome: str, direction: str | None = None, *rest: object) -> tuple:
+        return (r.event, int(r.seq), int(r.item), r.pair, outcome, now, direction, *(rest or (None,) * 7))
 
     if r.pair in state.fired and now - state.fired[r.pair] < t.cooldown_ms:
         yield row("cooling")
@@ -103,25 +114,25 @@ def evaluate(state: Event, r: object, t: Thresholds) -> Iterator[tuple]:
         return
     for direction, a_book, b_book in (("a_yes_b_no", r.a_yes, yes), ("a_no_b_yes", r.a_no, no)):
         ages = state.age(a_book, now), state.age(b_book, now)
-        if max(ages) > t.stale_ms:
-            yield row("stale")
+        if None in ages or max(ages) > t.stale_ms:
+            yield row("stale", direction)
             continue
         asks, others = state.asks(a_book), state.complement(b_book)
         if min(len(asks), len(others)) < t.levels:
-            yield row("thin")
+            yield row("thin", direction)
             continue
         a, b = walk(asks, t.target), walk(others, t.target)
         if not a or not b or (cost := leg_cost(a, b, t)) >= 1:
-            yield row("no_edge")
+            yield row("no_edge", direction)
             continue
         profit = 1.0 - cost
         if profit > t.suspect:
-            yield row("suspect")
+            yield row("suspect", direction)
             continue
-        days = None if r.days is None or math.isnan(r.days) else r.days
+        days = None if missing(r.days) else r.days
         required = t.risk_free * ((max(days, t.long_days) if r.capped else days) / 365.0) if days is not None and days >= t.min_days else None
         if required is None or profit < required:
-            yield row("time_value")
+            yield row("time_value", direction)
             continue
         state.fired[r.pair] = now
         yield row("trade", direction, a, b, cost, profit, required, *ages)
@@ -131,13 +142,17 @@ def evaluate(state: Event, r: object, t: Thresholds) -> Iterator[tuple]:
 def feed(state: Event, rows: pd.DataFrame, t: Thresholds) -> list[tuple]:
     """Outcomes of messages in order. A message's rows come once for each pair that it touches."""
     out: list[tuple] = []
-    ordered = rows.sort_values(["seq", "pair"], kind="stable").itertuples(index=False)
-    for _, message in groupby(ordered, key=attrgetter("seq")):
+    in_order = rows.sort_values(["seq", "item", "pair", "pos"], kind="stable").itertuples(index=False)
+    for at, message in groupby(in_order, key=attrgetter("seq", "item")):
         levels, pairs = {}, {}
         for r in message:
-            levels.setdefault((r.book, r.side, r.tick), r)
+            levels.setdefault((r.pos, r.book, r.side, None if missing(r.tick) else r.tick), r)
             pairs.setdefault(r.pair, r)
-        state.apply(list(levels.values()))
+        if state.last is not None and at <= state.last:
+            out.extend((r.event, int(r.seq), int(r.item), r.pair, "late", int(r.recv_ms), *(None,) * 8) for r in pairs.values())
+            continue
+        state.last = (int(at[0]), int(at[1]))
+        state.apply(sorted(levels.values(), key=attrgetter("pos")))
         for r in pairs.values():
             out.extend(evaluate(state, r, t))
     return out
@@ -148,7 +163,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 class Signals(StatefulProcessor):
-    """Keeps an event's levels, times and cooldowns in map state, so a message reads and writes what its event holds only."""
+    """Keeps an event's levels, times, cooldowns and last message in state, so a message reads and writes what its event holds only."""
 
     def __init__(self, t: Thresholds) -> None:
         self.t = t
@@ -157,6 +172,7 @@ class Signals(StatefulProcessor):
         self.levels = handle.getMapState("levels", "book string, side string, tick bigint", "size bigint")
         self.seen = handle.getMapState("seen", "book string", "ms bigint")
         self.fired = handle.getMapState("fired", "pair string", "ms bigint")
+        self.last = handle.getValueState("last", "seq bigint, item bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = Event()
@@ -165,7 +181,9 @@ class Signals(StatefulProcessor):
         before = {(b, s, t): q for (b, s), side in state.levels.items() for t, q in side.items()}
         state.seen = {k[0]: v[0] for k, v in self.seen.iterator()}
         state.fired = {k[0]: v[0] for k, v in self.fired.iterator()}
+        state.last = self.last.get() if self.last.exists() else None
         out = feed(state, pd.concat(list(rows)), self.t)
+        self.last.update(state.last)
         after = {(b, s, t): q for (b, s), side in state.levels.items() for t, q in side.items()}
         for k in before.keys() - after.keys():
             self.levels.removeKey(k)
@@ -186,7 +204,7 @@ def touching(messages: DataFrame, pairs: DataFrame) -> DataFrame:
     markets = pairs.where(F.coalesce("event", F.lit("")) != "").groupBy("event").agg(F.count_distinct("b_ticker").alias("n_markets"))
     known = pairs.withColumn("event", F.when(F.coalesce("event", F.lit("")) == "", F.concat(F.lit("pair:"), "pair")).otherwise(F.col("event"))).join(markets, "event", "left").fillna({"n_markets": 0})
     of = F.explode(F.array("a_yes", "a_no", F.concat("b_ticker", F.lit("/yes")), F.concat("b_ticker", F.lit("/no"))))
-    return messages.join(known.withColumn("book", of), "book").withColumn("recv_ms", F.unix_millis("recv_ts")).select(*INPUT)
+    return ordered(messages).join(known.withColumn("book", of), "book").withColumn("recv_ms", F.unix_millis("recv_ts")).select(*INPUT)
 
 
 def stream(messages: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -201,7 +219,7 @@ def replay(messages: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds())
         event, state, held = None, Event(), None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame])
-            last = (frame["event"] == frame["event"].iloc[-1]) & (frame["seq"] == frame["seq"].iloc[-1])
+            last = (frame[["event", "seq", "item"]] == frame[["event", "seq", "item"]].iloc[-1]).all(axis=1)
             frame, held = frame[~last], frame[last]  # the last message may go on
             out = []
             for name, part in frame.groupby("event", sort=False):
@@ -212,10 +230,32 @@ def replay(messages: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds())
         if held is not None:
             yield _frame(feed(state if held["event"].iloc[0] == event else Event(), held, t))
 
-    return touching(messages, pairs).repartition("event").sortWithinPartitions("event", "seq", "pair").mapInPandas(run, OUTPUT)
+    return touching(messages, pairs).repartition("event").sortWithinPartitions("event", "seq", "item", "pair", "pos").mapInPandas(run, OUTPUT)
+
+
+def counters(outcomes: DataFrame) -> DataFrame:
+    """(counter, n): evaluations, each outcome's count and late messages, of a log's outcomes or of a running stream (complete mode).
+
+    An evaluation ends at once with one row, or looks at one direction or both; the first direction counts it.
+    """
+    whole = F.col("direction").isNull() & (F.col("outcome") != "late")
+    first = F.when(whole | (F.col("direction") == "a_yes_b_no"), "evaluations")
+    return outcomes.select(F.explode(F.array_compact(F.array(F.col("outcome"), first))).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
+
+
+def to_status(outcomes: DataFrame, name: str, seconds: int = 30) -> object:
+    """The counters of a running stream as an in-memory table of that name, brought up to date every so many seconds."""
+    return counters(outcomes).writeStream.outputMode("complete").format("memory").queryName(name).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def trades(outcomes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ledger's 19 columns for the trades of ``outcomes``; ``pairs`` has the titles and resolution_date as well."""
+    known = pairs.select("pair", "a_event_title", "b_event_title", "a_question", "b_ticker", F.col("days").alias("days_to_resolution"), "resolution_date")
+    rows = outcomes.where("outcome = 'trade'").withColumns({"at": F.timestamp_millis("at"), "total_cost": F.col("cost")})
+    return ledger(rows.join(known, "pair"))
 
 
-def to_ledger(outcomes: DataFrame, path: str, checkpoint: str) -> object:
-    """Appends the trades of a stream as files, each once."""
-    trades = outcomes.where("outcome = 'trade'")
-    return trades.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+def to_ledger(outcomes: DataFrame, pairs: DataFrame, path: str, checkpoint: str) -> object:
+    """Appends the trades of a stream as ledger files, each once."""
+    rows = trades(outcomes, pairs)
+    return rows.writeStream.outputMode("append").format("csv").option("header", True).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

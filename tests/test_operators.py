@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from gridloom.functions.values import STRATEGIES
 from gridloom.operators import align, books, merge, signals
 from gridloom.sources import feeds, files, markets
 from gridloom.sources import schemas as S
+from gridloom.streaming import engine as streaming
 
 
 def rows(df):
@@ -105,8 +107,8 @@ def test_feed_messages(spark):
             (4, "b", "not json"), (5, "a", None), (6, "b", '{"type": "orderbook_delta", "msg": {"market_ticker": "K", "side": "odd"}}'),
         ], "seq bigint, venue string, body string",
     ).withColumn("recv_ts", F.lit("2026-01-01").cast("timestamp"))
-    got = [tuple(r)[:1] + tuple(r)[2:] for r in feeds.decode(raw).orderBy("seq").collect()]
-    assert got == [(1, "snapshot", "t", "bid", 4000, 500), (2, "absolute", "t", "ask", 4100, 0), (3, "delta", "K/yes", "bid", 3000, -200), (6, "delta", "K/yes", "bid", None, None)]
+    got = [(r.seq, *tuple(r)[4:]) for r in feeds.decode(raw).orderBy("seq", "item", "pos").collect()]
+    assert got == [(1, "snapshot", "t", "bid", None, None), (1, "snapshot", "t", "bid", 4000, 500), (2, "absolute", "t", "ask", 4100, 0), (3, "delta", "K/yes", "bid", 3000, -200), (6, "delta", "K/yes", "bid", None, None)]
 
 
 def test_files(spark, tmp_path):
@@ -126,3 +128,45 @@ def test_day_bands_and_scores(spark):
     assert (got.below_7, got.below_30, got.missing, got.capped, got.median_days) == (1, 1, 1, 1, 6.5)
     s = spark.createDataFrame([(1.0,), (0.8,), (0.5,)], "score double")
     assert tuple(merge.score_bands(s).head()) == (1, 1, 1)
+
+
+def test_books_of_messages(spark):
+    """An empty book clears, the last value of a level counts, a snapshot's size of 0 says nothing, items follow each other."""
+    bodies = [
+        '{"event_type": "book", "asset_id": "t", "bids": [{"price": "0.4", "size": "5"}, {"price": "0.4", "size": "7"}, {"price": "0.4", "size": "0"}], "asks": [{"price": "0.6", "size": "1"}]}',
+        '[{"event_type": "price_change", "price_changes": [{"asset_id": "t", "price": "0.6", "size": "10", "side": "sell"}, {"asset_id": "t", "price": "0.6", "size": "0", "side": "SELL"}]}, {"event_type": "price_change", "changes": [{"asset_id": "t", "price": "0.3", "size": "2", "side": "buy"}]}]',
+        '{"event_type": "book", "asset_id": "u", "bids": [{"price": "0.4", "size": "5"}]}',
+        '{"event_type": "book", "asset_id": "u"}',
+    ]
+    import datetime
+
+    raw = spark.createDataFrame([(i, datetime.datetime(2026, 1, 1), "a", b) for i, b in enumerate(bodies)], "seq bigint, recv_ts timestamp, venue string, body string")
+    log = feeds.decode(raw)
+    assert rows(books.absolute_state(log)) == [("t", "bid", 3000, 200), ("t", "bid", 4000, 700)]
+    state = streaming.Event()
+    for _, message in itertools.groupby(log.withColumn("recv_ms", F.unix_millis("recv_ts")).orderBy("seq", "item", "pos").collect(), key=lambda r: (r.seq, r.item)):
+        state.apply(list(message))
+    assert {k: v for k, v in state.levels.items() if v} == {("t", "bid"): {3000: 200, 4000: 700}} and set(state.seen) == {"t", "u"}
+    assert state.age("never", 0) is None
+    one_sided = spark.createDataFrame([(0, datetime.datetime(2026, 1, 1), "b", '{"type": "orderbook_snapshot", "msg": {"market_ticker": "K", "yes_dollars_fp": [["0.3", "1"]], "no_dollars_fp": [["0.5", "1"]]}}'), (1, datetime.datetime(2026, 1, 1), "b", '{"type": "orderbook_snapshot", "msg": {"market_ticker": "K", "no_dollars_fp": [["0.6", "2"]]}}')], raw.schema)
+    both = feeds.decode(one_sided)
+    assert rows(books.absolute_state(both)) == rows(books.delta_state(both)) == [("K/no", "bid", 6000, 200)]
+
+
+def test_cooldown_streams(spark):
+    at = [(p, t) for p in "ab" for t in (5, 1, 9, 12, 30, 31, 1)]
+    assert rows(signals.cooled(spark.createDataFrame(at, "pair string, at bigint"), 8)) == [(p, t) for p in "ab" for t in (1, 9, 30)]
+
+
+def test_union_fills_columns(spark):
+    a, b = spark.createDataFrame([("x", 1.0, "e", 1)], "b_ticker string, score double, a_entity string, idx int"), spark.createDataFrame([("x", None, "e"), ("y", 0.5, None)], "b_ticker string, score double, a_entity string")
+    got = rows(merge.dedup_pairs(merge.union_all([a, b]), ["idx"]).select("b_ticker", "score", "a_entity", "idx"))
+    assert got == [("x", 1.0, "e", 1), ("y", 0.5, None, None)]
+
+
+def test_verification(spark):
+    pairs = spark.createDataFrame([("k", "q" * 300, "t", "A", "B", 0.6, "E", None)], "pair_key string, a_question string, b_title string, a_entity string, b_entity string, score double, a_event_title string, b_event_title string")
+    asked = merge.verification_request(pairs).select(F.from_json("request", "a_question string, b_event_title string").alias("x")).head().x
+    assert len(asked.a_question) == 200 and asked.b_event_title == ""
+    log = merge.verdict_log(pairs, spark.createDataFrame([("k", '{"verdict": "MATCH", "reason": "r", "a_identified": "x", "b_identified": "x"}')], "pair_key string, reply string"))
+    assert len(log.columns) == 9 and (log.head().verdict, len(log.head().a_question)) == ("MATCH", 100) and tuple(merge.verdict_counts(log).head()) == (1, 0, 0)
