@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from gridloom.llm.common import table
 OPEN, MIDDLE, CLOSE, ESCAPE = "### ", ": ", "</turn>\n", "\\"
 _ROLE = re.compile(r"\\|###|</turn>|: ")
 _TEXT = re.compile(r"\\|###|</turn>")
+_ESCAPED = re.compile(r"\\(\\|###|</turn>)")
 ROWS = 2048  # rows that a step holds at once
 
 
@@ -70,6 +73,11 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     raise GrammarError("no rendering gives the source back")
 
 
+def unescape(content: str) -> str:
+    """Content as it was before it was escaped. What was not escaped holds no control string, so it stays."""
+    return _ESCAPED.sub(lambda m: m[1], content)
+
+
 def formatted(conversations: DataFrame, learned_role: str = "assistant") -> DataFrame:
     """conv_id, nth, chunk, at, loss_from, loss_to: the rendered turns, in order within each conversation.
 
@@ -102,7 +110,11 @@ def formatted(conversations: DataFrame, learned_role: str = "assistant") -> Data
 
 
 def digests(chunks: DataFrame) -> DataFrame:
-    """What the contract asks of each conversation, read back from its chunks as ``formatted`` streams them."""
+    """What the contract asks of each conversation, read back from its chunks as ``formatted`` streams them.
+
+    The turns are parsed from the joined chunks that a batch has of a conversation. The learned text is what the loss mask covers
+    of the formatted text, unescaped; the mask is checked to lie within its chunk.
+    """
     kind = chunks.schema["conv_id"].dataType
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
@@ -123,17 +135,23 @@ def digests(chunks: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
-            for conv, chunk, learned in zip(batch.column("conv_id").to_pylist(), batch.column("chunk").to_pylist(), batch.column("loss_from").is_valid().to_pylist(), strict=True):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "at", "loss_from", "loss_to")), strict=True)
+            for conv, of in groupby(rows, key=itemgetter(0)):
                 if conv != last:
                     close()
                     last, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(chunk):
+                chunks = list(of)
+                for role, text in parse("".join(c[1] for c in chunks)):
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
-                    if learned:
+                for _, chunk, at, since, until in chunks:
+                    if at != state[5] or (since is not None and not at <= since <= until <= at + len(chunk)):
+                        raise GrammarError(f"chunk or mask out of place in conversation {conv}")
+                    if since is not None:
+                        text = unescape(chunk[since - at : until - at])
                         state[3] += len(text)
                         state[4].update(text.encode())
-                state[5] += len(chunk)
+                    state[5] += len(chunk)
             if done:
                 yield out()
         close()

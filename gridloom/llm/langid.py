@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of labelled text per language gives the longest match of a text at any place. A text is parsed greedily
-into longest matches; the language that needs the fewest phrases a symbol wins. The automata are tables here, and many texts
-go through one at once: the step over a symbol is one lookup for all of them.
+A suffix automaton of labelled text per language gives the longest match of a text at any place. A whole text is parsed greedily
+into longest matches; the language that needs the fewest phrases a symbol wins. The automata are packed tables, and many
+stretches of texts go through one at once: the step over a symbol is one lookup for all of them. Stretches of one text start
+where the one before ended, so the count is that of the text parsed in one go.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import pieces, table, texts
 
 UNKNOWN = "und"
-#: Bound of the labelled sample: so many texts of each language, so many characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 48, 768
-#: Texts are parsed in segments of so many symbols; a phrase ends where its segment ends.
-SEGMENT = 256
-_BLANK, _PAD = 0, 1
-_READY: dict[tuple, list[np.ndarray]] = {}
+#: Bound of the labelled sample: at most so many whole texts of each language, of at most so many characters together.
+SAMPLE_TEXTS, SAMPLE_CHARS = 48, 40_000
+#: Texts of so many characters at most are sampled, if a language has any.
+SHORT_CHARS = 4096
+#: Languages that one model may have: each has a table of about a megabyte in every worker.
+MOST_LANGUAGES = 400
+#: Symbols of a stretch, and after how many of them two parses are compared.
+SEGMENT, MEET = 256, 32
+_BLANK = 0
+_READY: dict[tuple, list[Table]] = {}
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -63,13 +68,13 @@ class Alphabet:
     def __init__(self, samples: list[bytes]) -> None:
         seen = set().union(*map(set, samples)) if samples else set()
         known = sorted(b for b in seen if b >= 128 or chr(b).isalpha())
-        self.size = len(known) + 3
+        self.size = len(known) + 2
         self.classes = np.full(256, self.size - 1, np.uint8)
         for b in range(128):
             if not chr(b).isalpha():
                 self.classes[b] = _BLANK
         for i, b in enumerate(known):
-            self.classes[b] = i + 2
+            self.classes[b] = i + 1
 
     def symbols(self, body: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Classes with runs of blanks made one, and which bytes they stand for."""
@@ -79,24 +84,74 @@ class Alphabet:
         return x[keep], keep
 
 
-def parser(sample: bytes, alphabet: Alphabet) -> np.ndarray:
-    """2 * (next state * row width) + (1 if a new phrase begins) by state and class.
+class Table:
+    """The transitions of an automaton in three arrays: state s goes on with class c to target[p], p = base[s] + c, if owner[p] is s.
 
-    The last state stands before a text and after a symbol that the sample lacks: there any symbol begins a phrase.
+    Rows with several transitions are placed first fit, those with one fill the gaps, so the table's size follows the number of
+    transitions and not that of classes. States hold their base, so a step is two lookups. The last state stands before a text
+    and after a symbol that the sample lacks: there any symbol begins a phrase.
     """
-    step = [*automaton(alphabet.symbols(sample)[0].tolist()), {}]
-    width, outside = alphabet.size, len(step) - 1
-    known = np.full((len(step), width), -1, np.int64)
-    for s, to in enumerate(step):
-        for c, t in to.items():
-            known[s, c] = t
-    begin = np.where(known[0] >= 0, known[0], outside)
-    out = np.where(known >= 0, known * width * 2, begin * width * 2 + 1)
-    out[:, _PAD] = np.arange(len(step)) * width * 2
-    return out.astype(np.int32).ravel()
-
-
-def parsers(model: tuple) -> tuple[Alphabet, list[np.ndarray]]:
+
+    def __init__(self, step: list[dict[int, int]], width: int) -> None:
+        n, edges = len(step), sum(map(len, step))
+        self.outside, tried = n, np.arange(256)[:, None]
+        free = np.ones(3 * edges + 8 * width + 1024, bool)
+        base, low = np.zeros(n + 1, np.int32), width
+        for s in sorted((s for s in range(n) if len(step[s]) > 1), key=lambda s: (-len(step[s]), s)):
+            classes = np.fromiter(step[s], np.int64, len(step[s]))
+            while True:
+                if low + 256 + width > len(free):
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+                fits = free[low + tried + classes].all(axis=1)
+                p = int(fits.argmax())
+                if fits[p]:
+                    break
+                low += 128
+            base[s] = low + p
+            free[low + p + classes] = False
+            if p > 128:  # what lies so far back is left to the rows with one transition
+                low += 64
+        single = [s for s in range(n) if len(step[s]) == 1]
+        gaps = width + np.flatnonzero(free[width:])
+        if len(gaps) < len(single):
+            gaps = np.concatenate([gaps, len(free) + np.arange(len(single))])
+        for s, p in zip(single, gaps.tolist(), strict=False):
+            base[s] = p - next(iter(step[s]))
+        # one entry each way: which state holds the place, where it goes
+        size = int(base.max()) + width + 1
+        self.base, self.owner, self.target = base, np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        of = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in step])
+        c = np.fromiter((c for x in step for c in x), np.int32, edges)
+        self.owner[base[of] + c] = of
+        self.target[base[of] + c] = np.fromiter((t for x in step for t in x.values()), np.int32, edges)
+        self.begin = np.full(width, self.outside, np.int32)  # where a phrase that begins with each class goes
+        for c, to in step[0].items():
+            self.begin[c] = to
+
+    def run(self, grid: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state in which each column of symbols ends that begins in ``state``, and the phrases that begin in it.
+        ``length`` descends: symbols beyond a column's length are not read."""
+        state, count = state.copy(), np.zeros(len(state), np.int32)
+        active = np.searchsorted(-length, -np.arange(len(grid)), side="left").tolist()
+        for k, row in zip(active, grid, strict=True):
+            if not k:
+                break
+            now, symbol = state[:k], row[:k]
+            at = self.base.take(now)
+            at += symbol
+            new = self.owner.take(at) != now
+            to = self.target.take(at)
+            np.copyto(to, self.begin.take(symbol), where=new)
+            state[:k] = to
+            count[:k] += new
+        return state, count
+
+
+def parser(sample: bytes, alphabet: Alphabet) -> Table:
+    return Table(automaton(alphabet.symbols(sample)[0].tolist()), alphabet.size)
+
+
+def parsers(model: tuple) -> tuple[Alphabet, list[Table]]:
     """Built once for each Python worker."""
     alphabet = Alphabet([s for _, s in model])
     if model not in _READY:
@@ -105,28 +160,46 @@ def parsers(model: tuple) -> tuple[Alphabet, list[np.ndarray]]:
     return alphabet, _READY[model]
 
 
-def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases by text and language, and symbols by text."""
+def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[Table]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases by text and language, and symbols by text.
+
+    All stretches run at once from the state before a text; then those run again that in truth begin in another state, namely
+    where the stretch before them ended, until none does. Greedy parses soon meet: a stretch that after ``MEET`` symbols is in
+    the state it was in before goes on as before.
+    """
     body = b"".join(bodies)
     symbols, keep = alphabet.symbols(body)
     ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum([len(x) for x in bodies])]
     size = np.diff(ends, prepend=0)
     lanes = -(-size // SEGMENT)
-    first = np.cumsum(lanes) - lanes
-    at = np.arange(len(symbols)) - np.repeat(ends - size, size)
-    grid = np.full((SEGMENT, int(lanes.sum())), _PAD, np.uint8)
-    grid[at % SEGMENT, np.repeat(first, size) + at // SEGMENT] = symbols
     owner = np.repeat(np.arange(len(bodies)), lanes)
+    part = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    length = np.minimum(size[owner] - part * SEGMENT, SEGMENT)
+    column = np.empty(len(owner), np.int64)  # columns of the grid in descending length
+    column[np.argsort(-length, kind="stable")] = np.arange(len(owner))
+    at = np.arange(len(symbols)) - np.repeat(ends - size, size)
+    grid = np.zeros((SEGMENT, len(owner)), np.uint8)
+    grid[at % SEGMENT, column[np.repeat(np.cumsum(lanes) - lanes, size) + at // SEGMENT]] = symbols
+    before = np.full(len(owner), -1)  # the column of the stretch before
+    before[column[part > 0]] = column[np.flatnonzero(part > 0) - 1]
+    order = np.argsort(column)
+    owner, length = owner[order], length[order]
     out = np.zeros((len(bodies), len(tables)), np.int64)
-    for k, moves in enumerate(tables):
-        state = np.full(grid.shape[1], len(moves) - alphabet.size, np.int32)
-        count = np.zeros(grid.shape[1], np.int32)
-        for row in grid:
-            state += row
-            state = moves[state]
-            count += state & 1
-            state >>= 1
-        out[:, k] = np.bincount(owner, count, minlength=len(bodies))
+    for k, table in enumerate(tables):
+        start = np.full(len(owner), table.outside, np.int32)
+        met, head = table.run(grid[:MEET], length, start)
+        state, tail = table.run(grid[MEET:], length - MEET, met)
+        while True:
+            due = np.where(before < 0, table.outside, state[before]).astype(np.int32) if len(state) else state
+            again = np.flatnonzero(due != start)
+            if not len(again):
+                break
+            start = due
+            now, head[again] = table.run(grid[:MEET, again], length[again], start[again])
+            other = again[now != met[again]]
+            met[again] = now
+            state[other], tail[other] = table.run(grid[MEET:, other], length[other] - MEET, met[other])
+        out[:, k] = np.bincount(owner, head + tail, minlength=len(bodies))
     return out, size
 
 
@@ -147,20 +220,24 @@ def judged(bodies: list[bytes], has_letter: np.ndarray, model: tuple, room: int
 
 
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> tuple:
-    """((lang, sample), ...) from ``labelled(doc_id, text, lang)``: for each lang about ``sample_texts`` texts with the least
-    hashes, of each the first ``sample_chars`` characters. That bounded sample is all that comes to the driver."""
-    labelled = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "lang"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
-        return ()
-    share = {lang: min(1.0, 3 * sample_texts / n) for lang, n in sizes.items()}
-    limit = F.element_at(F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int((2 * s - 1) * (2**63 - 1024))))), F.col("lang"))
-    near = labelled.where(F.col("h") <= limit).select("lang", "h", F.lower(F.substring("text", 1, sample_chars)).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = near.withColumn("nth", nth).where(F.col("nth") <= sample_texts).collect()
-    by: dict[str, list] = {lang: [] for lang in sizes}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["nth"])):
-        by[r["lang"]].append(r["text"])
+    """((lang, sample), ...) from ``labelled(doc_id, text, lang)``: whole texts with the least hashes, for each lang at most
+    ``sample_texts`` of at most ``sample_chars`` characters together. Texts over ``SHORT_CHARS`` characters are left out, but
+    where a lang has no other its shortest text is taken. That bounded sample is all that comes to the driver."""
+    rows = labelled.where("lang is not null and text is not null").withColumns({"h": F.xxhash64("doc_id", "lang"), "n": F.length("text")})
+    short = F.col("n") <= SHORT_CHARS
+    shortest = F.min_by(F.when(~short, F.col("text")), F.when(~short, F.struct("n", "h")))
+    known = rows.groupBy("lang").agg(F.count_if(short).alias("many"), F.when(F.count_if(short) == 0, shortest).alias("only")).limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    by: dict[str, list] = {r["lang"]: [] if r["only"] is None else [r["only"].lower()] for r in known}
+    share = {r["lang"]: min(1.0, 3 * sample_texts / r["many"]) for r in known if r["many"]}
+    if share:
+        limit = F.element_at(F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int((2 * s - 1) * (2**63 - 1024))))), F.col("lang"))
+        near = rows.where(short & (F.col("h") <= limit)).select("lang", "h", "n", F.lower("text").alias("text"))
+        order = Window.partitionBy("lang").orderBy("h", "text")
+        near = near.withColumns({"nth": F.row_number().over(order), "sum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        for r in sorted(near.where((F.col("nth") <= sample_texts) & ((F.col("sum") <= sample_chars) | (F.col("nth") == 1))).collect(), key=lambda r: (r["lang"], r["nth"])):
+            by[r["lang"]].append(r["text"])
     return tuple((lang, " ".join(by[lang]).encode()) for lang in sorted(by) if by[lang])
 
 
@@ -183,14 +260,21 @@ def predict(docs: DataFrame, model: tuple, keep: tuple[str, ...] = ("doc_id",),
     return source.mapInArrow(run, schema)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language stays unknown (no text, no letter); a null lang becomes the predicted one.
+#: A text is in another language than it says if the predicted one saves such a share of phrases.
+SURE = 0.5
+
+
+def identified(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """``docs`` without those whose language stays unknown (no text, no letter), and without those that are in another language
+    than they say, with a score of ``sure`` or more; a null lang becomes the predicted one.
 
-    The model is learned from the rows of ``docs`` that have a lang. Columns and repeated rows stay as they are.
+    The model is learned from the rows of ``docs`` that have a lang. Columns and repeated rows stay as they are. An empty table
+    gives no rows.
     """
     model = learn(docs.select("doc_id", "text", "lang"))
     known = docs.select("text", F.struct("*").alias("row"))
-    found = predict(known, model, keep=("row",)).where(F.col("lang_pred") != UNKNOWN)
+    wrong = F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= sure)
+    found = predict(known, model, keep=("row",)).where((F.col("lang_pred") != UNKNOWN) & ~wrong)
     return found.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 

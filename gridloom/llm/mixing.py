@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The texts of a source, in a pseudorandom order, are one string of words that is cut into blocks of fixed length. The mix is a
-list of slots, a block each, cut into output shards. Slot g stands at place p(g) of a line on which each source has as many
-places as it gives slots, p being a pseudorandom permutation: so a shard's source counts are a multinomial draw, and the
-totals come out as wished. A slot's number within its source goes through the source's own permutation of block indexes.
+list of slots, a block each, cut into output shards. Each slot draws its source by weight, with replacement, so a shard's source
+counts are one multinomial draw. A source's draws are numbered over all shards, and the number goes through the source's own
+permutation of block indexes. Draws beyond what a source gives, in the last shards, go to the sources that were drawn too
+seldom: so the totals come out as wished.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def layout(docs: DataFrame, block: int, seed: int) -> DataFrame:
-    """Where each row of ``docs(source, size, key...)`` lies in its source's string of words: begin; with the source's size."""
+    """Where each row of ``docs(source, size, key...)`` lies in its source's string of words: begin; with the source's size.
+    Equal rows lie one after the other, a null source is a source, and an empty table gives no rows."""
     keys = [c for c in docs.columns if c not in ("source", "size")]
     rows = docs.withColumns({"order": F.xxhash64(*keys, F.lit(seed))}).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)))
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
@@ -69,6 +71,59 @@ def layout(docs: DataFrame, block: int, seed: int) -> DataFrame:
     return joined.select(*(f"r.{c}" for c in docs.columns), (F.col("begin") + F.col("before")).alias("begin"), "source_size")
 
 
+def held_by(places: DataFrame, line: DataFrame, since: str, size: str) -> DataFrame:
+    """``places(x, ..)`` with the columns of the row of ``line`` that holds x: since <= x < since + size. An equi-join on chunks
+    of the line; ``line`` is a row a source, broadcast after a check of its number."""
+    chunk = 1 << 17
+    of = F.explode(F.sequence(F.floor(F.col(since) / chunk).cast("long"), F.floor((F.col(since) + F.col(size) - 1) / chunk).cast("long")))
+    cut = line.where(F.col(size) > 0).withColumn("chunk", of)
+    cut = F.broadcast(cut) if few(cut, BROADCAST_SOURCES) else cut
+    met = places.withColumn("chunk", F.floor(F.col("x") / chunk).cast("long")).join(cut, "chunk")
+    return met.where((F.col("x") >= F.col(since)) & (F.col("x") < F.col(since) + F.col(size))).drop("chunk")
+
+
+def draws(line: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(slot, shard, source, nth): the source that each slot draws, and the draw's number among its source's in the shard.
+
+    ``line(source, first, n, all)`` gives each source n of ``all`` places; a slot draws a place by hash, with replacement.
+    """
+    chunk = 1 << 17
+    parts = line.agg(F.max("all").alias("all")).where("all > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / chunk).cast("long"))))
+    # a fixed number of partitions: these few rows are small, what they make is not
+    parts = parts.repartition(int(line.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("part"))
+    own = F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("all"), (F.col("part") + 1) * chunk) - 1))
+    made = parts.withColumn("slot", own).withColumn("x", F.pmod(F.xxhash64("slot", F.lit(seed)), F.col("all"))).select("slot", "x")
+    found = held_by(made, line.select("source", "first", "n"), "first", "n").select("slot", F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "source")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "source").orderBy("slot")) - 1)
+
+
+def numbered(line: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The slots of ``drawn`` with the row of ``line`` they belong to and j, the slot's number in its source, 0 to n - 1.
+
+    The counts by shard are summed up in two steps, by groups of shards, so that no source's shards are one task.
+    """
+    counts = drawn.groupBy("source", "shard").agg(F.count("*").alias("c")).withColumn("group", F.floor(F.col("shard") / 4096).cast("long"))
+    groups = counts.groupBy("source", "group").agg(F.sum("c").alias("g"))
+    groups = groups.withColumn("before", F.sum("g").over(Window.partitionBy("source").orderBy("group")) - F.col("g")).drop("g")
+    same = F.col("c.source").eqNullSafe(F.col("g.source")) & (F.col("c.group") == F.col("g.group"))
+    within = F.sum("c.c").over(Window.partitionBy("c.source", "c.group").orderBy("c.shard")) - F.col("c.c")
+    offsets = counts.alias("c").join(groups.alias("g"), same).select("c.source", "c.shard", (F.col("g.before") + within).alias("offset"))
+    on = F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.shard") == F.col("o.shard"))
+    placed = drawn.alias("d").join(offsets.alias("o"), on).select("slot", "d.shard", "d.source", (F.col("offset") + F.col("nth")).alias("j"))
+    # how often each source was drawn, its draws too many (over) and too few (under), each summed up over the sources
+    one = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
+    total = counts.groupBy("source").agg(F.sum("c").alias("drawn"))
+    known = line.alias("l").join(total.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source")), "left").select("l.*", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    known = known.withColumns({"over": F.greatest(F.col("drawn") - F.col("n"), F.lit(0)), "under": F.greatest(F.col("n") - F.col("drawn"), F.lit(0))})
+    known = materialize(known.withColumns({"over_from": F.sum("over").over(one) - F.col("over"), "under_from": F.sum("under").over(one) - F.col("under")}))
+    full = F.broadcast(known) if few(known, BROADCAST_SOURCES) else known
+    placed = placed.alias("p").join(full.alias("k"), F.col("p.source").eqNullSafe(F.col("k.source"))).select("slot", "shard", "j", *(f"k.{c}" for c in known.columns))
+    fits = placed.where(F.col("j") < F.col("n"))
+    moved = placed.where(F.col("j") >= F.col("n")).select("slot", "shard", (F.col("j") - F.col("n") + F.col("over_from")).alias("x"))
+    moved = held_by(moved, known, "under_from", "under").withColumn("j", F.col("drawn") + F.col("x") - F.col("under_from")).drop("x")
+    return fits.unionByName(moved)
+
+
 def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix: slot, shard, source, epoch, block index and words taken of it, for ``plan(source, source_size, target)``.
 
@@ -80,26 +135,22 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     rows = rows.withColumn("n", epochs * F.col("blocks") + F.ceil(rest / block).cast("long"))
     one = Window.partitionBy(F.lit(0))
     rows = rows.withColumns({"first": F.sum("n").over(one.orderBy(F.col("source").asc_nulls_last())) - F.col("n"), "all": F.sum("n").over(one)})
-    # from a source's row to its slots in two steps, so that a large source's slots are made by many tasks
-    chunk = 1 << 17
-    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk).cast("long"))))
-    # a fixed number of partitions: these few rows are small, what they make is not
-    parts = parts.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("part"))
-    own = F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("n"), (F.col("part") + 1) * chunk) - 1))
-    made = parts.withColumn("j", own).withColumns({"slot": permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(seed)), "epoch": F.floor(F.col("j") / F.col("blocks")).cast("long"), "at": F.pmod("j", F.col("blocks"))})
+    rows = materialize(rows)
+    drawn = materialize(draws(rows, shard_slots, seed))
+    made = numbered(rows, drawn).withColumns({"epoch": F.floor(F.col("j") / F.col("blocks")).cast("long"), "at": F.pmod("j", F.col("blocks"))})
     whole = F.floor(F.col("source_size") / block).cast("long")
     made = made.withColumn("block", F.when(F.col("at") < whole, permuted(F.col("at"), whole, F.lit(seed), F.col("source"), F.col("epoch"))).otherwise(F.col("at")))
     left = F.col("want") - F.col("epoch") * F.col("source_size") - F.col("at") * block
     size = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    return made.select("slot", F.floor(F.col("slot") / shard_slots).cast("long").alias("shard"), "source", "epoch", "block", F.least(size, left).cast("long").alias("words"))
+    return made.select("slot", "shard", "source", "epoch", "block", F.least(size, left).cast("long").alias("words"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(rows, mixture) for ``docs(source, size, key...)``.
 
-    rows: ``docs`` with begin, source_size and target. mixture: slot, shard, epoch, key..., from and words: which words of a
-    row a slot holds, where the rows of a block follow each other by ``begin``. Rows without words are in no slot. Equal rows
-    are taken each. A null source is a source, the last. No row is taken more than ``MOST`` times over. Empty in, empty out.
+    rows: ``docs`` with begin, source_size and target. mixture: slot, shard, epoch, source, key..., from and words: which words
+    of a row a slot holds, where the rows of a block follow each other by ``begin``. Rows without words are in no slot. Source
+    and begin tell rows with words apart, so equal rows, and one text in several sources, are taken each. A null source is a source, the last. No row is taken more than ``MOST`` times over. Empty in, empty out.
     """
     keys = [c for c in docs.columns if c not in ("source", "size")]
     laid = materialize(layout(docs, block, seed))
@@ -110,7 +161,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, see
     held = laid.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     made = slots(plan, block, shard_slots, seed).hint("merge")  # as many rows as the mix has blocks: never to be broadcast
     met = held.alias("h").join(made.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")) & (F.col("h.block") == F.col("s.block")))
-    met = met.select("slot", "shard", "epoch", *(f"h.{c}" for c in keys), "h.begin", (F.greatest(F.col("begin"), F.col("h.block") * block) - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), F.col("h.block") * block + F.col("s.words")) - F.col("begin")).alias("until"))
+    met = met.select("slot", "shard", "epoch", "h.source", *(f"h.{c}" for c in keys), "h.begin", (F.greatest(F.col("begin"), F.col("h.block") * block) - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), F.col("h.block") * block + F.col("s.words")) - F.col("begin")).alias("until"))
     return rows, met.where(F.col("until") > F.col("from")).withColumn("words", F.col("until") - F.col("from")).drop("until")
 
 
@@ -122,8 +173,8 @@ def sized(docs: DataFrame) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     rows, mixture = mix(sized(table(spark, sf_dir, "documents", "doc_id", "text", "source")))
-    taken = mixture.groupBy("doc_id", "key", "begin").agg(F.sum("words").alias("taken"))
-    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.key") == F.col("t.key")) & (F.col("r.begin") == F.col("t.begin"))
+    taken = mixture.groupBy("source", "begin").agg(F.sum("words").alias("taken"))
+    same = F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.begin") == F.col("t.begin"))
     out = rows.alias("r").join(taken.alias("t"), same & (F.col("r.size") > 0), "left")
     return out.select("r.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -132,18 +183,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a row for each epoch in which it takes words of a document, with those words.
 
     A document that an epoch takes whole keeps its text as it is; of others the words are joined by a space, in their order.
-    n_chars, where it is there, is counted anew.
+    n_chars, where it is there, is counted anew. Rows equal in id, text and source are taken each; where their other columns
+    differ, which of them takes which part is arbitrary. An empty table gives no rows.
     """
     columns = docs.columns
     keyed = docs.select(F.struct("*").alias("row"), "source", n_words(F.col("text")).alias("size"), "doc_id", row_key(F.col("text")).alias("key"))
     _, mixture = mix(keyed.select("source", "size", "doc_id", "key"))
-    taken = mixture.groupBy("doc_id", "key", "begin", "epoch").agg(F.sum("words").alias("words"), F.collect_list(F.struct("from", "words")).alias("parts"))
+    taken = mixture.groupBy("source", "doc_id", "key", "begin", "epoch").agg(F.sum("words").alias("words"), F.collect_list(F.struct("from", "words")).alias("parts"))
     # equal rows lie at different places; each of them is paired with one
-    nth = Window.partitionBy("doc_id", "key")
-    repeats = not keyed.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    nth = Window.partitionBy("source", "doc_id", "key")
+    repeats = not keyed.groupBy("source", "doc_id", "key").count().where("count > 1").isEmpty()
     taken = taken.withColumn("nth", F.dense_rank().over(nth.orderBy("begin")) if repeats else F.lit(1))
     keyed = keyed.withColumn("nth", F.row_number().over(nth.orderBy("size")) if repeats else F.lit(1))
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.key") == F.col("t.key")) & (F.col("d.nth") == F.col("t.nth"))
+    same = F.col("d.source").eqNullSafe(F.col("t.source")) & F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.key") == F.col("t.key")) & (F.col("d.nth") == F.col("t.nth"))
     met = keyed.alias("d").join(taken.alias("t"), same)
     # the words are bound once for all parts of a document
     words = F.array(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "local_phone", "short_card", "secret")
 KINDS = BASE + ADDED
 THRESHOLD = 0.6
-NEAR = 48  # characters before a span in which a word counts as nearby
+NEAR = 48  # characters before or after a span in which a word counts as nearby
 
 # Each pattern starts where no earlier character could belong to the match, so no text takes quadratic time.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,21 +83,22 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _scored(text: str) -> Iterator[tuple[str, int, int]]:
-    def near(kind: str, start: int) -> float:
-        return 0.4 if _WORDS[kind].search(text, max(0, start - NEAR), start) else 0.0
+    def near(kind: str, m: re.Match) -> float:
+        word, (start, end) = _WORDS[kind], m.span()
+        return 0.4 if word.search(text, max(0, start - NEAR), start) or word.search(text, end, end + NEAR) else 0.0
 
     for m in _IBAN.finditer(text):
-        if (0.7 if mod97(m[0]) else 0.0) + near("iban", m.start()) / 2 >= THRESHOLD:
+        if (0.7 if mod97(m[0]) else 0.0) + near("iban", m) / 2 >= THRESHOLD:
             yield "iban", *m.span()
     for m in _LOCAL_PHONE.finditer(text):
-        if 0.3 + near("local_phone", m.start()) >= THRESHOLD:
+        if 0.3 + near("local_phone", m) >= THRESHOLD:
             yield "local_phone", *m.span()
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() <= 29 and 13 <= len(d := re.sub("[ -]", "", m[0])) <= 15:
-            if (0.4 if luhn(d) else 0.0) + near("short_card", m.start()) >= THRESHOLD:
+            if (0.4 if luhn(d) else 0.0) + near("short_card", m) >= THRESHOLD:
                 yield "short_card", *m.span()
     for m in _SECRET.finditer(text):
-        if (0.4 if any(map(str.isdigit, m[0])) else 0.1) + near("secret", m.start()) >= THRESHOLD:
+        if (0.4 if any(map(str.isdigit, m[0])) else 0.1) + near("secret", m) >= THRESHOLD:
             yield "secret", *m.span()
 
 
@@ -103,8 +106,11 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """All spans by kind. An added span that touches a base span gives way."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS} | base_spans(text)
     taken = sorted(s for k in BASE for s in out[k])
+    starts = [a for a, _ in taken]
+    ends = list(accumulate((b for _, b in taken), max))  # the furthest end so far
     for kind, start, end in _scored(text):
-        if not any(a < end and start < b for a, b in taken):
+        before = bisect_left(starts, end)  # spans that begin before this one ends
+        if not before or ends[before - 1] <= start:
             out[kind].append((start, end))
     return out
 
@@ -144,7 +150,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans in text replaced by their kinds, and n_chars, where it is there, counted anew."""
+    """``docs`` with the spans in text replaced by their kinds, and n_chars, where it is there, counted anew.
+
+    Null and empty texts stay. Each row is changed alone: repeated rows stay repeated, an empty table gives no rows.
+    """
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

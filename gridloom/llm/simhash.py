@@ -49,34 +49,51 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def trie_links(group: np.ndarray, value: np.ndarray, budget: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of values in one group that differ in at most ``budget`` of the low ``bits`` bits; higher bits are equal.
-
-    ``group`` and then ``value`` ascend, and no value repeats in a group. A trie node is an index range: its values share
-    the bits so far. All pairs of nodes at one depth go down together, a pair of unlike children costs a bit, and a pair
-    over the budget is dropped with all below it.
+def trie_roots(group: np.ndarray, value: np.ndarray, budget: int, bits: int, most: int = 1 << 18) -> np.ndarray:
+    """For each value the first index that chains of values of its group within ``budget`` differing bits reach.
+
+    ``group`` and then ``value`` ascend, higher bits than the low ``bits`` are equal in a group, and no value repeats in one. A
+    trie node is an index range: its values share the bits so far. Node pairs at one depth go down together, a pair of unlike
+    children costs a bit, and a pair over the budget is dropped with all below it, as is a pair whose values are all linked
+    already. Over ``most`` nodes and pairs at a time are cut in two and go down one after the other: so memory is bounded
+    however dense a group is.
     """
     n = len(value)
+    root = np.arange(n)
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    rank = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
+    key = (rank << np.uint64(bits)) | (value & np.uint64((1 << bits) - 1))  # ascends over all groups
     lo, hi = bounds[:-1], bounds[1:]
     big = hi - lo > 1
-    lo, hi = lo[big], hi[big]
-    cross = np.empty((5, 0), np.int64)  # a from, a to, b from, b to, differing bits so far
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    for bit in range(bits - 1, -1, -1):
-        if not len(lo) and not cross.shape[1]:
-            break
-        ones = np.concatenate([[0], np.cumsum((value >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        mid = hi - (ones[hi] - ones[lo])
+    # nodes to split, and cross pairs: a from, a to, b from, b to, differing bits so far
+    stack = [(bits - 1, lo[big], hi[big], np.empty((5, 0), np.int64))]
+    while stack:
+        bit, lo, hi, cross = stack.pop()
+        if len(lo) + cross.shape[1] > most and max(len(lo), cross.shape[1]) > 1:
+            i, j = len(lo) // 2, cross.shape[1] // 2
+            stack += [(bit, lo[i:], hi[i:], cross[:, j:]), (bit, lo[:i], hi[:i], cross[:, :j])]
+            continue
+        if cross.shape[1]:
+            jumps = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])  # equal over a range: one component
+            a0, a1, b0, b1, _ = cross
+            done = (jumps[a0] == jumps[a1 - 1]) & (jumps[b0] == jumps[b1 - 1]) & (root[a0] == root[b0])
+            cross = cross[:, ~done]
+        if bit < 0 or not (len(lo) or cross.shape[1]):
+            continue
+
+        def middle(start: np.ndarray, bit: int = bit) -> np.ndarray:
+            one = np.uint64(bit)
+            return np.searchsorted(key, ((key[start] >> one) | np.uint64(1)) << one)
+
+        mid = middle(lo)
         split = (lo < mid) & (mid < hi)
         new = [np.stack([lo, mid, mid, hi, np.ones_like(lo)])[:, split]]
-        lo, hi = np.concatenate([lo, mid]), np.concatenate([mid, hi])
+        lo, hi = np.concatenate([lo, mid]), np.concatenate([np.minimum(mid, hi), hi])
         big = hi - lo > 1
         lo, hi = lo[big], hi[big]
         if cross.shape[1]:
             a0, a1, b0, b1, d = cross
-            am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+            am, bm = np.clip(middle(a0), a0, a1), np.clip(middle(b0), b0, b1)
             for x0, x1, y0, y1, more in ((a0, am, b0, bm, 0), (am, a1, bm, b1, 0), (a0, am, bm, b1, 1), (am, a1, b0, bm, 1)):
                 live = (x0 < x1) & (y0 < y1) & (d + more <= budget)
                 new.append(np.stack([x0, x1, y0, y1, d + more])[:, live])
@@ -84,46 +101,40 @@ def trie_links(group: np.ndarray, value: np.ndarray, budget: int, bits: int) ->
         leaf = (cross[1] - cross[0] == 1) & (cross[3] - cross[2] == 1)
         if leaf.any():
             i, j = cross[0, leaf], cross[2, leaf]
-            near = np.bitwise_count(value[i] ^ value[j]) <= budget
-            left.append(i[near])
-            right.append(j[near])
+            near = np.bitwise_count(key[i] ^ key[j]) <= budget
+            root = spanning(root, i[near], j[near])
             cross = cross[:, ~leaf]
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        stack.append((bit - 1, lo, hi, cross))
+    return root
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that the links reach."""
-    root = np.arange(n)
-    while len(i):
+def spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root``, the least node that each node is known to reach, after the links i to j have joined what they join."""
+    while True:
         a, b = root[i], root[j]
-        low = np.minimum(a, b)
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
+        live = a != b
+        if not live.any():
+            return root
+        i, j, a, b = i[live], j[live], a[live], b[live]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while True:
             up = root[root]
             if (up == root).all():
                 break
             root = up
-        if (root == before).all():
-            break
-        live = root[i] != root[j]
-        i, j = i[live], j[live]
-    return root
 
 
 def rotated(fp: Column, by: int) -> Column:
     return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
-def near_links(distinct_fps: DataFrame, budget: int = 3, chunk: int = 1 << 18) -> DataFrame:
+def near_links(distinct_fps: DataFrame, budget: int = 3, chunk: int = 1 << 17) -> DataFrame:
     """(a, b) links that connect just those of the distinct ``fp`` that chains of pairs within ``budget`` bits connect.
 
     With budget 3, two fingerprints agree in one of four blocks of 16 bits. So four tries are built, each with another
     block as its top 16 levels, and their subtrees below those levels are the units of work: within one, no bit is spent yet.
-    A unit gives links of a spanning forest, never all its pairs.
+    A unit gives links of a spanning forest, never all its pairs. At most about 2 * ``chunk`` values, or one unit, are held.
     """
     if budget >= BITS // BLOCK:
         raise ValueError("the top levels are shared by all pairs for budgets of at most 3")
@@ -135,24 +146,33 @@ def near_links(distinct_fps: DataFrame, budget: int = 3, chunk: int = 1 << 18) -
     def links(unit: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((value, unit))
         unit, value = unit[order], value[order]
-        i, j = trie_links(unit, value, budget, BITS - BLOCK)
-        root = spanning(len(value), i, j)
+        root = trie_roots(unit, value, budget, BITS - BLOCK)
         own = np.flatnonzero(root != np.arange(len(value)))
         by = (unit[own] >> BLOCK).astype(np.uint64) * np.uint64(BLOCK)
         back = [np.where(by == 0, v, (v >> by) | (v << (np.uint64(BITS) - np.maximum(by, np.uint64(1))))).view(np.int64) for v in (value[own], value[root[own]])]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in back], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_unit, held_value = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def all_held() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held])
+
         for batch in batches:
-            held_unit = np.concatenate([held_unit, batch.column("unit").to_numpy()])
-            held_value = np.concatenate([held_value, batch.column("value").to_numpy().view(np.uint64)])
-            if len(held_unit) >= chunk and held_unit[0] != held_unit[-1]:
-                cut = np.searchsorted(held_unit, held_unit[-1])  # the last unit may go on
-                yield from links(held_unit[:cut], held_value[:cut])
-                held_unit, held_value = held_unit[cut:], held_value[cut:]
-        if len(held_unit):
-            yield from links(held_unit, held_value)
+            unit, value = batch.column("unit").to_numpy(), batch.column("value").to_numpy().view(np.uint64)
+            # a batch ends what is held up to its last unit, which may go on
+            for a in range(0, len(unit), chunk):
+                u, v = unit[a : a + chunk], value[a : a + chunk]
+                held.append((u, v))
+                size += len(u)
+                if size >= chunk and held[0][0][0] != u[-1]:
+                    units_, values = all_held()
+                    cut = np.searchsorted(units_, units_[-1])
+                    yield from links(units_[:cut], values[:cut])
+                    held, size = [(units_[cut:], values[cut:])], len(units_) - cut
+        if held:
+            yield from links(*all_held())
 
     return units.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -182,7 +202,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the least doc_id, of equal ids that with the least row key.
 
-    Rows with a null doc_id stay only where their whole group has none.
+    Rows with a null doc_id stay only where their whole group has none. Of rows equal in id and text one stays; where their
+    other columns differ, which one is arbitrary. An empty table gives no rows.
     """
     keyed = docs.withColumn("__key", row_key(F.col("text")))
     found = near_duplicates(keyed.select("doc_id", "text", "__key"), width, budget, ("doc_id", "__key"))

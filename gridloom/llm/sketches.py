@@ -16,6 +16,8 @@ WIDTH, SIZE = 5, 128
 BLANKS, GAP = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
 #: Ranges of ids within which neighbours are found: cut at quantiles, and these cut evenly where more are needed.
 ROWS_A_RANGE, QUANTILES, MOST_PARTS = 500, 1024, 128
+#: Rows of an id that many rows share are cut into so many more ranges, by the hash of their text.
+SHARED_PARTS = 255
 _LEAST = -(2**63)
 
 
@@ -60,7 +62,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with range and halo: descending doc_id within a range, each range followed by the row after it.
 
     Ties go by a hash of the text, null ids come last. The row after the last is the first. The texts move once. Of each
-    range the first id is broadcast, for at most ``QUANTILES * MOST_PARTS`` ranges, whatever the input.
+    range the first id is broadcast, for at most ``QUANTILES * (MOST_PARTS + SHARED_PARTS)`` ranges, whatever the input. An id
+    (or null) that holds two quantiles or more is cut by the hash of the texts; just rows equal in both share a range always.
     """
     ids = docs.select("doc_id")
     unique = ids.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -69,7 +72,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     n, parts = min(QUANTILES, wanted), min(MOST_PARTS, -(-wanted // QUANTILES))
     at = F.col("at")
     cuts, low, high = rows.agg(F.percentile_approx("at", [k / n for k in range(1, n)] or [0.5], F.lit(20 * QUANTILES)), F.min("at"), F.max("at")).head()
-    bounds = sorted({int(c) for c in cuts}) if n > 1 and cuts else []
+    cells_of = [int(c) for c in cuts] if n > 1 and cuts else []
+    bounds = sorted(set(cells_of))
     rows = rows.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda c: c < at)))
     if parts > 1:
         edges = F.array(*(F.lit(float(x)) for x in [low, *bounds, high]))
@@ -78,6 +82,12 @@ def with_next(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("range", F.col("cell") * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)))
     else:
         rows = rows.withColumn("range", F.col("cell"))
+    shared = sorted({a for a, b in zip(cells_of, cells_of[1:], strict=False) if a == b})
+    if shared and not unique:
+        # ranges go down in id, then up in key; ids of the cell below the shared one stay in its first part
+        by_key = F.floor((F.col("key").cast("double") / 2.0**64 + 0.5) * SHARED_PARTS).cast("int")
+        part = F.when(at.isin(shared), F.lit(SHARED_PARTS) - F.least(by_key, F.lit(SHARED_PARTS - 1))).otherwise(0)
+        rows = rows.withColumn("range", F.col("range") * (SHARED_PARTS + 1) + part)
     cells = rows.groupBy("range").agg(F.max(F.struct("at", F.bitwise_not("key").alias("key"))).alias("first"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("range"))
     # the first row of a range also follows the last row of the range before it in descending order, round to the first

@@ -17,7 +17,8 @@ ROWS = [
     (9, prose(1, 80), "en", "a", 1), (3, prose(1, 80), "en", None, 1), (10, prose(2, 30) + " " + BLOCK + " " + prose(3, 20), "en", "c", 1),
     (11, prose(4, 10) + "\n" + BLOCK + " tail", "fr", "c", 1), (12, BLOCK, "fr", "b", 1), (None, BLOCK + " null id", "fr", "b", 1),
     (13, prose(5, 30_000), "en", "d", 1), (14, "a@b.co +1 (017) 555-7713 4111 1111 1111 1111 10.0.0.255 Größe", "de", "d", 1), (14, "another text of this id", "en", "d", 1),
-    (15, "same same same same same same same same same same same same", "en", "b", 1), (16, "\U0001f600 ünï çødé \u00a0x", "fr", "", 1),
+    (15, "same same same same same same same same same same same same", "en", "b", 1), (17, prose(6, 300), "en", "x", 1), (17, prose(6, 300), "en", "y", 1),
+    (18, prose(7, 40) + " naïve Ünïcödé 中文字符 текст", "de", "y", 1), (16, "\U0001f600 ünï çødé \u00a0x", "fr", "", 1),
 ]
 
 
