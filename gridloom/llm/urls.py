@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import few, table
+from gridloom.sources.tables import materialize
 
 #: (rule, verdict). A rule is a host and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Weak labels: a host that has one of these words is labelled block, any other allow.
-SEED_WORDS = ("casino", "pills", "bets", "spam", "ads-")
+#: Weak labels of the query, as its tables have none: a host with one of these words is labelled block, any other allow. Only
+#: hosts are labelled whose crc32 leaves no 2 when divided by 4; the trees judge all others by their form alone.
+SEED_WORDS = ("casino", "pills", "bets", "spam", "ads-", "adult")
 #: Bound of the labelled sample that the trees are fitted on: the rows with the least hashes.
 SAMPLE_ROWS = 20_000
+RESULT = ("host", "path", "rule", "verdict", "score")
 TREES, DEPTH, RATE, BINS = 20, 3, 0.3, 32
 #: Suffix statistics of at most so many suffixes are broadcast; more are joined by a shuffle.
 BROADCAST_SUFFIXES = 10_000
-FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_count", "suffix_rate")
+FEATURES = tuple(f"__{c}" for c in ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_count", "suffix_rate"))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -42,9 +45,11 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """``rows(url, host, path)`` with the features that the string alone gives, and its suffix."""
-    url = F.coalesce("url", F.lit(""))
-    host, size = F.col("host"), F.length("host")
+    """``rows(url, ..)`` with __host, __path, the features that the string alone gives, and __suffix."""
+    host, path = parts(F.col("url"))
+    rows = rows.withColumns({"__host": host, "__path": path})
+    url, host = F.coalesce("url", F.lit("")), F.col("__host")
+    size = F.length(host)
 
     def term(sum_: Column, c: Column) -> Column:
         p = (size - F.length(F.replace(host, c, F.lit("")))) / size
@@ -52,20 +57,28 @@ def lexical(rows: DataFrame) -> DataFrame:
 
     query = F.when(F.instr(url, "?") > 0, F.substring(url, F.instr(url, "?"), F.length(url))).otherwise("")
     return rows.withColumns({
-        "suffix": F.element_at(F.split("host", r"\."), -1),
-        "url_length": F.length(url), "host_length": size, "path_length": F.length("path"),
-        "depth": F.regexp_count("path", F.lit("/")), "labels": F.regexp_count("host", F.lit(r"\.")), "hyphens": F.regexp_count("host", F.lit("-")),
-        "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(F.length(url), F.lit(1)),
-        "entropy": F.when(size > 0, F.reduce(F.array_distinct(F.split("host", "")), F.lit(0.0), term)).otherwise(0.0),
-        "parameters": F.regexp_count(query, F.lit("=")),
+        "__suffix": F.element_at(F.split(host, r"\."), -1),
+        "__url_length": F.length(url), "__host_length": size, "__path_length": F.length("__path"),
+        "__depth": F.regexp_count("__path", F.lit("/")), "__labels": F.regexp_count(host, F.lit(r"\.")), "__hyphens": F.regexp_count(host, F.lit("-")),
+        "__digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(F.length(url), F.lit(1)),
+        "__entropy": F.when(size > 0, F.reduce(F.array_distinct(F.split(host, "")), F.lit(0.0), term)).otherwise(0.0),
+        "__parameters": F.regexp_count(query, F.lit("=")),
     })
 
 
-def with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``rows`` with the count and the smoothed share of blocked URLs of their suffix, over all labelled rows."""
-    stats = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
-    stats = stats.select("suffix", F.log2(F.col("n") + 1).alias("suffix_count"), ((F.col("b") + 1) / (F.col("n") + 2)).alias("suffix_rate"))
-    return rows.join(F.broadcast(stats) if few(stats, BROADCAST_SUFFIXES) else stats, "suffix", "left").fillna({"suffix_count": 0.0, "suffix_rate": 0.5})
+def suffix_counts(known: DataFrame) -> DataFrame:
+    """(__suffix, __n, __b): the URLs of each suffix and how many of them are blocked, over all labelled rows."""
+    return materialize(known.groupBy("__suffix").agg(F.count("*").alias("__n"), F.sum("__label").cast("long").alias("__b")))
+
+
+def with_suffixes(rows: DataFrame, counts: DataFrame, own: Column | None = None) -> DataFrame:
+    """``rows`` with the count and the smoothed share of blocked URLs of their suffix. ``own``: a labelled row's label, which is
+    left out of its statistics."""
+    n, b = F.coalesce("__n", F.lit(0)), F.coalesce("__b", F.lit(0))
+    if own is not None:
+        n, b = n - 1, b - own
+    met = rows.join(F.broadcast(counts) if few(counts, BROADCAST_SUFFIXES) else counts, "__suffix", "left")
+    return met.withColumns({"__suffix_count": F.log2(n + 1), "__suffix_rate": (b + 1) / (n + 2)}).drop("__n", "__b")
 
 
 class Trees:
@@ -124,35 +137,49 @@ class Trees:
         return 1 / (1 + F.exp(-raw))
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees fitted on the ``sample_rows`` rows of ``labelled(label, url, features)`` with the least hashes."""
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows).select(*(F.col(c).cast("double") for c in FEATURES), F.col("label").cast("double")).toArrow()
+def fit(known: DataFrame, counts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Trees fitted on the ``sample_rows`` rows of ``known(url, __label, features)`` with the least hashes. Hashes over a limit that
+    leaves about twice as many are dropped first, so no more than that are ever sorted or moved."""
+    total = counts.agg(F.sum("__n")).head()[0] or 0
+    share = min(1.0, 2 * sample_rows / max(total, 1))
+    near = known.withColumn("__h", F.xxhash64("url")).where(F.col("__h") <= int((2 * share - 1) * (2**63 - 1024)))
+    near = with_suffixes(near, counts, F.col("__label"))
+    rows = near.orderBy("__h", "url").limit(sample_rows).select(*(F.col(c).cast("double") for c in FEATURES), F.col("__label").cast("double")).toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in FEATURES], 1) if rows.num_rows else np.empty((0, len(FEATURES)))
-    return Trees(x, rows.column("label").to_numpy())
+    return Trees(x, rows.column("__label").to_numpy())
 
 
 def seed_labels(host: Column, words: tuple[str, ...] = SEED_WORDS) -> Column:
     return F.when(host.rlike("|".join(words)), 1).otherwise(0)
 
 
+def unlabelled(host: Column) -> Column:
+    """Hosts that the query's labels leave out."""
+    return F.crc32(host) % 4 == 2
+
+
 def filtered(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, cut: float = 0.5) -> DataFrame:
-    """``pages(.., url)`` with host, path, rule, verdict and score.
+    """``pages(.., url)`` with host, path, rule, verdict and score; columns of ``pages`` with these names give way to them.
 
     ``labelled(url, label)``: URLs with label 1 for block, 0 for allow. The verdict is that of the longest fitting rule, else
     block where the trees give a chance over ``cut``. Null and malformed URLs have empty host and path, fit no rule, and are
-    judged like others. Without labels, or with labels of one kind, all are judged alike. Rows are judged one by one.
+    judged like others. Without labels, or with labels of one kind, all are judged alike. Rows are judged one by one, so
+    repeated rows get the same answer, and an empty table gives no rows. A URL that is labelled twice counts twice.
     """
-    host, path = parts(F.col("url"))
-    known = lexical(labelled.select("url", "label").withColumns({"host": host, "path": path}))
-    trees = fit(with_suffixes(known, known))
-    rows = with_suffixes(lexical(pages.withColumns({"host": host, "path": path})), known)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"score": trees.column(), "rule": rule, "says": verdict})
-    return rows.select(*pages.columns, "host", "path", "rule", F.coalesce("says", F.when(F.col("score") > cut, "block").otherwise("allow")).alias("verdict"), "score")
+    known = lexical(labelled.select("url", F.col("label").alias("__label")))
+    counts = suffix_counts(known)
+    trees = fit(known, counts)
+    kept = [c for c in pages.columns if c not in RESULT]
+    rows = with_suffixes(lexical(pages.select("url", F.struct(*kept).alias("__row"))), counts)
+    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
+    rows = rows.withColumns({"__score": trees.column(), "__rule": rule, "__says": verdict})
+    said = F.coalesce("__says", F.when(F.col("__score") > cut, "block").otherwise("allow"))
+    return rows.select(*(F.col(f"__row.`{c}`").alias(c) for c in kept), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), said.alias("verdict"), F.col("__score").alias("score"))
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page."""
     pages = table(spark, sf_dir, "pages", "page_id", "url")
-    labelled = pages.where("url is not null").select("url", seed_labels(parts(F.col("url"))[0]).alias("label"))
-    return filtered(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "score")
+    host = parts(F.col("url"))[0]
+    labelled = pages.where(F.col("url").isNotNull() & ~unlabelled(host)).select("url", seed_labels(host).alias("label"))
+    return filtered(pages, labelled).select("page_id", *RESULT)

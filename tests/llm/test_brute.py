@@ -122,6 +122,47 @@ def test_op2_rules(spark, sf):
     assert (got[7].rule, got[7].verdict, got[8].rule, got[8].verdict) == ("net/de/", "allow", "example.net/de/8", "block")
 
 
+def plain_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+@pytest.mark.parametrize("edge", [True, False])
+def test_op2_plain(spark, sf, edge):
+    d = sf if edge else "/root/testdata/sf0.01"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = QUERIES["op2_urls"](spark, d).collect()
+    assert {r.page_id for r in got} == set(pages)
+    for r in got:
+        host, path = plain_parts(pages[r.page_id])
+        fits = [(len(rule), rule, says) for rule, says in urls.RULES for of, _, start in [rule.partition("/")] if (host == of or host.endswith("." + of)) and path.startswith("/" + start)]
+        _, rule, says = max(fits, default=(0, None, None))
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (says or ("block" if r.score > 0.5 else "allow"))
+
+
+def test_op2_held_out_hosts(spark):
+    """Hosts without a label: the trees find those that the seed words would have blocked, and hardly others."""
+    d = "/root/testdata/sf0.1"
+    got = QUERIES["op2_urls"](spark, d).where(urls.unlabelled(F.col("host"))).select("host", "score", urls.seed_labels(F.col("host")).alias("label")).collect()
+    bad = [r.score > 0.5 for r in got if r.label]
+    assert len(got) > 200 and (not bad or np.mean(bad) > 0.9) and np.mean([r.score > 0.5 for r in got if not r.label]) < 0.05
+
+
+def test_op2_suffix_rate_leaves_its_own_label_out(spark):
+    known = urls.lexical(spark.createDataFrame([("http://a.xx", 1), ("http://b.xx", 0), ("http://c.yy", 1)], "url string, __label int"))
+    got = {r.url: (r["__suffix_rate"], round(2 ** r["__suffix_count"])) for r in urls.with_suffixes(known, urls.suffix_counts(known), F.col("__label")).collect()}
+    assert got == {"http://a.xx": (1 / 3, 2), "http://b.xx": (2 / 3, 2), "http://c.yy": (1 / 2, 1)}
+
+
+def test_op2_clashing_columns(spark):
+    pages = spark.createDataFrame([("http://X.org/a", "mine", 7.0, 3, 4)], "url string, host string, score double, __n int, label int")
+    got = urls.filtered(pages, spark.createDataFrame([("http://x.org", 0)], "url string, label int"))
+    assert got.columns == ["url", "__n", "label", *urls.RESULT] and got.head().host == "x.org" and got.head().label == 4
+
+
 def test_op2_trees_learn(spark):
     """Trained on some spam hosts, the trees know others by their form."""
     rng = random.Random(1)
