@@ -192,12 +192,75 @@ def test_op3_base(spark, case):
     assert got == want
 
 
-def test_op3_model_sums_to_one():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 24, 3000)).astype(np.int32)
-    model = quality.KneserNey(keys, np.random.default_rng(2).integers(1, 9, len(keys)))
-    for context in (int(keys[5]) >> 6, 12345, 0):
-        chances = model._chance((context << 6) + np.arange(64), quality.ORDER)
-        assert chances.sum() == pytest.approx(1, abs=1e-6) and (chances > 0).all()
+def plain_costs(texts):
+    """Mean cost of a unit of each text under one interpolated modified Kneser-Ney model of them all, with dictionaries."""
+    def units(t):
+        return [int.from_bytes(u, "little") for u in re.findall(rb"(?s)..", ("   " + re.sub(r"[\t-\r]", " ", t.lower())).encode("utf-16-le"))]
+
+    grams = [[tuple(u[i - 3 : i + 1]) for i in range(3, len(u))] for u in map(units, texts)]
+    counts = {4: Counter(g for of in grams for g in of)}
+    for m in (3, 2, 1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    cut, total, off = {}, {}, {}
+    for m, of in counts.items():
+        ones = [max(1, sum(n == k for n in of.values())) for k in (1, 2, 3, 4)]
+        y = ones[0] / (ones[0] + 2 * ones[1])
+        cut[m] = [0, *(min(most, max(0.0, k - (k + 1) * y * ones[k] / ones[k - 1])) for k, most in ((1, 0.95), (2, 1.9), (3, 2.85)))]
+        total[m], off[m] = Counter(), Counter()
+        for g, n in of.items():
+            total[m][g[:-1]] += n
+            off[m][g[:-1]] += cut[m][min(n, 3)]
+
+    def chance(g, m):
+        if m == 0:
+            return 1 / 65536
+        c = g[:-1]
+        if c not in total[m]:
+            return chance(g[1:], m - 1)
+        n = counts[m][g]
+        return (n - cut[m][min(n, 3)]) / total[m][c] + max(off[m][c] / total[m][c], 1e-6) * chance(g[1:], m - 1)
+
+    return [-np.mean([np.log(chance(g, 4)) for g in of]) if of else 0.0 for of in grams]
+
+
+@pytest.mark.parametrize("most", [quality.MODEL_ROWS, 10])
+def test_op3_whole_method(spark, docs, most):
+    """Scores, bands and verdicts against the plain model, by arrays and by the join."""
+    df = docs.select("doc_id", "text", "lang").where("length(text) < 20000 or text is null")
+    df = df.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 1500").select("doc_id", "text", "lang").limit(60))
+    got = Counter((r.doc_id, r.n_words, round(r.log_perplexity, 4), r.kept) for r in quality.judge(quality.scored_by_own_model(df, most)).collect())
+    by, want = {}, Counter()
+    for r in df.collect():
+        by.setdefault(r.lang, []).append(r)
+    for of in by.values():
+        costs = plain_costs([r.text or "" for r in of])
+        base = []
+        for r in of:
+            w = words(r.text)
+            fives = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            again = {k for i in range(len(w) - 4) if fives[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+            base.append(len(w) < 10 or 100 * len(again) > 20 * len(w))
+        good = sorted(c for c, bad in zip(costs, base, strict=True) if not bad)
+        q = [good[max(0, -(-len(good) * k // 4) - 1)] for k in (1, 2, 3)] if good else [0, 0, 0]
+        for r, c, bad in zip(of, costs, base, strict=True):
+            width = 2.5 * max((q[2] - q[0]) / 2, 0.005) * (1 + 8000 / max(1, len((r.text or "").encode()))) ** 0.5
+            want[r.doc_id, len(words(r.text)), round(c, 4), not bad and abs(c - q[1]) <= width] += 1
+    near = {(i, n, k) for i, n, c, k in got} == {(i, n, k) for i, n, c, k in want}
+    assert near and sorted(x[2] for x in got.elements()) == pytest.approx(sorted(x[2] for x in want.elements()), abs=2e-4)
+
+
+def test_op3_model_sums_to_one(spark, docs):
+    model = quality.KneserNey(quality.count_ngrams(docs.where("lang = 'en'")))
+    for context in ("rin", "zzz", "   "):
+        keys = sum(np.uint64(ord(c)) << np.uint64(16 * (3 - i)) for i, c in enumerate(context)) + np.arange(65536, dtype=np.uint64)
+        chances = model.chance(np.full(65536, quality.lang_hash("en"), np.uint64), keys)
+        assert chances.astype(float).sum() == pytest.approx(1, abs=1e-4) and (chances > 0).all()
+
+
+def test_op3_null_is_no_empty_language(spark):
+    rows = [(i, "some plain words that stand here for a test of bands " * 1 + str(i), lang) for i, lang in enumerate([None, ""] * 4)] + [(100, "zq xj " * 8 + "zzq qqx", None)]
+    got = quality.judge(quality.scored_by_own_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))).collect()
+    assert len(got) == 9 and {r.lang for r in got} == {None, ""} and len({r.upper for r in got if r.lang == "" and r.n_bytes == got[0].n_bytes}) == 1
 
 
 def test_op3_keeps_good_text(spark, rows):
