@@ -4,7 +4,10 @@ Each text is a string of word symbols. A round names maximal runs of one symbol,
 left or a right one, and a left one followed by a right one becomes a new symbol. Names are hashes of what they stand for, so
 equal substrings get equal names inside, in all partitions, without a dictionary. Every symbol also carries the range of
 words that decided it. A window of words chooses as its anchor the first symbol of the highest level that its own words
-decide, so equal windows choose equal anchors. Only windows with one anchor meet, and hashes of their words verify them.
+decide, so equal windows choose equal anchors.
+
+First Spark counts the anchors of all texts: a repeat between documents is revealed by an anchor that several have. Then only
+windows with such an anchor meet, and the hashes of their words beside the anchor's name, 128 bits, verify them.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import MIX1, mixed, pieces, row_key, table, texts, word_hashes
+from gridloom.sources.tables import materialize
 
 #: Rounds of naming. A symbol of level r covers about (4/3)**r words.
 ROUNDS = 8
 #: Rounds after which runs are named.
 RUN_ROUNDS = (0, 4)
-#: Bytes of a window's hash that travel, besides the 64 bits of its anchor.
-HASH_BYTES = 6
+#: An anchor that so many batches of texts have is hot: its windows are spread by their own hashes.
+HOT = 64
+#: Sets of names are bitmaps of 16 bits a name, and of at least and at most so many bits (powers of 2; 128 MB). A name that shares
+#: its bit with another is taken for one of the set, which costs time and changes nothing.
+LEAST_BITS, MOST_BITS = 20, 30
 _LAST = np.int64(np.iinfo(np.int64).max)
 _P = np.uint64(0xD1342543DE82EF95)
 _P_BACK = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -114,79 +121,143 @@ def _stretches(ok: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return here[np.concatenate([[True], cut])], here[np.concatenate([cut, [True]])]
 
 
-def _batch(bodies: list[bytes], doc: np.ndarray, key: np.ndarray, window: int) -> dict[str, pa.Array] | None:
-    """What these texts send: stretches of windows by anchor, and stretches already known to repeat (no hashes).
+class Batch:
+    """The words of some texts between separators, and their windows: owner is a window's text, starts its first word."""
+
+    def __init__(self, bodies: list[bytes], window: int) -> None:
+        hashed = [word_hashes(x, xxhash.xxh3_64_intdigest) for x in bodies]
+        n = np.fromiter(map(len, hashed), np.int64, len(hashed))
+        one = np.zeros(1, np.uint64)
+        self.words = np.concatenate([one, *(part for x in hashed for part in (x, one))])
+        self.begin = np.concatenate([[1], 1 + np.cumsum(n + 1)[:-1]])
+        sep = np.zeros(len(self.words), bool)
+        sep[0] = True
+        sep[self.begin + n] = True
+        many = np.maximum(n - window + 1, 0)
+        self.owner = np.repeat(np.arange(len(n)), many)
+        self.starts = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.begin[self.owner]
+        self.anchor = anchors(self.words, sep, self.starts, window) if len(self.starts) else one[:0]
+
+
+def _batches(batch: pa.RecordBatch, window: int, at_most: int) -> Iterator[tuple[int, int, Batch]]:
+    bodies = [x or b"" for x in texts(batch)]
+    for i, j in pieces(bodies, at_most):
+        of = Batch(bodies[i:j], window)
+        if len(of.starts):
+            yield i, j, of
+
+
+def shared_anchors(keyed: DataFrame, window: int, batch_bytes: int) -> DataFrame:
+    """(name, hot): the anchors that several documents have. A batch sends each of its anchors once, with whether several of its
+    texts have it: so the counts are of batches, and neither documents nor places travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, of in _batches(batch, window, batch_bytes):
+                first, _ = _stretches(np.ones(len(of.starts), bool), of.owner, of.anchor)
+                name, owner = of.anchor[first], of.owner[first]
+                order = np.lexsort((owner, name))
+                name, owner = name[order], owner[order]
+                head = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+                several = owner[head] != owner[np.append(head[1:], len(name)) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(name[head].view(np.int64)), pa.array(several)], ["name", "several"])
+
+    seen = keyed.select("text").mapInArrow(run, "name bigint, several boolean").groupBy("name").agg(F.count("*").alias("n"), F.max("several").alias("several"))
+    return materialize(seen.where("n > 1 or several").select("name", (F.col("n") >= HOT).alias("hot")))
+
+
+def bit_of(name: Column, bits: int) -> Column:
+    return F.pmod(name, F.lit(1 << bits)) + 1
+
+
+def bitmap_rows(names: DataFrame, bits: int) -> DataFrame:
+    """(bucket, bitmap) of ``names(name)``: at most 2**bits / 32,768 rows of 4 KB."""
+    bit = bit_of(F.col("name"), bits)
+    return names.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+
+
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
+
+class Names:
+    """A set of names as a bitmap on every executor, of a bounded size."""
+
+    def __init__(self, names: DataFrame, bits: int) -> None:
+        held = np.zeros((1 << bits) // 8, np.uint8)
+        for row in bitmap_rows(names, bits).toLocalIterator():
+            held[(row["bucket"] - 1) * 4096 :][:4096] = np.frombuffer(row["bitmap"], np.uint8)
+        self.bits, self.held = bits, names.sparkSession.sparkContext.broadcast(held)
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        bit = names & np.uint64((1 << self.bits) - 1)
+        return (self.held.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _sent(of: Batch, doc: np.ndarray, key: np.ndarray, window: int, shared: Names, hot: Names) -> dict[str, pa.Array] | None:
+    """What these texts send: stretches of windows by name, and stretches already known to repeat (no hashes).
 
     Of equal windows of these texts only the first document's travels: a passage or copy that many documents share comes
-    to the exchange once from each batch.
+    to the exchange once from each batch. The name is the anchor's, for a hot anchor one of anchor and words.
     """
-    hashed = [word_hashes(x, xxhash.xxh3_64_intdigest) for x in bodies]
-    n = np.fromiter(map(len, hashed), np.int64, len(hashed))
-    if not (n >= window).any():
+    met = shared.has(of.anchor)
+    here = np.flatnonzero(met)
+    if not len(here):
         return None
-    one = np.zeros(1, np.uint64)
-    words = np.concatenate([one, *(part for x in hashed for part in (x, one))])
-    begin = np.concatenate([[1], 1 + np.cumsum(n + 1)[:-1]])
-    sep = np.zeros(len(words), bool)
-    sep[0] = True
-    sep[begin + n] = True
-    many = np.maximum(n - window + 1, 0)
-    owner = np.repeat(np.arange(len(n)), many)
-    starts = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + begin[owner]
-    digest = window_hashes(words, starts, window)
-    anchor = anchors(words, sep, starts, window)
-    order = np.lexsort((doc[owner], digest))
-    head = np.concatenate([[True], digest[order[1:]] != digest[order[:-1]]])
-    least = doc[owner][order[np.flatnonzero(head)]][np.cumsum(head) - 1]
-    known = np.empty(len(starts), bool)
-    known[order] = doc[owner][order] > least
-    sent = ~known
-    first, last = _stretches(sent, owner, anchor)
-    k0, k1 = _stretches(known, owner)
+    hashes, whose = window_hashes(of.words, of.starts[here], window), doc[of.owner[here]]
+    anchor = of.anchor[here]
+    order = np.lexsort((whose, anchor, hashes))
+    h, a = hashes[order], anchor[order]
+    head = np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1])])
+    least = whose[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    later = np.empty(len(here), bool)
+    later[order] = whose[order] > least
+    known, sent = np.zeros(len(met), bool), np.zeros(len(met), bool)
+    known[here[later]], sent[here[~later]] = True, True
+    name, digest = np.zeros(len(met), np.uint64), np.zeros(len(met), np.uint64)
+    digest[here] = hashes
+    both = mixed(mixed(hashes) + anchor * MIX1)
+    name[here] = np.where(hot.has(anchor), both, anchor)
+    first, last = _stretches(sent, of.owner, name)
+    k0, k1 = _stretches(known, of.owner)
     size = last - first + 1
-    body = np.ascontiguousarray(digest[sent]).view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
-    offsets = np.concatenate([[0], np.cumsum(size), np.full(len(k0), size.sum())]) * HASH_BYTES
+    body = np.ascontiguousarray(digest[sent]).tobytes()
+    offsets = np.concatenate([[0], np.cumsum(size), np.full(len(k0), size.sum())]) * 8
     valid = np.concatenate([np.ones(len(first), bool), np.zeros(len(k0), bool)])
-    hashes = pa.Array.from_buffers(pa.binary(), len(valid), [pa.array(valid).buffers()[1], pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
-    both, ends = np.concatenate([first, k0]), np.concatenate([last, k1])
-    whose = owner[both]
-    since = starts[both] - begin[whose]
-    # what is known needs no meeting: its anchor is any value, so that it spreads
-    name = np.concatenate([anchor[first], mixed(starts[k0].astype(np.uint64) + digest[k0])])
-    return {"anchor": name.view(np.int64), "doc": doc[whose], "key": key[whose], "since": since.astype(np.int32), "many": (ends - both + 1).astype(np.int32), "hashes": hashes}
+    held = pa.Array.from_buffers(pa.binary(), len(valid), [pa.array(valid).buffers()[1], pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
+    begins, ends = np.concatenate([first, k0]), np.concatenate([last, k1])
+    text = of.owner[begins]
+    since = of.starts[begins] - of.begin[text]
+    # what is known needs no meeting: its name is any value, so that it spreads
+    names = np.concatenate([name[first], mixed(of.starts[k0].astype(np.uint64) + digest[k0])])
+    return {"name": names.view(np.int64), "doc": doc[text], "key": key[text], "since": since.astype(np.int32), "many": (ends - begins + 1).astype(np.int32), "hashes": held}
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and doc: the word ranges whose windows an earlier document has too."""
-    carried_key, carried_doc, carried_anchor = np.empty(0, np.uint64), np.empty(0, np.int64), None
+    """Of rows sorted by name and doc: the word ranges whose windows an earlier document has too.
+
+    The windows of one name are held until the next; hot anchors' windows have names of their own, so these are few.
+    """
+    carried = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)  # name, hash and first doc
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, doc, key, since, many = (batch.column(c).to_numpy() for c in ("anchor", "doc", "key", "since", "many"))
+        names, doc, key, since, many = (batch.column(c).to_numpy() for c in ("name", "doc", "key", "since", "many"))
         hashes = batch.column("hashes")
         open_ = hashes.is_valid().to_numpy(zero_copy_only=False)
         row = np.repeat(np.flatnonzero(open_), many[open_])
-        raw = b"".join(x for x in hashes.to_pylist() if x is not None)
-        wide = np.zeros((len(row), 8), np.uint8)
-        wide[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
-        digest = wide.view(np.uint64).reshape(-1)
-        k, d = mixed(mixed(anchor[row].view(np.uint64)) + digest * MIX1), doc[row]
-        if carried_anchor is not None and len(anchor) and anchor[0] != carried_anchor:
-            carried_key, carried_doc = carried_key[:0], carried_doc[:0]
-        old = len(carried_key)
-        all_k, all_d = np.concatenate([carried_key, k]), np.concatenate([carried_doc, d])
-        order = np.lexsort((all_d, all_k))
-        head = np.concatenate([[True], all_k[order[1:]] != all_k[order[:-1]]]) if len(order) else np.empty(0, bool)
+        digest = np.frombuffer(b"".join(x for x in hashes.to_pylist() if x is not None), np.uint64)
+        old = len(carried[0])
+        n, h, d = (np.concatenate(x) for x in zip(carried, (names[row].view(np.uint64), digest, doc[row]), strict=True))
+        order = np.lexsort((d, h, n))
+        head = np.ones(len(order), bool)
+        head[1:] = (n[order[1:]] != n[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
         firsts = order[np.flatnonzero(head)]
         hit = np.empty(len(order), bool)
-        hit[order] = all_d[order] > all_d[firsts][np.cumsum(head) - 1] if len(order) else False
+        hit[order] = d[order] > d[firsts][np.cumsum(head) - 1] if len(order) else False
         hit = hit[old:]
-        # the last anchor may go on in the next batch
-        carried_anchor = anchor[-1]
-        if len(firsts):
-            whose = np.concatenate([np.full(old, carried_anchor if anchor[0] == carried_anchor else ~carried_anchor), anchor[row]])
-            firsts = firsts[whose[firsts] == carried_anchor]
-        carried_key, carried_doc = all_k[firsts], all_d[firsts]
+        stays = firsts[n[firsts] == names[-1:].view(np.uint64)]  # the last name may go on in the next batch
+        carried = n[stays], h[stays], d[stays]
         at = np.arange(len(row)) - np.repeat(np.cumsum(many[open_]) - many[open_], many[open_])
         a, b = _stretches(hit, row)
         rows = np.concatenate([row[a], np.flatnonzero(~open_)])
@@ -197,18 +268,20 @@ def _repeats(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def repeated_ranges(keyed: DataFrame, window: int = 50, batch_bytes: int = 8 << 20) -> DataFrame:
     """(doc, key, lo, hi): word ranges of ``keyed(doc, key, text)`` to remove; all windows in them start in an earlier doc."""
+    names = shared_anchors(keyed, window, batch_bytes)
+    bits = bits_for(names.count())
+    shared, hot = Names(names, bits), Names(names.where("hot"), bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "doc", "key", "since", "many", "hashes"]
+        columns = ["name", "doc", "key", "since", "many", "hashes"]
         for batch in batches:
-            bodies = [x or b"" for x in texts(batch)]
             doc, key = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-            for i, j in pieces(bodies, batch_bytes):
-                if sent := _batch(bodies[i:j], doc[i:j], key[i:j], window):
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in sent.values()], names)
+            for i, j, of in _batches(batch, window, batch_bytes):
+                if sent := _sent(of, doc[i:j], key[i:j], window, shared, hot):
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in sent.values()], columns)
 
-    sent = keyed.select("doc", "key", "text").mapInArrow(send, "anchor bigint, doc bigint, key bigint, since int, many int, hashes binary")
-    met = sent.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc")
+    sent = keyed.select("doc", "key", "text").mapInArrow(send, "name bigint, doc bigint, key bigint, since int, many int, hashes binary")
+    met = sent.repartition(F.col("name")).sortWithinPartitions("name", "doc")
     return met.mapInArrow(lambda batches: _repeats(batches, window), "doc bigint, key bigint, lo int, hi int")
 
 
@@ -227,8 +300,20 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
     each other; equal rows fare alike. Null and empty texts have no words. An empty table gives no rows.
     """
     keyed = _keyed(docs.select("doc_id", "text"))
-    found = repeated_ranges(keyed, window).groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return keyed.join(found.hint("shuffle_hash"), ["doc", "key"], "left").select("doc_id", "text", "ranges")
+    found = materialize(repeated_ranges(keyed, window).groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    # only documents that may lose words go through the join: their bits are set in a bitmap of bounded size
+    name = F.xxhash64("doc", "key")
+    bits = bits_for(found.count())
+    rows = bitmap_rows(found.select(name.alias("name")), bits)
+    bit = bit_of(name, bits)
+    marked = keyed.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(rows), "bucket", "left")
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (at % 8 + 1).cast("int"))) > 0, F.lit(False))
+    marked = marked.select("doc_id", "text", "doc", "key", hit.alias("hit"))
+    met = marked.where("hit").join(found, ["doc", "key"], "left").select("doc_id", "text", "ranges")
+    none = F.lit(None).cast("array<struct<lo:int,hi:int>>")
+    return met.unionByName(marked.where("not hit").select("doc_id", "text", none.alias("ranges")))
 
 
 def kept_words(text: bytes | None, ranges: pa.Scalar | None) -> tuple[int, list[bytes]]:

@@ -740,3 +740,30 @@ def test_op10_repeats_and_small_batches(spark):
         w = t.split()
         want = {k for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for k in range(p, p + 50)}
         assert got[i] == want
+
+
+def test_op10_hot_anchors(spark, monkeypatch):
+    """All anchors hot: windows meet by their own hashes, with the same result."""
+    monkeypatch.setattr(substrings, "HOT", 1)
+    test_op10_repeats_and_small_batches(spark)
+
+
+def test_op10_full_bitmaps(spark, monkeypatch):
+    """Bitmaps so small that most names share a bit cost time only."""
+    monkeypatch.setattr(substrings, "LEAST_BITS", 15)
+    monkeypatch.setattr(substrings, "MOST_BITS", 15)
+    test_op10_repeats_and_small_batches(spark)
+
+
+def test_op10_anchors_of_equal_windows():
+    """Equal windows have equal anchors wherever they stand, and the anchors of a passage are revealed by all its texts."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(200)]
+    bodies = [" ".join([f"{k}x{i}" for i in range(rng.randrange(40, 90))] + shared + [f"{k}y{i}" for i in range(rng.randrange(60))]).encode() for k in range(5)]
+    of = substrings.Batch(bodies, 50)
+    by, of_anchor = {}, {}
+    for owner, start, anchor in zip(of.owner.tolist(), of.starts.tolist(), of.anchor.tolist(), strict=True):
+        w = tuple(of.words[start : start + 50].tolist())
+        assert by.setdefault(w, anchor) == anchor
+        of_anchor.setdefault(anchor, set()).add(owner)
+    assert sum(len(v) == 5 for v in of_anchor.values()) > 5
