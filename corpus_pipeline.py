@@ -1,6 +1,6 @@
 """Corpus pipeline: each stage works on all rows that the one before it kept.
 
-Languages that stay unknown go, one document of each near-duplicate group stays, personal data are replaced by their kinds,
+Documents whose language stays unknown or is surely another than they say go, one document of each near-duplicate group stays, personal data are replaced by their kinds,
 sources are mixed to their target weights, and the result is packed into training sequences.
 """
 
@@ -14,7 +14,7 @@ from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.pii import redacted
 from gridloom.llm.simhash import keep_one
-from gridloom.sources.tables import materialize
+from gridloom.sources.tables import drop, materialize, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the packed mixture: all stages over ``documents``, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    """The pieces of the packed mixture: all stages over ``documents``, each result written and read again.
+
+    What a stage wrote for itself, and the result that it read, are dropped once its own result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
+    for _, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+        own = written()
+        docs = materialize(docs)
+        drop(own - before)
+    return STAGES[-1][1](spark, docs, sf_dir)
