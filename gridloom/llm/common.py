@@ -50,20 +50,6 @@ def pieces(values: list[bytes], at_most: int) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
-def map_arrow(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Iterator[dict] | dict | None]) -> DataFrame:
-    """``mapInArrow`` for a step that takes a record batch and gives columns by name."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
-                for columns in [out] if isinstance(out, dict) else out or ():
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[n]) if not isinstance(columns[n], pa.Array) else columns[n] for n in names], names)
-
-    return df.mapInArrow(run, schema)
-
-
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -7,7 +7,7 @@ language and n-gram; beyond the bound the n-grams of the documents are joined wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import MIX1, few, mixed, pieces, row_key, table, texts, word_hashes
+from gridloom.llm.common import MIX1, few, mixed, pieces, table, texts, word_hashes
 from gridloom.sources.tables import materialize
 
 ORDER, UNIT_BITS = 4, 16
-#: A model of at most so many n-grams of the highest order is held in arrays, some 60 MB; a larger one is joined.
-MODEL_ROWS = 2_000_000
+#: A model of at most so many n-grams of the highest order is held in arrays, some 200 MB; a larger one is joined.
+MODEL_ROWS = 8_000_000
 #: A text is rejected if its log perplexity is further from its language's median than so many times the spread.
 WIDTH = 2.5
 #: The spread counts as this at least.
@@ -202,10 +202,6 @@ class KneserNey:
             out[miss] = np.where(known, weight, 1) * lower
         return out
 
-    def costs(self, langs: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Minus the natural logarithm of each probability."""
-        return -np.log(self.chance(langs, keys))
-
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])[ends], prepend=0)
@@ -256,48 +252,68 @@ def _schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
     return ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + ", ".join(f"{c} bigint" for c in COUNTS) + ", log_perplexity double"
 
 
+def _measured(batch: pa.RecordBatch, bodies: list[bytes], keep: tuple[str, ...], chance: Callable | None) -> pa.RecordBatch:
+    """``keep`` columns of a batch with the measures of its texts; ``chance`` gives the probabilities of n-grams."""
+    got, cost = measures(bodies), np.zeros(len(bodies))
+    if chance is not None:
+        keys, size = ngrams([x or "" for x in batch.column("text").to_pylist()])
+        langs = np.repeat(np.fromiter(map(lang_hash, batch.column("lang").to_pylist()), np.uint64, len(bodies)), size)
+        cost = _sums(-np.log(chance(langs, keys)).astype(float), np.cumsum(size)) / np.maximum(size, 1)
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(got[c]) for c in COUNTS), pa.array(cost)], [*keep, *COUNTS, "log_perplexity"])
+
+
 def score(docs: DataFrame, model: KneserNey | None, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """``keep`` columns, lang among them, with the measures of each whole text of ``docs(text, lang, ..)``. log_perplexity is the mean
-    cost of a unit under the language's model, 0 without a model or units. Null is the empty text. Repeated rows are scored
-    alike, and an empty table gives no rows."""
+    of minus the natural logarithm of each unit's probability under the language's model; 0 without a model or units. Null is the empty text.
+    Repeated rows are scored alike, and an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a checked size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, strings, langs = [x or b"" for x in texts(batch)], batch.column("text"), batch.column("lang")
+            bodies = [x or b"" for x in texts(batch)]
             for i, j in pieces(bodies, ROOM):
-                got, cost = measures(bodies[i:j]), np.zeros(j - i)
-                if shared.value is not None:
-                    keys, size = ngrams([x or "" for x in strings.slice(i, j - i).to_pylist()])
-                    own = np.fromiter(map(lang_hash, langs.slice(i, j - i).to_pylist()), np.uint64, j - i)
-                    cost = _sums(shared.value.costs(np.repeat(own, size), keys).astype(float), np.cumsum(size)) / np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *(pa.array(got[c]) for c in COUNTS), pa.array(cost)], [*keep, *COUNTS, "log_perplexity"])
+                yield _measured(batch.slice(i, j - i), bodies[i:j], keep, None if shared.value is None else shared.value.chance)
 
     return docs.select(*keep, "text").mapInArrow(run, _schema(docs, keep))
 
 
 def joined_scores(docs: DataFrame, chances: DataFrame) -> DataFrame:
-    """``score`` of ``docs(doc_id, text, lang)`` for a model of any size that has all their n-grams: the distinct n-grams of each text
-    are joined with ``chances(lang, key, p)``, a join that Spark splits where one n-gram is in most texts."""
+    """``score`` of ``docs(doc_id, text, lang)`` for a model of any size that has all their n-grams.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The texts are written with the number of their partition. The distinct n-grams of each partition's texts are joined with
+    ``chances(lang, key, p)``, a join that Spark splits where one n-gram is in most of them, and meet the texts again: a task holds
+    one partition's texts and n-grams. Texts move once, and the n-grams of a partition but once.
+    """
+    docs = materialize(docs.select("doc_id", "text", "lang").withColumn("batch", F.spark_partition_id()))
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str | None], np.ndarray] = {}
         for batch in batches:
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            by: dict[tuple[int, str | None], list[str]] = {}
+            for of, lang, text in zip(*(batch.column(c).to_pylist() for c in ("batch", "lang", "text")), strict=True):
                 if text:
-                    keys, n = np.unique(ngrams([text])[0], return_counts=True)
-                    at = pa.array(np.full(len(keys), k))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "row", "lang")), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "row", "lang", "key", "n"])
-
-    docs = docs.withColumn("row", row_key(F.col("text")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.select("doc_id", "row", "lang", "text").mapInArrow(run, f"doc_id {kind}, row bigint, lang string, key bigint, n bigint")
-    met = held.alias("h").join(chances.alias("c"), _same("h", "c", "key"))
-    # equal rows add up, which leaves their mean as it is
-    cost = met.groupBy("h.doc_id", "h.row", "h.lang").agg((F.sum(-F.log("p") * F.col("n")) / F.sum("n")).alias("cost"))
-    plain = score(docs, None, ("doc_id", "lang", "row"))
-    same = F.col("p.doc_id").eqNullSafe(F.col("q.doc_id")) & _same("p", "q", "row")
-    found = plain.drop("log_perplexity").alias("p").join(cost.alias("q"), same, "left")
-    return found.select("p.doc_id", "p.lang", *COUNTS, F.coalesce("cost", F.lit(0.0)).alias("log_perplexity"))
+                    by.setdefault((of, lang), []).append(text)
+            for at, bodies in by.items():
+                for i, j in pieces(bodies, ROOM):
+                    keys = np.unique(ngrams(bodies[i:j])[0])
+                    held[at] = np.union1d(held[at], keys) if at in held else keys
+        for (of, lang), keys in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), of, np.int32)), pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64))], ["batch", "lang", "key"])
+
+    held = docs.mapInArrow(keys_of, "batch int, lang string, key bigint").distinct()
+    known = held.alias("h").join(chances.alias("c"), _same("h", "c", "key")).select("h.batch", "h.lang", "h.key", "p")
+
+    def run(texts_: pa.Table, costs: pa.Table) -> pa.Table:
+        names = np.fromiter(map(lang_hash, costs.column("lang").to_pylist()), np.uint64, len(costs))
+        model = HashArray(KneserNey._hash(names, costs.column("key").to_numpy().view(np.uint64), ORDER), costs.column("p").to_numpy())
+        out = []
+        for batch in texts_.to_batches():
+            bodies = [x or b"" for x in texts(batch)]
+            for i, j in pieces(bodies, ROOM):
+                out.append(_measured(batch.slice(i, j - i), bodies[i:j], ("doc_id", "lang"), lambda langs, keys: model.find(KneserNey._hash(langs, keys, ORDER))[0]))
+        return pa.Table.from_batches(out)
+
+    return docs.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(run, _schema(docs, ("doc_id", "lang")))
 
 
 def scored_by_own_model(docs: DataFrame, most: int = MODEL_ROWS) -> DataFrame:
