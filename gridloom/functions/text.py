@@ -143,7 +143,7 @@ def timeframes_differ(a: Column, b: Column) -> Column:
 
 def title_sport(title: Column) -> Column:
     t = F.lower(title)
-    return F.coalesce(*(F.when(t.rlike(p), sport) for sport, p in V.TITLE_SPORTS))
+    return F.coalesce(*(F.when(t.rlike("|".join(of)), sport) for sport, of in V.TITLE_SPORTS))
 
 
 def ticker_sport(ticker: Column) -> Column:
@@ -159,6 +159,6 @@ def sports_differ(title: Column, ticker: Column) -> Column:
 def dropped_contract(question: Column, strategy: str) -> Column:
     """Spreads, totals and other contracts that a strategy doesn't align."""
     if strategy in V.PATTERN_DROPS:
-        return sure(question.rlike(f"(?i){V.PATTERN_DROPS[strategy]}"))
+        return sure(question.rlike("(?i)" + "|".join(V.PATTERN_DROPS[strategy])))
     literal = has_any(question, V.LITERAL_DROPS[strategy])
     return sure(literal | question.startswith(V.SPREAD_PREFIX) if strategy == "S1" else literal)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -273,19 +274,20 @@ def years(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("idx", X.ticker_year_conflict(F.col("title"), F.col("ticker"), I.YEAR).alias("conflict"), X.effective_year(deadline).cast("bigint").alias("effective_year"))
 
 
-_SPORT_TITLES = ["College basketball champion", "Stanley Cup winner", "ICC T20 final", "World Cup cricket", "AL  East winner", "nothing here", "Fide rating", "Miami Open"]
-_SPORT_TICKERS = ["KXNBA-26", "KXWC-26", "KXFO-1", "kxuecl-2", "KXUEL-3", "XX", "KXFIDE", "KXT20-1"]
+#: A title for each pattern, words in place of blanks and boundaries, and some that several rules or none fit; a ticker for each prefix.
+_SPORT_TITLES = [re.sub(r"\\s\+?", "  ", p).replace(r"\b", "").upper() + " 7" for _, of in V.TITLE_SPORTS for p in of] + ["College basketball champion", "ICC T20 final", "World Cup cricket", "nothing here"]
+_SPORT_TICKERS = [k + "-26" for k in V.TICKER_SPORTS] + ["kxuecl-2", "XX"]
+_TITLE_CASES = " ".join(f"WHEN regexp_matches(lower(t), '{'|'.join(of)}') THEN '{sport}'" for sport, of in V.TITLE_SPORTS)
+_TICKER_CASES = " ".join(f"WHEN starts_with(upper(k), '{p}') THEN '{sport}'" for p, sport in sorted(V.TICKER_SPORTS.items(), key=lambda x: -len(x[0])))
 
 
-@query("sports", f"""WITH p AS (SELECT p_partkey AS idx, {sql_list(_SPORT_TITLES)}[p_partkey % 8 + 1] AS t, {sql_list(_SPORT_TICKERS)}[(p_partkey // 8) % 8 + 1] AS k FROM part),
- s AS (SELECT idx, CASE t WHEN 'College basketball champion' THEN 'NBA' WHEN 'Stanley Cup winner' THEN 'NHL' WHEN 'ICC T20 final' THEN 'Cricket' WHEN 'World Cup cricket' THEN 'FIFA'
-   WHEN 'AL  East winner' THEN 'MLB' WHEN 'Fide rating' THEN 'Chess' WHEN 'Miami Open' THEN 'Tennis' END AS a_sport,
-   CASE k WHEN 'KXNBA-26' THEN 'NBA' WHEN 'KXWC-26' THEN 'FIFA' WHEN 'KXFO-1' THEN 'Tennis' WHEN 'kxuecl-2' THEN 'UEFA_ECL' WHEN 'KXUEL-3' THEN 'UEFA_EL' WHEN 'KXFIDE' THEN 'Chess' WHEN 'KXT20-1' THEN 'Cricket' END AS b_sport FROM p)
+@query("sports", f"""WITH p AS (SELECT p_partkey AS idx, {sql_list(_SPORT_TITLES)}[p_partkey % {len(_SPORT_TITLES)} + 1] AS t, {sql_list(_SPORT_TICKERS)}[(p_partkey // 8) % {len(_SPORT_TICKERS)} + 1] AS k FROM part),
+ s AS (SELECT idx, CASE {_TITLE_CASES} END AS a_sport, CASE {_TICKER_CASES} END AS b_sport FROM p)
 SELECT idx, a_sport, b_sport, coalesce(a_sport <> b_sport, false) AS differ FROM s""")
 def sports(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    title = F.element_at(X.words(_SPORT_TITLES), (k % 8 + 1).cast("int"))
-    ticker = F.element_at(X.words(_SPORT_TICKERS), (F.floor(k / 8) % 8 + 1).cast("int"))
+    title = F.element_at(X.words(_SPORT_TITLES), (k % len(_SPORT_TITLES) + 1).cast("int"))
+    ticker = F.element_at(X.words(_SPORT_TICKERS), (F.floor(k / 8) % len(_SPORT_TICKERS) + 1).cast("int"))
     return I.read(spark, d, "part").select(k.alias("idx"), X.title_sport(title).alias("a_sport"), X.ticker_sport(ticker).alias("b_sport"), X.sports_differ(title, ticker).alias("differ"))
 
 

@@ -170,3 +170,9 @@ def test_verification(spark):
     assert len(asked.a_question) == 200 and asked.b_event_title == ""
     log = merge.verdict_log(pairs, spark.createDataFrame([("k", '{"verdict": "MATCH", "reason": "r", "a_identified": "x", "b_identified": "x"}')], "pair_key string, reply string"))
     assert len(log.columns) == 9 and (log.head().verdict, len(log.head().a_question)) == ("MATCH", 100) and tuple(merge.verdict_counts(log).head()) == (1, 0, 0)
+
+
+def test_report_sample(spark):
+    df = spark.range(50).select(F.concat(F.lit("k"), "id").alias("key"))
+    first = [r.key for r in merge.sample(df, "key", 7).collect()]
+    assert len(first) == 7 and first == [r.key for r in merge.sample(df.repartition(5), "key", 7).collect()]
