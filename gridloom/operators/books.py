@@ -8,8 +8,12 @@ falls below 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 LEVEL = ("book", "side", "tick")
@@ -65,6 +69,43 @@ def delta_state(log: DataFrame) -> DataFrame:
     return last.join(newest, ["book", "epoch"]).where("size > 0").select(*LEVEL, "size")
 
 
+def as_of(log: DataFrame, times: DataFrame) -> DataFrame:
+    """(book, at, best_bid, bids, best_ask, asks) for ``times(book, at)``: best prices (null without one) and numbers of levels of the
+    book that its messages up to seq ``at`` leave. The sorted log of a book streams through; just its live levels are held."""
+    log = ordered(log).select("book", *(F.col(c).cast("bigint").alias(c) for c in ORDER), "kind", "side", F.col("tick").cast("bigint").alias("tick"), F.col("qty").cast("bigint").alias("qty"))
+    end, none = F.lit(2**62), F.lit(None)
+    marks = times.select("book", F.col("at").cast("bigint").alias("seq"), end.alias("item"), end.alias("pos"), F.lit("mark").alias("kind"), none.cast("string").alias("side"), none.cast("bigint").alias("tick"), none.cast("bigint").alias("qty"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, message, levels = None, None, {"bid": {}, "ask": {}}
+        for batch in batches:
+            out = []
+            for b, seq, item, _, kind, side, tick, qty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != book:
+                    book, message, levels = b, None, {"bid": {}, "ask": {}}
+                if kind == "mark":
+                    bids, asks = levels["bid"], levels["ask"]
+                    out.append((b, seq, max(bids, default=None), len(bids), min(asks, default=None), len(asks)))
+                    continue
+                if kind == "snapshot" and message != (seq, item):
+                    levels = {"bid": {}, "ask": {}}
+                message = seq, item
+                if tick is None or (kind == "snapshot" and qty <= 0):
+                    continue
+                size = levels[side].get(tick, 0) + qty if kind == "delta" else qty
+                if size > 0:
+                    levels[side][tick] = size
+                else:
+                    levels[side].pop(tick, None)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
+
+    kind = log.schema["book"].dataType
+    schema = pa.schema([("book", to_arrow_type(kind)), *((c, pa.int64()) for c in ("at", "best_bid", "bids", "best_ask", "asks"))])
+    rows = log.unionByName(marks).repartition(F.col("book")).sortWithinPartitions("book", *ORDER)
+    return rows.mapInArrow(run, f"book {kind.simpleString()}, at bigint, best_bid bigint, bids bigint, best_ask bigint, asks bigint")
+
+
 def best(levels: DataFrame, side: str = "bid") -> DataFrame:
     """(book, best, depth): the best price and the number of levels of one side."""
     price = F.max("tick") if side == "bid" else F.min("tick")

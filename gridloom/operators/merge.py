@@ -108,6 +108,11 @@ def drop_reason(t: Thresholds = T) -> Column:
 
 
 
+def value_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): how many rows have each value, most first, ties by value."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)
+
+
 def score_bands(pairs: DataFrame) -> DataFrame:
     s = F.col("score")
     return pairs.agg(F.count_if(s == 1).alias("exact"), F.count_if((s >= 0.75) & (s < 1)).alias("high"), F.count_if((s >= 0.5) & (s < 0.75)).alias("low"))

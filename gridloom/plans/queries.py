@@ -44,7 +44,7 @@ def sql_list(values: list[str]) -> str:
 @query("scan_category", "SELECT c_mktsegment AS category, count(*) AS n FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING') GROUP BY 1")
 def scan_category(spark: SparkSession, d: str) -> DataFrame:
     rows = I.read(spark, d, "customer").where(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"))
-    return rows.groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n"))
+    return merge.value_counts(rows.select(F.col("c_mktsegment").alias("category")), "category")
 
 
 @query("split_h2h", """
@@ -427,14 +427,26 @@ def arbitrage(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(ok).select("market", F.round("cost", 6).alias("cost"), F.round("profit", 6).alias("profit"))
 
 
-@query("ledger", f"""WITH {_VWAP} SELECT CAST(market AS VARCHAR) AS b_ticker, printf('%.4f', round_even(a_vwap, 4)) AS a_vwap, printf('%.4f', round_even(1 - cost, 4)) AS projected_profit,
-  printf('%.2f', round_even(days, 2)) AS days_to_resolution, printf('%.4f', round_even(CASE WHEN days > 0 THEN (1 - cost) * (365.0::DOUBLE / days) ELSE 0 END, 4)) AS annualized_return FROM classed""")
+_LEDGER = "substring(repeat('{} ' || CAST(market AS VARCHAR) || ' ', 20), 1, 80)"
+
+
+@query("ledger", f"""WITH {_VWAP} SELECT '1998-01-01T00:00:00.000Z' AS timestamp, {_LEDGER.format('event')} AS a_event_title, {_LEDGER.format('match')} AS b_event_title, 'q' || CAST(market AS VARCHAR) AS a_question,
+  CAST(market AS VARCHAR) AS b_ticker, CASE WHEN market % 2 = 0 THEN 'a_yes_b_no' ELSE 'a_no_b_yes' END AS direction, printf('%.4f', round_even(a_vwap, 4)) AS a_vwap, printf('%.4f', round_even(b_vwap, 4)) AS b_vwap,
+  printf('%.4f', round_even(cost, 4)) AS total_cost, printf('%.4f', round_even(1 - cost, 4)) AS projected_profit, '50.00' AS capital_deployed,
+  CAST(market * 3 AS VARCHAR) AS a_staleness_ms, CAST(market * 5 AS VARCHAR) AS b_staleness_ms, printf('%.2f', round_even(days, 2)) AS days_to_resolution,
+  printf('%.4f', round_even(0.04::DOUBLE * (CASE WHEN capped THEN greatest(days, 1095.0::DOUBLE) ELSE days END / 365.0::DOUBLE), 4)) AS required_return_for_period,
+  printf('%.4f', round_even(CASE WHEN days > 0 THEN (1 - cost) * (365.0::DOUBLE / days) ELSE 0 END, 4)) AS annualized_return, '2026-11-' || lpad(CAST(market % 30 + 1 AS VARCHAR), 2, '0') AS resolution_date,
+  '0.0000' AS a_fee_pct, printf('%.4f', round_even(({_FEE.format(p='b_vwap', c='(50.0::DOUBLE / b_vwap)')}) / ((50.0::DOUBLE / b_vwap) * b_vwap), 4)) AS b_fee_pct FROM classed WHERE days >= 1""")
 def ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows = _legs(spark, d).withColumns({
-        "at": F.lit(I.AS_OF).cast("timestamp"), "a_event_title": F.lit("e"), "b_event_title": F.lit("e"), "a_question": F.lit("q"), "b_ticker": F.col("market").cast("string"), "direction": F.lit("a_yes_b_no"),
-        "total_cost": F.col("cost"), "profit": F.lit(1.0) - F.col("cost"), "a_staleness_ms": F.lit(0), "b_staleness_ms": F.lit(0), "days_to_resolution": F.col("days"), "required": F.lit(0.0), "resolution_date": F.lit(""),
+    m, days = F.col("market"), F.col("days")
+    required = P.time_value(F.lit(1.0), days, F.col("capped"))["required"]
+    rows = _legs(spark, d).where(days >= 1).withColumns({
+        "at": F.lit(I.AS_OF).cast("timestamp"), "a_event_title": F.repeat(F.concat(F.lit("event "), m.cast("string"), F.lit(" ")), 20), "b_event_title": F.repeat(F.concat(F.lit("match "), m.cast("string"), F.lit(" ")), 20),
+        "a_question": F.concat(F.lit("q"), m.cast("string")), "b_ticker": m.cast("string"), "direction": F.when(m % 2 == 0, "a_yes_b_no").otherwise("a_no_b_yes"),
+        "total_cost": F.col("cost"), "profit": F.lit(1.0) - F.col("cost"), "a_staleness_ms": m * 3, "b_staleness_ms": m * 5, "days_to_resolution": days, "required": required,
+        "resolution_date": F.concat(F.lit("2026-11-"), F.lpad((m % 30 + 1).cast("string"), 2, "0")),
     })
-    return signals.ledger(rows).select("b_ticker", "a_vwap", "projected_profit", "days_to_resolution", "annualized_return")
+    return signals.ledger(rows)
 
 
 # ---- books and signals ----
@@ -467,6 +479,17 @@ def book_best(spark: SparkSession, d: str) -> DataFrame:
     return books.best(books.absolute_state(I.messages(spark, d).where("kind <> 'delta'")))
 
 
+@query("book_as_of", f"""WITH {I.MESSAGES}, marks AS (SELECT user_id AS book, event_id AS "at" FROM events WHERE event_id % 20 = 0
+), since AS (SELECT m.book, m."at", max(x.seq) FILTER (x.kind = 'snapshot') AS since FROM marks m LEFT JOIN messages x ON x.book = m.book AND x.seq <= m."at" AND x.kind <> 'delta' GROUP BY 1, 2
+), levels AS (SELECT s.book, s."at", x.side, x.tick, arg_max(x.qty, x.seq) AS size FROM since s JOIN messages x ON x.book = s.book AND x.seq <= s."at" AND x.kind <> 'delta' AND (s.since IS NULL OR x.seq >= s.since) GROUP BY 1, 2, 3, 4)
+SELECT book, "at", coalesce(max(tick) FILTER (side = 'bid'), -1) AS best_bid, count(*) FILTER (side = 'bid') AS bids, coalesce(min(tick) FILTER (side = 'ask'), -1) AS best_ask, count(*) FILTER (side = 'ask') AS asks
+FROM marks LEFT JOIN (SELECT * FROM levels WHERE size > 0) USING (book, "at") GROUP BY 1, 2""")
+def book_as_of(spark: SparkSession, d: str) -> DataFrame:
+    log = I.messages(spark, d)
+    found = books.as_of(log.where("kind <> 'delta'"), log.where("seq % 20 = 0").select("book", F.col("seq").alias("at")))
+    return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("best_bid", "best_ask")})
+
+
 @query("oversum", f"""WITH {_ABSOLUTE}, best AS (SELECT book, max(tick) / 5.0::DOUBLE AS price FROM state WHERE side = 'bid' GROUP BY 1), markets AS (SELECT DISTINCT user_id AS book, user_id // 4 AS event FROM events)
 SELECT CAST(event AS VARCHAR) AS event, count(*) AS n_markets, count(price) AS counted, count(*) >= 3 AND count(price) >= 3 AND coalesce(sum(price), 0) > 1.05::DOUBLE AS is_oversum FROM markets LEFT JOIN best USING (book) GROUP BY 1""")
 def oversum(spark: SparkSession, d: str) -> DataFrame:
@@ -707,3 +730,14 @@ def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["replay_outcomes"] = replay_outcomes
+
+
+def replay_status(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of the whole log: evaluations, and how often each outcome came."""
+    from gridloom.streaming.engine import counters as status
+    from gridloom.streaming.engine import replay
+
+    return status(replay(*_feed(spark, d), FEED_LIMITS))
+
+
+QUERIES["replay_status"] = replay_status

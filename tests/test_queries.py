@@ -150,6 +150,8 @@ def test_replay_against_a_plain_loop(spark, d):
     got = {(r.pair, r.outcome): r.n for r in engine.replay_outcomes(spark, d).collect()}
     want = plain_outcomes(log.collect(), pairs.collect(), engine.FEED_LIMITS)
     assert got == dict(want) and len({o for _, o in got}) >= 6
+    status = {r.counter: r.n for r in engine.replay_status(spark, d).collect()}
+    assert all(status[o] == sum(n for (_, k), n in want.items() if k == o) for o in {k for _, k in want})
 
 
 def test_ledger_of_a_stream(spark, tmp_path):
