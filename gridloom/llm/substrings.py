@@ -7,7 +7,8 @@ words that decided it. A window of words chooses as its anchor the first symbol
 decide, so equal windows choose equal anchors.
 
 First Spark counts the anchors of all texts: a repeat between documents is revealed by an anchor that several have. Then only
-windows with such an anchor meet, and the hashes of their words beside the anchor's name, 128 bits, verify them.
+windows with such an anchor meet, and the symbols that they consist of verify them: the sequence of the symbols of a middle level
+that a window's own words decide, and of the words before and after these, hashed beside the anchor's name, 128 bits together.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import MIX1, mixed, pieces, row_key, table, texts, word_hashes
+from gridloom.llm.common import MIX1, MIX2, mixed, pieces, row_key, table, texts, word_hashes
 from gridloom.sources.tables import materialize
 
 #: Rounds of naming. A symbol of level r covers about (4/3)**r words.
 ROUNDS = 8
 #: Rounds after which runs are named.
 RUN_ROUNDS = (0, 4)
+#: The level whose symbols verify windows.
+VERIFY = 4
 #: An anchor that so many batches of texts have is hot: its windows are spread by their own hashes.
 HOT = 64
 #: Sets of names are bitmaps of 16 bits a name, and of at least and at most so many bits (powers of 2; 128 MB). A name that shares
@@ -39,10 +42,10 @@ _P_BACK = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
 class Level:
-    """Symbols in order: name, the words [since, until) that decided it, and whether it is a separator of texts."""
+    """Symbols in order: name, the words [since, until) that decided it, its first word, and whether it is a separator of texts."""
 
-    def __init__(self, name: np.ndarray, since: np.ndarray, until: np.ndarray, sep: np.ndarray) -> None:
-        self.name, self.since, self.until, self.sep = name, since, until, sep
+    def __init__(self, name: np.ndarray, since: np.ndarray, until: np.ndarray, begin: np.ndarray, sep: np.ndarray) -> None:
+        self.name, self.since, self.until, self.begin, self.sep = name, since, until, begin, sep
 
     def runs(self, salt: int) -> Level:
         """Name maximal runs. A run, of one symbol too, is decided by its neighbours as well."""
@@ -54,7 +57,7 @@ class Level:
         name = np.where(length > 1, mixed(name + length * MIX1 + np.uint64(salt)), name)
         since = np.where(sep, self.since[head], self.since[np.maximum(head - 1, 0)])
         until = np.where(sep, self.until[last], self.until[np.minimum(last + 1, len(self.name) - 1)])
-        return Level(name, since, until, sep)
+        return Level(name, since, until, self.begin[head], sep)
 
     def pairs(self, salt: int) -> Level:
         """Name pairs of a left and a right symbol. One left alone is decided by the neighbour that it might have joined."""
@@ -70,12 +73,12 @@ class Level:
         since = np.where(alone & right, self.since[before], self.since)
         until = np.where(first | (alone & ~right), self.until[after], self.until)
         stay = ~second
-        return Level(name[stay], since[stay], until[stay], self.sep[stay])
+        return Level(name[stay], since[stay], until[stay], self.begin[stay], self.sep[stay])
 
 
 def levels(words: np.ndarray, sep: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
     at = np.arange(len(words))
-    out = [Level(words, at, at + 1, sep)]
+    out = [Level(words, at, at + 1, at, sep)]
     level = out[0]
     for r in range(rounds):
         if r in RUN_ROUNDS:
@@ -85,11 +88,10 @@ def levels(words: np.ndarray, sep: np.ndarray, rounds: int = ROUNDS) -> list[Lev
     return out
 
 
-def anchors(words: np.ndarray, sep: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+def anchors(found: list[Level], starts: np.ndarray, window: int) -> np.ndarray:
     """The anchor's name for each window that starts at ``starts``."""
     name = np.zeros(len(starts), np.uint64)
     open_ = np.arange(len(starts))
-    found = levels(words, sep)
     for depth in [*range(len(found) - 1, 0, -2), 0]:
         level = found[depth]
         p = starts[open_]
@@ -102,12 +104,31 @@ def anchors(words: np.ndarray, sep: np.ndarray, starts: np.ndarray, window: int)
     return name
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """64-bit hashes of the word sequences: differences of one polynomial's prefix sums."""
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _P)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[:-1])])
-    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), _P_BACK)]))
-    return mixed((sums[starts + window] - sums[starts]) * back[starts])
+class Sums:
+    """Hashes of any stretches of a sequence: differences of one polynomial's prefix sums."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(values), _P)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:-1])])
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(values), _P_BACK)]))
+
+    def of(self, since: np.ndarray, until: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[until] - self.sums[since]) * self.back[since] + (until - since).astype(np.uint64))
+
+
+def window_hashes(words: np.ndarray, level: Level, starts: np.ndarray, window: int) -> np.ndarray:
+    """64-bit hashes of what windows consist of: the words before the first symbol of ``level`` that the window decides, these symbols,
+    and the words after the last. Equal windows decide the same symbols, so their hashes are equal."""
+    ends = starts + window
+    first = np.searchsorted(level.since, starts)
+    last = np.searchsorted(level.until, ends, side="right")  # one behind the last
+    last = np.maximum(last, first)
+    after = np.append(level.begin, len(words))
+    inner = last > first
+    low, high = np.where(inner, after[first], ends), np.where(inner, after[last], ends)
+    of_words, of_symbols = Sums(words), Sums(level.name)
+    both = mixed(of_words.of(starts, low) + of_symbols.of(first, last) * MIX1)
+    return mixed(both + of_words.of(high, ends) * MIX2)
 
 
 def _stretches(ok: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +157,9 @@ class Batch:
         many = np.maximum(n - window + 1, 0)
         self.owner = np.repeat(np.arange(len(n)), many)
         self.starts = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.begin[self.owner]
-        self.anchor = anchors(self.words, sep, self.starts, window) if len(self.starts) else one[:0]
+        found = levels(self.words, sep) if len(self.starts) else []
+        self.anchor = anchors(found, self.starts, window) if found else one[:0]
+        self.middle = found[VERIFY] if found else None
 
 
 def _batches(batch: pa.RecordBatch, window: int, at_most: int) -> Iterator[tuple[int, int, Batch]]:
@@ -204,7 +227,7 @@ def _sent(of: Batch, doc: np.ndarray, key: np.ndarray, window: int, shared: Name
     here = np.flatnonzero(met)
     if not len(here):
         return None
-    hashes, whose = window_hashes(of.words, of.starts[here], window), doc[of.owner[here]]
+    hashes, whose = window_hashes(of.words, of.middle, of.starts[here], window), doc[of.owner[here]]
     anchor = of.anchor[here]
     order = np.lexsort((whose, anchor, hashes))
     h, a = hashes[order], anchor[order]

@@ -767,3 +767,16 @@ def test_op10_anchors_of_equal_windows():
         assert by.setdefault(w, anchor) == anchor
         of_anchor.setdefault(anchor, set()).add(owner)
     assert sum(len(v) == 5 for v in of_anchor.values()) > 5
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefgh"])
+def test_op10_symbols_tell_windows_apart(alphabet):
+    """Windows have equal hashes if and only if their words are equal, at any place of any text."""
+    rng = random.Random(9)
+    part = [rng.choice(alphabet) for _ in range(130)]
+    bodies = [" ".join(rng.choices(alphabet, k=rng.randrange(60)) + part[rng.randrange(40) :] + rng.choices(alphabet, k=rng.randrange(60))).encode() for _ in range(30)]
+    for window in (50, 7):
+        of = substrings.Batch(bodies, window)
+        hashes = substrings.window_hashes(of.words, of.middle, of.starts, window)
+        texts = [tuple(of.words[s : s + window].tolist()) for s in of.starts.tolist()]
+        assert len(set(zip(hashes.tolist(), texts, strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
