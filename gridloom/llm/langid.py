@@ -24,11 +24,10 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 48, 40_000
 #: Texts of so many characters at most are sampled, if a language has any.
 SHORT_CHARS = 4096
 #: Languages that one model may have: each has a table of about a megabyte in every worker.
-MOST_LANGUAGES = 400
+MOST_LANGUAGES = 200
 #: Symbols of a stretch, and after how many of them two parses are compared.
 SEGMENT, MEET = 256, 32
 _BLANK = 0
-_READY: dict[tuple, list[Table]] = {}
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -151,13 +150,13 @@ def parser(sample: bytes, alphabet: Alphabet) -> Table:
     return Table(automaton(alphabet.symbols(sample)[0].tolist()), alphabet.size)
 
 
-def parsers(model: tuple) -> tuple[Alphabet, list[Table]]:
-    """Built once for each Python worker."""
-    alphabet = Alphabet([s for _, s in model])
-    if model not in _READY:
-        _READY.clear()
-        _READY[model] = [parser(s, alphabet) for _, s in model]
-    return alphabet, _READY[model]
+class Parsers:
+    """What a model needs on the executors: names, alphabet and tables, built once on the driver."""
+
+    def __init__(self, model: tuple) -> None:
+        self.names = [lang for lang, _ in model]
+        self.alphabet = Alphabet([sample for _, sample in model])
+        self.tables = [parser(sample, self.alphabet) for _, sample in model]
 
 
 def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[Table]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,19 +202,18 @@ def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[Table]) -> tup
     return out, size
 
 
-def judged(bodies: list[bytes], has_letter: np.ndarray, model: tuple, room: int = 2 << 20) -> tuple[list[str], np.ndarray]:
+def judged(bodies: list[bytes], has_letter: np.ndarray, model: Parsers, room: int = 2 << 20) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. score: the share of phrases that the winner saves against the next language."""
     names, scores = [UNKNOWN] * len(bodies), np.zeros(len(bodies))
-    if model:
-        alphabet, tables = parsers(model)
+    if model.names:
         for i, j in pieces(bodies, room):
-            counts, size = phrases(bodies[i:j], alphabet, tables)
+            counts, size = phrases(bodies[i:j], model.alphabet, model.tables)
             best = counts.argmin(axis=1)
             order = np.sort(counts, axis=1)
             other = order[:, 1] if counts.shape[1] > 1 else np.maximum(size, 1)
             scores[i:j] = np.where(has_letter[i:j], 1 - order[:, 0] / np.maximum(other, order[:, 0]).clip(1), 0)
             for k in np.flatnonzero(has_letter[i:j]):
-                names[i + k] = model[best[k]][0]
+                names[i + k] = model.names[best[k]]
     return names, scores
 
 
@@ -251,10 +249,12 @@ def predict(docs: DataFrame, model: tuple, keep: tuple[str, ...] = ("doc_id",),
     source = docs.select(*keep, *(c.alias(n) for n, c in (more or {}).items()), F.lower("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
 
+    shared = docs.sparkSession.sparkContext.broadcast(Parsers(model))  # about a megabyte a language, of a bounded number
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [x or b"" for x in texts(batch, "__text")]
-            names, scores = judged(bodies, batch.column("__letter").to_numpy(zero_copy_only=False), model)
+            names, scores = judged(bodies, batch.column("__letter").to_numpy(zero_copy_only=False), shared.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
