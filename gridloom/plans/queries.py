@@ -150,6 +150,32 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return align.with_entities(I.titles(spark, d), V.STRATEGIES["S1"]).select("event", "side", "idx", "entity", "n")
 
 
+def _normal_sql(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("fallback_entities", f"""WITH b AS (
+  SELECT p_partkey // 4 AS event, p_partkey AS idx, CASE WHEN (p_partkey // 4) % 3 = 2 THEN p_name || ' ' || p_type WHEN p_partkey % 2 = 0 THEN 'Same title?' ELSE 'same  title' END AS title,
+    CASE (p_partkey // 4) % 3 WHEN 0 THEN p_name WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN '' END ELSE p_name END AS sub,
+    CASE WHEN p_partkey % 5 = 0 THEN 'KX-P' ELSE 'KX-26-P' END || CAST(p_partkey AS VARCHAR) AS ticker FROM part
+), stats AS (SELECT event, count(*) AS n, count(DISTINCT {_normal_sql('title')}) AS titles, count(DISTINCT CASE WHEN coalesce(sub, '') <> '' THEN {_normal_sql('sub')} END) AS subs FROM b GROUP BY 1
+), moded AS (SELECT *, CASE WHEN titles = 1 AND n > 1 THEN CASE WHEN subs > 1 THEN 'sub' ELSE 'suffix' END ELSE 'title' END AS mode FROM b JOIN stats USING (event)
+), toks AS (SELECT event, idx, n, mode, ticker, list_filter(string_split({_normal_sql("CASE WHEN mode = 'sub' THEN coalesce(sub, '') ELSE title END")}, ' '), lambda t: t <> '') AS ts FROM moded
+), dfs AS (SELECT event, t, count(*) AS df, min(n) AS n FROM (SELECT event, n, unnest(list_distinct(ts)) AS t FROM toks) GROUP BY 1, 2
+), shared AS (SELECT event, list(t) AS scaffold FROM dfs WHERE df = n GROUP BY 1)
+SELECT event, idx, CASE WHEN mode = 'suffix' THEN CASE WHEN len(string_split(ticker, '-')) >= 3 THEN lower(string_split(ticker, '-')[-1]) ELSE '' END ELSE
+  array_to_string(list_filter(ts, lambda t: NOT list_contains({sql_list(V.STRATEGIES['S1'].stop)}, t) AND CASE WHEN n = 1 THEN NOT regexp_matches(t, '^[0-9]+$') ELSE NOT coalesce(list_contains(scaffold, t), false) END), ' ') END AS entity
+FROM toks LEFT JOIN shared USING (event)""")
+def fallback_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose titles are all equal take their entities from sub-titles or tickers."""
+    k, g = F.col("p_partkey"), F.floor(F.col("p_partkey") / 4)
+    title = F.when(g % 3 == 2, F.concat_ws(" ", "p_name", "p_type")).when(k % 2 == 0, "Same title?").otherwise("same  title")
+    sub = F.when(g % 3 != 1, F.col("p_name")).when(k % 2 == 0, "")
+    ticker = F.concat(F.when(k % 5 == 0, "KX-P").otherwise("KX-26-P"), k.cast("string"))
+    rows = I.read(spark, d, "part").select(g.alias("event"), k.alias("idx"), title.alias("title"), sub.alias("sub_title"), ticker.alias("ticker"))
+    return align.b_entities(rows, V.STRATEGIES["S1"]).select("event", "idx", "entity")
+
+
 def _pairs_sql(s: str) -> str:
     digits = "list_filter({0}, lambda t: regexp_matches(t, '^[0-9]+$'))"
     x, y = digits.format("x"), digits.format("y")
