@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, substrings
+from gridloom.llm import chat, codes, phrases, substrings
 from gridloom.llm.langid import op5_langid
 from gridloom.llm.mixing import op1_mixing
 from gridloom.llm.packing import op6_packing
@@ -10,6 +10,7 @@ from gridloom.llm.pii import op7_pii
 from gridloom.llm.quality import op3_quality
 from gridloom.llm.simhash import op8_simhash
 from gridloom.llm.sketches import op9_sketches
+from gridloom.llm.tokens import op11_tokens
 from gridloom.llm.urls import op2_urls
 
 QUERIES = {
@@ -23,10 +24,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sketches": op9_sketches,
     "op10_substrings": substrings.op10_substrings,
+    "op11_tokens": op11_tokens,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_codes": codes.op13_codes,
 }
 
 #: The others need XXH64 permutations, trained models, patterns with positions or a tokenizer: tests hold them against plain versions.
 ORACLE_SQL = {
     "op4_chat": chat.ORACLE_SQL,
     "op10_substrings": substrings.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
+    "op13_codes": codes.ORACLE_SQL,
 }
