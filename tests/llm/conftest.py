@@ -38,12 +38,14 @@ def sf(spark, tmp_path_factory, docs):
     spark.createDataFrame([(*p, 1.0) for p in pages], "page_id bigint, url string, score double").write.parquet(f"{d}/pages.parquet")
     talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b ### x </turn> \\###"), (1, 1, "assistant", "a\\b ### x </turn> \\###"), (2, None, None, None), (2, 0, "assistant", None), (None, 0, "a: b", "###"), (3, 0, "x</turn>", "#####" + "\\" * 7), (4, 0, "user", "long " * 50_000)]
     spark.createDataFrame([(*t, "x") for t in talk], "conv_id bigint, turn bigint, role string, text string, nth string").write.parquet(f"{d}/conversations.parquet")
+    vectors = [(i % 90, [((i * 7 + j * j) % 23 - 11) / 8.0 for j in range(32)], i % 4 or None) for i in range(100)] + [(7, None, 1), (8, [None] * 32, 1), (9, [float("nan")] * 32, None), (None, [0.5] * 32, None), (10, [], 2)]
+    spark.createDataFrame([(*v, "x") for v in vectors], "vec_id bigint, embedding array<float>, label int, code string").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
-    for name, schema in {"documents": SCHEMA, "pages": "page_id bigint, url string", "conversations": "conv_id bigint, turn bigint, role string, text string"}.items():
+    for name, schema in {"documents": SCHEMA, "pages": "page_id bigint, url string", "conversations": "conv_id bigint, turn bigint, role string, text string", "embeddings": "vec_id bigint, embedding array<float>, label int"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{d}/{name}.parquet")
     return d

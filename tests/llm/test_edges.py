@@ -7,7 +7,7 @@ from gridloom.llm.queries import QUERIES
 
 from .conftest import ROWS
 
-EXPECTED = {"op2_urls": 9, "op4_chat": 6}
+EXPECTED = {"op2_urls": 9, "op4_chat": 6, "op12_phrases": 0, "op13_codes": 101}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
