@@ -140,9 +140,9 @@ def codebooks(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, ro
     """Entries by part, entry and position, after ``rounds`` of assigning all parts and replacing each entry by its parts' mean,
     rounded down; an entry without parts stays."""
     first = first_vectors(vectors, entries)
-    books = first.reshape(len(first), parts, -1).transpose(1, 0, 2)  # part, entry, position
     if not len(first):
-        return books
+        return np.empty((parts, 0, 0), np.int64)
+    books = first.reshape(len(first), parts, -1).transpose(1, 0, 2)  # part, entry, position
     width, each = first.shape[1], first.shape[1] // parts
     for _ in range(rounds):
         trees = vectors.sparkSession.sparkContext.broadcast([Tree(book) for book in books])  # parts * entries rows
