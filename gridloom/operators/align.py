@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.functions import values as V
+from gridloom.sources.tables import materialize
+
+#: Pairs of an event up to which all are scored, and candidate pairs of an event up to which one task assigns them.
+ALL_PAIRS, STREAMED = 100_000, 2_000_000
 
 
 def shared_tokens(titles: DataFrame) -> DataFrame:
@@ -50,16 +54,84 @@ def b_entities(b: DataFrame, s: V.Strategy) -> DataFrame:
     return found.withColumns({"entity": F.when(F.col("mode") == "suffix", suffix).otherwise(F.col("entity")), "title": F.col("own_title")}).drop("own_title", "mode", "side")
 
 
-def candidates(a: DataFrame, b: DataFrame, s: V.Strategy, least: float = V.Thresholds.match) -> DataFrame:
-    """(event, a_idx, b_idx, a_entity, b_entity, score) of all pairs within an event that reach ``least``. An equi-join on the event."""
-    left = a.where(F.col("entity") != "")
+def ranked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of ``rows(event, side, idx, entity, set)`` with the set's rarest tokens in the event first. Entities of fewer than
+    two tokens fall away."""
+    each = rows.where(F.size("set") > 1).select("event", "side", "idx", "entity", F.explode("set").alias("token"))
+    often = each.groupBy("event", "token").agg(F.count("*").alias("df"))
+    ranked = each.join(often, ["event", "token"]).groupBy("event", "side", "idx", "entity").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("set"))
+    ranked = materialize(ranked.withColumn("set", F.col("set.token")))
+    return tuple(_side(ranked, k) for k in ("a", "b"))
+
+
+def _side(rows: DataFrame, k: str) -> DataFrame:
+    return rows.where(F.col("side") == k).select("event", *(F.col(c).alias(f"{k}_{c}") for c in ("idx", "entity", "set")))
+
+
+def overlapping(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of ``ranked_sets`` that may share a ``least`` part of the smaller set, each once: an inverted index of (event, token, the
+    larger set's size).
+
+    Of n tokens at least t = ceil(least * n) are shared, so one of the n - t + 1 rarest is: the smaller set looks up these only, for
+    each size from its own on that the other side has; the larger one is found by any of its tokens. A pair comes by the first
+    shared token of the smaller set.
+    """
+
+    def tokens(rows: DataFrame, k: str, direction: int, others: list[int] | None) -> DataFrame:
+        held, n = F.col(f"{k}_set"), F.size(f"{k}_set")
+        if others is None:  # the larger set
+            sizes, looked = F.array(n), held
+        else:
+            sizes = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda m: (m >= n) if direction == 1 else (m > n))
+            looked = F.slice(held, 1, n - F.greatest(F.ceil(n * least - 1e-9), F.lit(1)).cast("int") + 1)
+        sized = rows.select("*", F.lit(direction).alias("direction"), F.explode(sizes).alias("size"))
+        return sized.select("*", F.posexplode(looked).alias(f"{k}_rank", "token"))
+
+    in_a, in_b = ([r.n for r in rows.select(F.size(f"{k}_set").alias("n")).distinct().collect()] for k, rows in (("a", a), ("b", b)))
+    left = tokens(a, "a", 1, in_b).unionByName(tokens(a, "a", 2, None))
+    right = tokens(b, "b", 1, None).unionByName(tokens(b, "b", 2, in_a))
+    before = F.when(F.col("direction") == 1, F.arrays_overlap(F.slice("a_set", F.lit(1), F.col("a_rank")), "b_set")).otherwise(F.arrays_overlap(F.slice("b_set", F.lit(1), F.col("b_rank")), "a_set"))
+    return left.join(right, ["event", "token", "direction", "size"]).where(~before).drop("token", "direction", "size", "a_rank", "b_rank")
+
+
+def most_pairs(a: DataFrame, b: DataFrame) -> int:
+    """How many pairs the event has that has most: what ``candidates`` and ``assign_skewed`` plan by. Takes ``event`` alone."""
+    sides = [rows.groupBy("event").agg(F.count("*").alias(k)) for k, rows in (("a", a), ("b", b))]
+    return sides[0].join(sides[1], "event").agg(F.max(F.col("a") * F.col("b")).alias("most")).head().most or 0
+
+
+def candidates(a: DataFrame, b: DataFrame, s: V.Strategy, least: float = V.Thresholds.match, most: int | None = None, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """(event, a_idx, b_idx, a_entity, b_entity, score) of all pairs within an event that reach ``least``, which is above 0.
+
+    Events of at most ``all_pairs`` pairs are joined on the event. In larger ones equal entities meet by their own equi-join and
+    all others, which share tokens, by an inverted index. idx is unique within an event's side. Unless ``most`` says that no event
+    is that large, the entities are written and the events counted here, so building the result runs jobs.
+    """
+    left = a.where(F.col("entity") != "").select("event", "idx", "entity")
     if s.anonymous:
         left = left.where(~X.is_placeholder(F.col("entity"), s.name))
-    # token sets are made once a title, before the join pairs it with many
-    sides = [rows.select("event", F.col("idx").alias(f"{k}_idx"), F.col("entity").alias(f"{k}_entity"), *(c.alias(n) for n, c in zip((f"{k}_set", f"{k}_digits"), X.token_sets(F.col("entity")), strict=True))) for k, rows in (("a", left), ("b", b.where(F.col("entity") != "")))]
-    sets = tuple(F.col(c) for c in ("a_set", "a_digits", "b_set", "b_digits"))
-    scored = sides[0].join(sides[1], "event").withColumn("score", X.similarity(F.col("a_entity"), F.col("b_entity"), s, sets))
-    return scored.where(F.col("score") >= least).drop("a_set", "a_digits", "b_set", "b_digits")
+    right = b.where(F.col("entity") != "").select("event", "idx", "entity")
+    both = left.withColumn("side", F.lit("a")).unionByName(right.withColumn("side", F.lit("b")))
+    rows = both.withColumn("set", X.token_sets(F.col("entity"))[0])  # token sets are made once a title
+    if most is not None and most <= all_pairs:
+        return _scored(_side(rows, "a").join(_side(rows, "b"), "event"), s, least)
+    rows = materialize(rows)
+    sizes = rows.groupBy("event").agg((F.count_if(F.col("side") == "a") * F.count_if(F.col("side") == "b")).alias("pairs"))
+    large = materialize(sizes.where(F.col("pairs") > all_pairs).select("event"))
+    if large.isEmpty():
+        return _scored(_side(rows, "a").join(_side(rows, "b"), "event"), s, least)
+    small, rows = rows.join(large, "event", "left_anti"), rows.join(large, "event", "left_semi")
+    sides = [_side(rows, k).withColumn("entity", F.col(f"{k}_entity")) for k in ("a", "b")]
+    equal = sides[0].join(sides[1], ["event", "entity"]).drop("entity")
+    apart = overlapping(*ranked_sets(rows), least).where(F.col("a_entity") != F.col("b_entity"))
+    met = _side(small, "a").join(_side(small, "b"), "event")
+    return _scored(met.unionByName(equal).unionByName(apart), s, least)
+
+
+def _scored(met: DataFrame, s: V.Strategy, least: float) -> DataFrame:
+    digits = [F.filter(f"{k}_set", X.is_digits) for k in ("a", "b")]
+    score = X.similarity(F.col("a_entity"), F.col("b_entity"), s, (F.col("a_set"), digits[0], F.col("b_set"), digits[1]))
+    return met.withColumn("score", score).where(F.col("score") >= least).select("event", "a_idx", "b_idx", "a_entity", "b_entity", "score")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
@@ -84,17 +156,35 @@ def assign(pairs: DataFrame) -> DataFrame:
 
 def assign_rounds(pairs: DataFrame) -> DataFrame:
     """The same result as ``assign`` for events with very many pairs: a pair that is best for both its ends is taken, its ends
-    leave, and so on. No event is gathered in one task; each round cuts its lineage."""
+    leave, and so on. No event is gathered in one task. When a round frees less than a tenth of what is left, as with long rows of
+    ties, ``assign`` takes over: what it takes of the rest is the same."""
     order = [F.desc("score"), "a_idx", "b_idx"]
-    left, out = pairs.checkpoint(), None
-    while not left.isEmpty():
+    left, out = materialize(pairs), None
+    many = left.count()
+    while many:
         first = [F.row_number().over(Window.partitionBy("event", side).orderBy(*order)) == 1 for side in ("a_idx", "b_idx")]
-        taken = left.withColumns({"p": first[0], "q": first[1]}).where("p and q").drop("p", "q").checkpoint()
+        taken = materialize(left.withColumns({"p": first[0], "q": first[1]}).where("p and q").drop("p", "q"))
         out = taken if out is None else out.unionByName(taken)
-        left = left.join(taken.select("event", "a_idx"), ["event", "a_idx"], "left_anti").join(taken.select("event", "b_idx"), ["event", "b_idx"], "left_anti").checkpoint()
+        left = materialize(left.join(taken.select("event", "a_idx"), ["event", "a_idx"], "left_anti").join(taken.select("event", "b_idx"), ["event", "b_idx"], "left_anti").select(*pairs.columns))
+        before, many = many, left.count()
+        if many and (before - many) * 10 < before:
+            return out.unionByName(assign(left))
     return pairs.limit(0) if out is None else out
 
 
+def assign_skewed(pairs: DataFrame, most: int | None = None, at_most: int = STREAMED) -> DataFrame:
+    """The same result: events of at most ``at_most`` pairs stream, the others go through rounds. Unless ``most`` says that no event
+    has more, the pairs are written and counted."""
+    if most is not None and most <= at_most:
+        return assign(pairs)
+    pairs = materialize(pairs)
+    large = materialize(pairs.groupBy("event").count().where(F.col("count") > at_most).select("event"))
+    if large.isEmpty():
+        return assign(pairs)
+    rest = pairs.join(large, "event", "left_anti").select(*pairs.columns)
+    return assign(rest).unionByName(assign_rounds(pairs.join(large, "event", "left_semi").select(*pairs.columns)))
+
+
 def direct(a: DataFrame, b: DataFrame, s: V.Strategy) -> DataFrame:
     """The pair of an event with one market on each side, ``a(event, idx, title)`` and ``b``, unless a guard speaks against it."""
     sides = [df.withColumn("n", F.count("*").over(Window.partitionBy("event"))).where("n = 1").select("event", F.col("idx").alias(f"{k}_idx"), F.col("title").alias(f"{k}_title")) for k, df in (("a", a), ("b", b))]

@@ -202,8 +202,10 @@ def _pairs_sql(s: str) -> str:
 
 
 def _candidates(spark: SparkSession, d: str, s: str) -> DataFrame:
-    found = align.with_entities(I.titles(spark, d), V.STRATEGIES[s])
-    return align.candidates(found.where("side = 'a'"), found.where("side = 'b'"), V.STRATEGIES[s])
+    titles = I.titles(spark, d)
+    found = align.with_entities(titles, V.STRATEGIES[s])
+    most = align.most_pairs(*(titles.where(F.col("side") == k) for k in ("a", "b")))
+    return align.candidates(found.where("side = 'a'"), found.where("side = 'b'"), V.STRATEGIES[s], most=most)
 
 
 def _score_query(s: str) -> None:

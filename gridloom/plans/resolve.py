@@ -59,7 +59,8 @@ def resolve(matches: DataFrame, a_landed: DataFrame, b_landed: DataFrame, strate
     left, right = (x.join(many, "event", "left_semi") for x in (a, b))
     left = align.with_entities(left.withColumn("side", F.lit("a")), s)
     right = align.b_entities(right, s)
-    chosen = align.assign(align.candidates(left, right, s))
+    most = align.most_pairs(a, b)
+    chosen = align.assign_skewed(align.candidates(left, right, s, most=most), most)
     aligned.append(chosen.select("event", "a_idx", "b_idx", F.bround("score", 3).alias("score"), "a_entity", "b_entity").withColumn("alignment_type", F.lit("entity_match")))
     pairs = merge.union_all(aligned)
     pairs = pairs.join(a.select("event", F.col("idx").alias("a_idx"), F.col("yes_token").alias("a_yes_token"), F.col("no_token").alias("a_no_token"), F.col("question").alias("a_question"), F.col("end_date").alias("a_end_date")), ["event", "a_idx"])

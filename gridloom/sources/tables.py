@@ -13,12 +13,27 @@ _OWN: dict[str, str] = {}
 _WRITTEN: dict[str, SparkSession] = {}
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is several."""
+    return master == "local" or master.startswith("local[")
+
+
+def demand_shared(folder: str, scheme: str, master: str) -> str:
+    """``folder``, which on a cluster may not be on a disk that each machine has for itself."""
+    if scheme == "file" and not is_local(master):
+        raise ValueError(f"{folder} is a folder of one machine: set spark.checkpoint.dir to one that driver and executors share")
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, the warehouse, or with a local master a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset, the warehouse if it is no machine's own folder, or with a local master a
+    temporary folder."""
     if there := spark.conf.get("spark.checkpoint.dir", None):
         return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return demand_shared(folder, where.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme(), spark.sparkContext.master)
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gridloom-"))
 
 

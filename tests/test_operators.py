@@ -176,3 +176,55 @@ def test_report_sample(spark):
     df = spark.range(50).select(F.concat(F.lit("k"), "id").alias("key"))
     first = [r.key for r in merge.sample(df, "key", 7).collect()]
     assert len(first) == 7 and first == [r.key for r in merge.sample(df.repartition(5), "key", 7).collect()]
+
+
+def plain_similarity(s):
+    from gridloom.functions import text as X
+
+    return lambda df: df.withColumn("score", X.similarity(F.col("a_entity"), F.col("b_entity"), s)).where("score >= 0.5")
+
+
+@pytest.mark.parametrize("name", list(STRATEGIES))
+def test_index_and_all_pairs_agree(spark, name):
+    """The inverted index gives what scoring all pairs gives: ties, repeated entities, single tokens, digits, words out of order."""
+    rng, s = random.Random(name), STRATEGIES[name]
+    words = "ann bob lee ray under over 5 70 2031 north south player x1 bay".split()
+    sides = [spark.createDataFrame([(f"e{rng.randrange(3)}", i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 2, 3, 4, 5, 7])))) for i in range(150)], "event string, idx bigint, entity string") for _ in "ab"]
+    direct, indexed = (rows(align.candidates(*sides, s, all_pairs=n)) for n in (10**9, 0))
+    assert direct == indexed and len(direct) > 100
+    a, b = (x.where("entity <> ''").toDF("event", f"{k}_idx", f"{k}_entity") for k, x in zip("ab", sides, strict=True))
+    if not s.anonymous:
+        assert direct == rows(plain_similarity(s)(a.join(b, "event")).select("event", "a_idx", "b_idx", "a_entity", "b_entity", "score"))
+
+
+def test_a_large_event_meets_by_its_rare_tokens(spark):
+    """20,000 titles a side in one event: 400 million pairs, of which some tens of thousands are looked at."""
+    n = 20_000
+    ids = spark.range(n).withColumn("event", F.lit("e"))
+    name = F.concat_ws(" ", F.concat(F.lit("p"), F.col("id")), F.concat(F.lit("q"), F.col("id") % 9001), F.element_at(F.array(*map(F.lit, ["red", "blue", "green"])), (F.col("id") % 3 + 1).cast("int")))
+    a = ids.select("event", F.col("id").alias("idx"), name.alias("entity"))
+    b = ids.select("event", F.col("id").alias("idx"), F.concat_ws(" ", name, F.lit("party")).alias("entity"))
+    both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).withColumn("set", F.split("entity", " "))
+    assert align.overlapping(*align.ranked_sets(both), 0.5).count() < 5 * n
+    found = align.candidates(a, b, STRATEGIES["S2"])
+    assert found.where("a_idx = b_idx and score = 1").count() == n
+    assert align.assign_skewed(found, at_most=1000).where("a_idx = b_idx").count() == n
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_assignment_of_a_large_event(spark, ties):
+    """One event holds nearly all pairs. With ties only, rounds would take one pair each, so the stream takes over."""
+    rng = random.Random(5)
+    many = [("large", a, b, 1.0 if ties else rng.choice([0.5, 0.6, 0.75, 0.9, 1.0])) for a in range(60) for b in range(60)] + [(f"s{e}", a, b, 1.0) for e in range(5) for a in range(3) for b in range(2)]
+    df = spark.createDataFrame(many, "event string, a_idx bigint, b_idx bigint, score double").repartition(3)
+    want = rows(align.assign(df))
+    assert rows(align.assign_skewed(df, at_most=100)) == want == rows(align.assign_skewed(df)) and len(want) == 60 + 5 * 2
+
+
+def test_shared_folders(spark):
+    from gridloom.sources import tables
+
+    assert tables.demand_shared("file:/w", "file", "local[8]") == "file:/w" and tables.demand_shared("hdfs://w", "hdfs", "yarn") == "hdfs://w"
+    for master in ("yarn", "spark://m:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            tables.demand_shared("file:/w", "file", master)
