@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -146,6 +147,12 @@ class Counter:
         return None
 
 
+@lru_cache(4)
+def counter(path: str, chunk: int, overlap: int) -> Counter:
+    """One for all tasks of a worker: reading a vocabulary takes about as long as a megabyte of text."""
+    return Counter(path, chunk, overlap)
+
+
 def counted(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of each text of ``docs(doc_id, text)``.
 
@@ -155,10 +162,10 @@ def counted(docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk: int
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path, chunk, overlap)
+        of = counter(tokenizer_path, chunk, overlap)
         for batch in batches:
             bodies = [x or b"" for x in texts(batch)]
-            n = [x for i, j in pieces(bodies, 1 << 20) for x in counter.count(bodies[i:j])]
+            n = [x for i, j in pieces(bodies, 1 << 20) for x in of.count(bodies[i:j])]
             size, many = pa.array(list(map(len, bodies)), pa.int64()), pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, many, pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
