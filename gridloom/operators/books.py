@@ -4,20 +4,28 @@ A log has (book, seq, kind, side, tick, qty); seq orders it, and item and pos wi
 share seq and item are one message. A snapshot replaces its book: of a level that it names twice the last size above 0 counts; a
 row without a tick only clears. Absolute messages set a level, and remove it at or below 0. Deltas add to a level, which never
 falls below 0.
+
+A book that has most of the log is no single task: ``in_pieces`` cuts logs into ranges of messages. What a piece does to a level is
+x -> max(a, x + b), or a fixed size, and such steps compose. So each piece is folded by itself, the folds are scanned book by book,
+and each piece is replayed from the levels that the scan brings to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from gridloom.sources.tables import materialize
+
 LEVEL = ("book", "side", "tick")
 ORDER = ("seq", "item", "pos")
+#: Messages of a book from which on its log is replayed in pieces.
+HOT_BOOK = 5_000_000
 
 
 def ordered(log: DataFrame) -> DataFrame:
@@ -47,8 +55,16 @@ def _counts() -> Column:
     return F.col("tick").isNotNull() & ((F.col("kind") != "snapshot") | (F.col("qty") > 0))
 
 
-def delta_sizes(log: DataFrame) -> DataFrame:
-    """``log`` with size, the level's size after each message, where all quantities are deltas to what the last snapshot left.
+def delta_sizes(log: DataFrame, hot: int = HOT_BOOK) -> DataFrame:
+    """``log`` with size, the level's size after each message, where all quantities are deltas to what the last snapshot left. Of a
+    level that a snapshot names twice only the row that counts stays. Counts the books' messages first: a log with a book of over
+    ``hot`` messages is replayed in pieces."""
+    few = log.groupBy("book").count().where(F.col("count") > hot).isEmpty()
+    return sizes_by_windows(log) if few else sizes_in_pieces(log)
+
+
+def sizes_by_windows(log: DataFrame) -> DataFrame:
+    """``log`` with size, the level's size after each message, where all quantities are deltas to what the last snapshot left. A book's log is sorted in one task.
 
     The clamp at 0 is a reflected sum: with S the plain running sum, the size is S - min(0, the least S so far).
     """
@@ -69,41 +85,232 @@ def delta_state(log: DataFrame) -> DataFrame:
     return last.join(newest, ["book", "epoch"]).where("size > 0").select(*LEVEL, "size")
 
 
-def as_of(log: DataFrame, times: DataFrame) -> DataFrame:
-    """(book, at, best_bid, bids, best_ask, asks) for ``times(book, at)``: best prices (null without one) and numbers of levels of the
-    book that its messages up to seq ``at`` leave. The sorted log of a book streams through; just its live levels are held."""
-    log = ordered(log).select("book", *(F.col(c).cast("bigint").alias(c) for c in ORDER), "kind", "side", F.col("tick").cast("bigint").alias("tick"), F.col("qty").cast("bigint").alias("qty"))
-    end, none = F.lit(2**62), F.lit(None)
-    marks = times.select("book", F.col("at").cast("bigint").alias("seq"), end.alias("item"), end.alias("pos"), F.lit("mark").alias("kind"), none.cast("string").alias("side"), none.cast("bigint").alias("tick"), none.cast("bigint").alias("qty"))
+_PIECE = ("piece", "book", *ORDER, "kind", "side", "tick", "qty", "plus")
+
+
+class Live:
+    """A book's live levels, message by message."""
+
+    def __init__(self) -> None:
+        self.levels: dict[str, dict[int, int]] = {"bid": {}, "ask": {}}
+        self.message: tuple | None = None
+
+    def apply(self, at: tuple, kind: str, side: str, tick: int | None, qty: int | None) -> int:
+        """The size of the row's level after it."""
+        if kind == "snapshot" and self.message != at:
+            self.levels = {"bid": {}, "ask": {}}
+        self.message = at
+        if tick is None or qty is None:
+            return 0
+        held = self.levels[side]
+        if kind == "snapshot" and qty <= 0:
+            return held.get(tick, 0)
+        size = max(held.get(tick, 0) + qty, 0) if kind == "delta" else max(qty, 0)
+        if size > 0:
+            held[tick] = size
+        else:
+            held.pop(tick, None)
+        return size
+
+
+class Fold:
+    """What a piece does to a book: whether it clears all levels, and (a, b) by level for x -> max(a, x + b); b is None for a fixed a."""
+
+    def __init__(self) -> None:
+        self.cleared, self.steps, self.message = False, {}, None
+
+    def apply(self, at: tuple, kind: str, side: str, tick: int | None, qty: int | None) -> None:
+        if kind == "snapshot" and self.message != at:
+            self.cleared, self.steps = True, {}
+        self.message = at
+        if kind == "mark" or tick is None or qty is None or (kind == "snapshot" and qty <= 0):
+            return
+        if kind == "delta":
+            a, b = self.steps.get((side, tick), (0, None if self.cleared else 0))
+            self.steps[side, tick] = max(0, a + qty), None if b is None else b + qty
+        else:
+            self.steps[side, tick] = max(qty, 0), None
+
+
+def _records(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
+
+
+def in_pieces(log: DataFrame, emit: Callable[[Live, tuple], list[tuple]], schema: str, pieces: int | None = None, finish: Callable[[Live], list[tuple]] = lambda state: []) -> DataFrame:
+    """Rows that ``emit`` gives for each row of ``log`` in order, given the book's levels before it and (book, seq, item, pos, kind,
+    side, tick, qty); ``emit`` applies the row. ``finish`` gives what is left at the end of a book's piece. The log is cut into ranges
+    of whole messages, as many as shuffles have partitions.
+
+    Rows of kind ``mark`` change nothing. The log is written with its pieces and folds, so building the result runs a job.
+    """
+    spark = log.sparkSession
+    whole = ordered(log).select("book", *(F.col(c).cast("bigint").alias(c) for c in ORDER), "kind", "side", F.col("tick").cast("bigint").alias("tick"), F.col("qty").cast("bigint").alias("qty"))
+    book = whole.schema["book"].dataType
+    held = pa.schema([("piece", pa.int64()), ("book", to_arrow_type(book)), *((c, pa.int64()) for c in ORDER), ("kind", pa.string()), ("side", pa.string()), *((c, pa.int64()) for c in ("tick", "qty", "plus"))])
+    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() and f.name != 'book' else book.simpleString() if f.name == 'book' else 'bigint'}" for f in held)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows, and the folds of the first and the last book of the piece: others lie in it whole."""
+        last, first, piece, state = None, True, None, Fold()
+
+        def folded() -> list[tuple]:
+            head = (piece, last, None, None, None, "cleared" if state.cleared else "went on", None, None, None, None)
+            return [head, *((piece, last, None, None, None, "fold", side, tick, a, b) for (side, tick), (a, b) in state.steps.items())]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=held)
+            out, piece = [], batch.column("piece")[0].as_py()
+            for b, *at, kind, side, tick, qty in zip(*(batch.column(c).to_pylist() for c in ("book", "seq", "item", "kind", "side", "tick", "qty")), strict=True):
+                if b != last:
+                    if last is not None and first:
+                        out, first = folded(), False
+                    last, state = b, Fold()
+                state.apply(tuple(at), kind, side, tick, qty)
+            if out:
+                yield _records(held, out)
+        if last is not None:
+            yield _records(held, folded())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, message, levels = None, None, {"bid": {}, "ask": {}}
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The levels with which a book comes to each piece but its first."""
+        book, piece, levels = None, None, {}
         for batch in batches:
             out = []
-            for b, seq, item, _, kind, side, tick, qty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, b, kind, side, tick, a, plus in zip(*(batch.column(c).to_pylist() for c in ("piece", "book", "kind", "side", "tick", "qty", "plus")), strict=True):
                 if b != book:
-                    book, message, levels = b, None, {"bid": {}, "ask": {}}
-                if kind == "mark":
-                    bids, asks = levels["bid"], levels["ask"]
-                    out.append((b, seq, max(bids, default=None), len(bids), min(asks, default=None), len(asks)))
-                    continue
-                if kind == "snapshot" and message != (seq, item):
-                    levels = {"bid": {}, "ask": {}}
-                message = seq, item
-                if tick is None or (kind == "snapshot" and qty <= 0):
-                    continue
-                size = levels[side].get(tick, 0) + qty if kind == "delta" else qty
-                if size > 0:
-                    levels[side][tick] = size
+                    book, piece, levels = b, None, {}
+                if p != piece:
+                    out += [(p, b, None, None, None, "carried", *k, x, None) for k, x in levels.items()]
+                    piece = p
+                if kind == "cleared":
+                    levels = {}
+                elif kind == "fold":
+                    size = a if plus is None else max(a, levels.get((side, tick), 0) + plus)
+                    levels.pop((side, tick), None)
+                    if size > 0:
+                        levels[side, tick] = size
+            yield _records(held, out)
+
+    names, result = ("book", *ORDER, "kind", "side", "tick", "qty"), _arrow(spark, schema)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, Live()
+        for batch in batches:
+            out = []
+            for piece, *row in zip(*(batch.column(c).to_pylist() for c in ("piece", *names)), strict=True):
+                if (piece, row[0]) != at:
+                    out += finish(state)
+                    at, state = (piece, row[0]), Live()
+                if row[4] == "carried":
+                    state.levels[row[5]][row[6]] = row[7]
                 else:
-                    levels[side].pop(tick, None)
+                    out += emit(state, tuple(row))
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
+                yield _records(result, out)
+        yield _records(result, finish(state))
+
+    ranges = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = whole.repartitionByRange(ranges, "book", "seq", "item").sortWithinPartitions("book", *ORDER)
+    cut = cut.withColumns({"piece": F.spark_partition_id().cast("bigint"), "plus": F.lit(None).cast("bigint")}).select(*_PIECE)
+    rows = materialize(cut.mapInArrow(fold, ddl))
+    is_fold = F.col("kind").isin("cleared", "went on", "fold")
+    order = F.when(F.col("kind") == "fold", 1).otherwise(0)  # a piece's clearing comes before its levels
+    folds = rows.where(is_fold).repartition(F.col("book")).sortWithinPartitions("book", "piece", order)
+    all_ = rows.where(~is_fold).unionByName(folds.mapInArrow(scan, ddl))
+    return all_.repartition(F.col("piece")).sortWithinPartitions("piece", F.col("book"), F.col("seq").asc_nulls_first(), "item", "pos").mapInArrow(replay, schema)
+
+
+def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in spark.createDataFrame([], schema).schema.fields])
+
 
-    kind = log.schema["book"].dataType
-    schema = pa.schema([("book", to_arrow_type(kind)), *((c, pa.int64()) for c in ("at", "best_bid", "bids", "best_ask", "asks"))])
-    rows = log.unionByName(marks).repartition(F.col("book")).sortWithinPartitions("book", *ORDER)
-    return rows.mapInArrow(run, f"book {kind.simpleString()}, at bigint, best_bid bigint, bids bigint, best_ask bigint, asks bigint")
+def sizes_in_pieces(log: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(book, seq, item, pos, kind, side, tick, qty, size) of the rows that ``delta_sizes`` keeps, with no book in one task."""
+
+    def emit(state: Live, row: tuple) -> list[tuple]:
+        book, seq, item, _, kind, side, tick, qty = row
+        done = _flush(state) if state.message != (seq, item) else []
+        size = state.apply((seq, item), kind, side, tick, qty)
+        if kind != "snapshot" or tick is None:
+            return done if tick is None else [*done, (*row[:7], qty, size)]
+        held = state.__dict__.setdefault("full", {})  # of a level that a snapshot names twice the last above 0 counts, else the last
+        if (side, tick) not in held or qty > 0 or held[side, tick][7] <= 0:
+            held[side, tick] = (*row[:7], max(qty, 0))
+        return done
+
+    def _flush(state: Live) -> list[tuple]:
+        return [(*r, r[7]) for r in state.__dict__.pop("full", {}).values()]
+
+    book = log.schema["book"].dataType.simpleString()
+    return in_pieces(log, emit, f"book {book}, seq bigint, item bigint, pos bigint, kind string, side string, tick bigint, qty bigint, size bigint", pieces, _flush)
+
+
+def as_of(log: DataFrame, times: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(book, at, best_bid, bids, best_ask, asks) for ``times(book, at)``: best prices (null without one) and numbers of levels of the
+    book that its messages up to seq ``at`` leave. The log is replayed in pieces, so no book is one task."""
+
+    def emit(state: Live, row: tuple) -> list[tuple]:
+        book, seq, item, _, kind, side, tick, qty = row
+        if kind != "mark":
+            state.apply((seq, item), kind, side, tick, qty)
+            return []
+        bids, asks = state.levels["bid"], state.levels["ask"]
+        return [(book, seq, max(bids, default=None), len(bids), min(asks, default=None), len(asks))]
+
+    end, none = F.lit(2**62), F.lit(None)
+    marks = times.select("book", F.col("at").cast("bigint").alias("seq"), end.alias("item"), end.alias("pos"), F.lit("mark").alias("kind"), none.cast("string").alias("side"), none.cast("bigint").alias("tick"), none.cast("bigint").alias("qty"))
+    rows = ordered(log).select(*marks.columns).unionByName(marks)
+    return in_pieces(rows, emit, f"book {log.schema['book'].dataType.simpleString()}, at bigint, best_bid bigint, bids bigint, best_ask bigint, asks bigint", pieces)
+
+
+def best_changes(log: DataFrame, side: str = "bid", pieces: int | None = None) -> DataFrame:
+    """(book, seq, item, best, before): each message after which a side's best price is another than before it; null for an empty
+    side. Rows of one message follow each other, so each row says what it changed; sums over a message's rows are its change."""
+    pick = max if side == "bid" else min
+
+    def emit(state: Live, row: tuple) -> list[tuple]:
+        book, seq, item, _, kind, of, tick, qty = row
+        known = state.__dict__.get("best", False)
+        before = pick(state.levels[side], default=None) if known is False else known  # kept, so that a row costs no look at all levels
+        had = before is not None and before in state.levels[side]
+        state.apply((seq, item), kind, of, tick, qty)
+        now, levels = before, state.levels[side]
+        if kind == "snapshot" or not had or before not in levels:
+            now = pick(levels, default=None)
+        elif of == side and tick in levels:
+            now = pick(before, tick)
+        state.best = now
+        return [(book, seq, item, now, before)] if now != before else []
+
+    return in_pieces(log, emit, f"book {log.schema['book'].dataType.simpleString()}, seq bigint, item bigint, best bigint, before bigint", pieces)
+
+
+def running_sums(rows: DataFrame, key: str, order: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+    """``rows`` with each of ``sums`` replaced by its sum over the rows of ``key`` up to this one; equal ``order`` counts together.
+
+    Rows are cut into ranges; a range's totals are added up first, so that a key which most rows share is no single task. The
+    ranges are written, so building the result runs a job.
+    """
+    cut = materialize(rows.repartitionByRange(key, *order).withColumn("__piece", F.spark_partition_id()))
+    upto = Window.partitionBy(key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(key, "__piece").agg(*(F.sum(c).alias(c) for c in sums))
+    ahead = totals.select(key, "__piece", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"__{c}") for c in sums))
+    within = Window.partitionBy(key, "__piece").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    added = cut.join(ahead, [key, "__piece"]).withColumns({c: F.sum(c).over(within) + F.col(f"__{c}") for c in sums})
+    return added.select(*rows.columns)
+
+
+def oversum_changes(log: DataFrame, markets: DataFrame, threshold: int, least: int, pieces: int | None = None) -> DataFrame:
+    """(event, seq, item, total, counted, is_oversum): the sum and number of the best bids of an event's markets after each message that
+    changes one of them, for ``markets(event, book)``; ``threshold`` is in ticks. A book may be a market of several events."""
+    named = markets.where(F.coalesce("event", F.lit("")) != "").select("event", "book").distinct()
+    many = named.groupBy("event").agg(F.count("*").alias("n_markets"))
+    steps = best_changes(log, "bid", pieces).select("book", "seq", "item", (F.coalesce("best", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("total"), (F.col("best").isNotNull().cast("bigint") - F.col("before").isNotNull().cast("bigint")).alias("counted"))
+    each = steps.join(named, "book").groupBy("event", "seq", "item").agg(F.sum("total").alias("total"), F.sum("counted").alias("counted"))
+    summed = running_sums(each, "event", ("seq", "item"), ("total", "counted")).join(many, "event")
+    return summed.withColumn("is_oversum", (F.col("n_markets") >= least) & (F.col("counted") >= least) & (F.col("total") > threshold)).drop("n_markets")
 
 
 def best(levels: DataFrame, side: str = "bid") -> DataFrame:

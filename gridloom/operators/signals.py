@@ -12,8 +12,11 @@ from pyspark.sql.window import Window
 from gridloom.functions import pricing as P
 from gridloom.functions.dates import iso_millis
 from gridloom.functions.values import Thresholds
+from gridloom.sources.tables import materialize
 
 T = Thresholds()
+#: Signals of a pair from which on it is no single task.
+HOT_PAIR = 5_000_000
 
 
 def legs(pairs: DataFrame) -> DataFrame:
@@ -38,11 +41,59 @@ def ages(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"{k}_ms": F.unix_millis("recv_ts") - F.unix_millis(f"{k}_ts") for k in ("a", "b")})
 
 
-def cooled(signals: DataFrame, cooldown_ms: int) -> DataFrame:
+def cooled(signals: DataFrame, cooldown_ms: int, most: int | None = None, hot: int = HOT_PAIR) -> DataFrame:
     """(pair, at) of the signals that fire: one within ``cooldown_ms`` of the last that fired does not.
 
-    The sorted signals stream through; of a pair just the time of its last firing is held, however long its history.
+    Where a pair has over ``hot`` signals, they are followed by doubling, those of others in order. Unless ``most``, the signals that a
+    pair may have, says that none has so many, they are counted first.
     """
+    signals = signals.where("pair is not null and at is not null")
+    if most is not None and most <= hot:
+        return cooled_in_order(signals, cooldown_ms)
+    large = materialize(signals.groupBy("pair").count().where(F.col("count") > hot).select("pair"))
+    if large.isEmpty():
+        return cooled_in_order(signals, cooldown_ms)
+    rest = cooled_in_order(signals.join(large, "pair", "left_anti"), cooldown_ms)
+    return rest.unionByName(cooled_by_doubling(signals.join(large, "pair", "left_semi"), cooldown_ms))
+
+
+def successors(signals: DataFrame, cooldown_ms: int) -> DataFrame:
+    """(pair, at, to) of ``signals(pair, at)``, distinct: the first signal that is ``cooldown_ms`` later or more, null without one.
+
+    Times are cut into spans of a cooldown. Where the next span has a signal that is late enough it is found there, by a window over
+    that span's signals and the places looked for; else it is the first of the next span after that which has any.
+    """
+    span = F.floor(F.col("at") / cooldown_ms)
+    here = signals.select("pair", "at", span.alias("span"))
+    firsts = here.groupBy("pair", "span").agg(F.min("at").alias("first"))
+    looked = here.select("pair", (F.col("span") + 1).alias("span"), (F.col("at") + cooldown_ms).alias("place"), "at", F.lit(None).cast("bigint").alias("found"))
+    there = here.select("pair", "span", F.col("at").alias("place"), F.lit(None).cast("bigint").alias("at"), F.col("at").alias("found"))
+    later = Window.partitionBy("pair", "span").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = looked.unionByName(there).withColumn("to", F.min("found").over(later)).where("at is not null").select("pair", "at", "span", "to")
+    spans = Window.partitionBy("pair").orderBy("span")  # one row a span
+    ahead = firsts.select("pair", (F.col("span") + 1).alias("span"), *(F.lead(c, n).over(spans).alias(name) for name, c, n in (("one", "first", 1), ("one_span", "span", 1), ("two", "first", 2))))
+    met = near.join(ahead, ["pair", "span"])
+    beyond = F.when(F.col("one_span") == F.col("span"), F.col("two")).otherwise(F.col("one"))
+    return met.select("pair", "at", F.coalesce("to", beyond).alias("to"))
+
+
+def cooled_by_doubling(signals: DataFrame, cooldown_ms: int) -> DataFrame:
+    """What ``cooled`` gives, with no pair in one task: from the first signal of each pair along ``successors``, whose jumps double
+    their length each round. Only signals that others lead to are kept, of a span at most as many as the span before has."""
+    steps = materialize(successors(signals.select("pair", F.col("at").cast("bigint").alias("at")).distinct(), cooldown_ms))
+    reached = materialize(steps.groupBy("pair").agg(F.min("at").alias("at")))
+    led_to = steps.where("to is not null").select("pair", F.col("to").alias("at")).unionByName(reached).distinct()
+    jumps = materialize(steps.where("to is not null").join(led_to, ["pair", "at"], "left_semi"))
+    while not jumps.isEmpty():
+        on = jumps.select("pair", F.col("at").alias("to"), F.col("to").alias("__to"))
+        more = reached.join(jumps, ["pair", "at"]).select("pair", F.col("to").alias("at"))
+        reached = materialize(reached.unionByName(more).distinct())
+        jumps = materialize(jumps.join(on, ["pair", "to"]).select("pair", "at", F.col("__to").alias("to")))
+    return reached
+
+
+def cooled_in_order(signals: DataFrame, cooldown_ms: int) -> DataFrame:
+    """What ``cooled`` gives, a pair in one task: its sorted signals stream through, just the time of the last firing is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, fired = None, None

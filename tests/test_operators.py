@@ -228,3 +228,73 @@ def test_shared_folders(spark):
     for master in ("yarn", "spark://m:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
             tables.demand_shared("file:/w", "file", master)
+
+
+def test_one_hot_pair_cools_by_doubling(spark):
+    """One pair has nearly all signals, in bursts, with gaps and repeats; doubling gives what the scan in order gives."""
+    rng = random.Random(8)
+    at = [("hot", base + rng.randrange(40)) for base in (0, 15, 400, 1000, 1001, 5000) for _ in range(300)] + [("hot", 10_000 + 7 * i) for i in range(300)] + [("cold", rng.randrange(2000)) for _ in range(20)] + [("one", 3), (None, 4), ("cold", None)]
+    df = spark.createDataFrame(at, "pair string, at bigint").repartition(3)
+    for ms in (1, 8, 40, 300):
+        want = rows(signals.cooled_in_order(df.where("pair is not null and at is not null"), ms))
+        assert rows(signals.cooled_by_doubling(df.where("pair is not null and at is not null"), ms)) == want == rows(signals.cooled(df, ms)) == rows(signals.cooled(df, ms, hot=100))
+
+
+def hot_log(rng, n, kinds):
+    """A log of two books of which one has nearly all messages: snapshots of several rows, absolute messages, deltas."""
+    log = []
+    for seq in range(n):
+        book = "hot" if rng.random() < 0.95 else rng.choice("ab")
+        kind = rng.choice(kinds) if rng.random() < 0.97 else "snapshot"
+        rows_ = [(None, None), *((rng.randrange(1, 9), rng.choice([0, 3, 5])) for _ in range(rng.randrange(5)))] if kind == "snapshot" else [(rng.randrange(1, 9), rng.randrange(-6, 9)) for _ in range(rng.choice([1, 1, 2]))]
+        log += [(book, seq, 0, pos, kind, rng.choice(["bid", "ask"]), tick, qty) for pos, (tick, qty) in enumerate(rows_)]
+    return log
+
+
+LOG = "book string, seq bigint, item int, pos int, kind string, side string, tick bigint, qty bigint"
+
+
+@pytest.mark.parametrize("pieces", [1, 5, 16])
+def test_pieces_of_a_hot_book(spark, pieces):
+    """Sizes, books as of a time and best prices of a log cut into pieces are those of one pass over each book."""
+    log = hot_log(random.Random(pieces), 900, ["delta"])
+    df = spark.createDataFrame(log, LOG).repartition(3)
+    columns = ["book", "seq", "pos", "side", "tick", "qty", "size"]
+    want = rows(books.sizes_by_windows(df).select(*columns))
+    assert rows(books.sizes_in_pieces(df, pieces).select(*columns)) == want == rows(books.delta_sizes(df).select(*columns))
+    log = hot_log(random.Random(pieces), 900, ["delta", "absolute"])
+    df = spark.createDataFrame(log, LOG).repartition(3)
+    best, sides, changes, marks = {}, {}, [], []
+    for (book, seq), message in itertools.groupby(sorted(log, key=lambda r: (r[0], r[1], r[3])), key=lambda r: r[:2]):
+        live = sides.setdefault(book, {"bid": {}, "ask": {}})
+        for i, (*_, kind, side, tick, qty) in enumerate(message):
+            if kind == "snapshot" and i == 0:
+                live["bid"].clear()
+                live["ask"].clear()
+            if tick is None or (kind == "snapshot" and qty <= 0):
+                continue
+            size = live[side].get(tick, 0) + qty if kind == "delta" else qty
+            live[side].pop(tick, None)
+            if size > 0:
+                live[side][tick] = size
+        now = max(live["bid"], default=None)
+        if now != best.get(book):
+            changes.append((book, seq, now))
+            best[book] = now
+        if seq % 7 == 0:
+            marks.append((book, seq, now, len(live["bid"]), min(live["ask"], default=None), len(live["ask"])))
+    at = spark.createDataFrame([m[:2] for m in marks], "book string, at bigint")
+    assert sorted(map(tuple, books.as_of(df, at, pieces).collect()), key=str) == sorted(marks, key=str)
+    found = books.best_changes(df, "bid", pieces).groupBy("book", "seq").agg(F.sum(F.coalesce("best", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("step")).where("step <> 0")
+    last, steps = {}, set()
+    for book, seq, now in changes:
+        steps.add((book, seq, (now or 0) - last.get(book, 0)))
+        last[book] = now or 0
+    assert {tuple(r) for r in found.collect()} == steps
+
+
+def test_running_sums_of_a_hot_key(spark):
+    rng = random.Random(2)
+    data = [("hot" if rng.random() < 0.9 else "b", rng.randrange(300), rng.randrange(-5, 6)) for _ in range(800)]
+    got = books.running_sums(spark.createDataFrame(data, "k string, seq int, x bigint").repartition(4), "k", ("seq",), ("x",))
+    assert rows(got) == sorted((k, seq, sum(x for j, s, x in data if j == k and s <= seq)) for k, seq, _ in data)
