@@ -496,6 +496,12 @@ def book_delta(spark: SparkSession, d: str) -> DataFrame:
     return books.delta_sizes(I.messages(spark, d)).select("book", "seq", "size")
 
 
+@query("book_delta_pieces", f"WITH {_DELTAS} SELECT book, seq, CAST(size AS BIGINT) AS size FROM sizes")
+def book_delta_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The same, as hot books are replayed."""
+    return books.sizes_in_pieces(I.messages(spark, d).withColumn("kind", F.when(F.col("kind") == "snapshot", "snapshot").otherwise("delta"))).select("book", "seq", "size")
+
+
 @query("book_delta_state", f"""WITH {_DELTAS}, newest AS (SELECT book, max(epoch) AS epoch FROM sizes GROUP BY 1)
 SELECT book, side, tick, CAST(arg_max(size, seq) AS BIGINT) AS size FROM sizes JOIN newest USING (book, epoch) GROUP BY 1, 2, 3 HAVING arg_max(size, seq) > 0""")
 def book_delta_state(spark: SparkSession, d: str) -> DataFrame:
@@ -527,6 +533,22 @@ def oversum(spark: SparkSession, d: str) -> DataFrame:
     return books.oversum(best, markets, T.oversum, T.oversum_markets).drop("total")
 
 
+@query("oversum_timeline", f"""WITH {I.MESSAGES}, log AS (SELECT *, sum(CASE WHEN kind = 'snapshot' THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY seq) AS epoch FROM messages WHERE kind <> 'delta'
+), sizes AS (SELECT book, seq, t, last_value(CASE WHEN side = 'bid' AND tick = t AND NOT (kind = 'snapshot' AND qty <= 0) THEN qty END IGNORE NULLS) OVER (PARTITION BY book, epoch, t ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS size
+  FROM log, (SELECT unnest([1, 2, 3, 4, 5]) AS t)
+), best AS (SELECT book, seq, max(t) FILTER (size > 0) AS best FROM sizes GROUP BY 1, 2
+), steps AS (SELECT *, lag(best) OVER (PARTITION BY book ORDER BY seq) AS before FROM best
+), changes AS (SELECT book // 4 AS event, seq, coalesce(best, 0) - coalesce(before, 0) AS total, CAST(best IS NOT NULL AS INT) - CAST(before IS NOT NULL AS INT) AS counted FROM steps WHERE best IS DISTINCT FROM before
+), summed AS (SELECT event, seq, sum(total) OVER w AS total, sum(counted) OVER w AS counted FROM changes WINDOW w AS (PARTITION BY event ORDER BY seq)
+), markets AS (SELECT user_id // 4 AS event, count(DISTINCT user_id) AS n_markets FROM events GROUP BY 1)
+SELECT CAST(event AS VARCHAR) AS event, seq, CAST(total AS BIGINT) AS total, CAST(counted AS BIGINT) AS counted, n_markets >= 3 AND counted >= 3 AND total > 5.25::DOUBLE AS is_oversum FROM summed JOIN markets USING (event)""")
+def oversum_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """The over-sum of each event after each message that changes a best bid, prices in fifths."""
+    log = I.messages(spark, d)
+    markets = log.select(F.floor(F.col("book") / 4).cast("string").alias("event"), "book")
+    return books.oversum_changes(log.where("kind <> 'delta'"), markets, 5 * T.oversum, T.oversum_markets).drop("item")
+
+
 @query("active_books", f"""WITH {I.MESSAGES}, known AS (SELECT DISTINCT user_id AS book FROM events UNION SELECT user_id + 100000 FROM events)
 SELECT count(*) AS n_books, count(*) FILTER (book IN (SELECT book FROM messages)) AS n_active FROM known""")
 def active_books(spark: SparkSession, d: str) -> DataFrame:
@@ -559,11 +581,6 @@ def as_of(spark: SparkSession, d: str) -> DataFrame:
     return _aged(spark, d).select("pair", "seq", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("a_ms", "b_ms")))
 
 
-@query("counters", f"""WITH {_PAIRS} SELECT CASE WHEN a_ts IS NULL OR b_ts IS NULL THEN 'unseen' WHEN a_ms > {STALE_MS} OR b_ms > {STALE_MS} THEN 'stale' WHEN qty <= 0 THEN 'thin' ELSE 'signal' END AS outcome, count(*) AS n FROM aged GROUP BY 1""")
-def counters(spark: SparkSession, d: str) -> DataFrame:
-    return _aged(spark, d).groupBy(_outcome().alias("outcome")).agg(F.count("*").alias("n"))
-
-
 def _outcome() -> Column:
     stale = (F.col("a_ms") > STALE_MS) | (F.col("b_ms") > STALE_MS)
     return F.when(F.col("a_ts").isNull() | F.col("b_ts").isNull(), "unseen").when(stale, "stale").when(F.col("qty") <= 0, "thin").otherwise("signal")
@@ -572,8 +589,22 @@ def _outcome() -> Column:
 @query("cooldown", f"""WITH {_PAIRS}, s AS (SELECT pair, list([epoch_us(recv_ts) // 1000] ORDER BY recv_ts) AS c FROM aged WHERE a_ts IS NOT NULL AND b_ts IS NOT NULL AND a_ms <= {STALE_MS} AND b_ms <= {STALE_MS} AND qty > 0 GROUP BY 1)
 SELECT pair, unnest(list_reduce(c, lambda acc, x: CASE WHEN x[1] - acc[len(acc)] < {COOLDOWN_MS} THEN acc ELSE list_concat(acc, x) END)) AS at FROM s""")
 def cooldown(spark: SparkSession, d: str) -> DataFrame:
-    fired = _aged(spark, d).where(_outcome() == "signal").select("pair", F.unix_millis("recv_ts").alias("at"))
-    return signals.cooled(fired, COOLDOWN_MS)
+    return signals.cooled(_signals(spark, d), COOLDOWN_MS, most=2 * _most(I.messages(spark, d)))  # a pair has two books
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    return _aged(spark, d).where(_outcome() == "signal").select("pair", F.unix_millis("recv_ts").alias("at"))
+
+
+def _most(log: DataFrame) -> int:
+    """The messages of the book that has most."""
+    return log.groupBy("book").count().agg(F.max("count").alias("n")).head().n or 0
+
+
+@query("cooldown_doubling", ORACLE_SQL["cooldown"])
+def cooldown_doubling(spark: SparkSession, d: str) -> DataFrame:
+    """The same, as hot pairs are followed."""
+    return signals.cooled_by_doubling(_signals(spark, d), COOLDOWN_MS)
 
 
 # ---- whole pipelines ----
@@ -748,24 +779,66 @@ def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 FEED_LIMITS = V.Thresholds(stale_ms=72 * 3_600_000, cooldown_ms=12 * 3_600_000, oversum=3.2)
 
 
-def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes of the whole log; sequential state over floats, so tests hold it against the stream and a plain loop."""
+def _replay(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.streaming.engine import replay
 
-    log, pairs = _feed(spark, d)
-    out = replay(log, pairs, FEED_LIMITS)
-    return out.groupBy("pair", "outcome").agg(F.count("*").alias("n"), F.round(F.avg("profit"), 6).alias("mean_profit"))
-
-
-QUERIES["replay_outcomes"] = replay_outcomes
+    return replay(*_feed(spark, d), FEED_LIMITS)
+
+
+#: The evaluation as sets: sizes at each message by windows, the walks of both legs level by level (in the engine's order of
+#: floating-point steps, which fees at a whole cent depend on), then what each evaluation would give without cooldowns; only the
+#: cooldowns are folded message by message.
+_REPLAY = f"""e AS (SELECT event_id AS k, epoch_us(ts) // 1000 AS ms, user_id % 32 AS m, (30 + ((user_id % 32) * 7 + event_id * 3) % 40) * 100 AS t, value FROM events
+), log AS (SELECT k, ms, m, 'A' || m || CASE WHEN k % 2 = 0 THEN 'y' ELSE 'n' END AS book, t AS tick, CAST(round(value * 100) AS BIGINT) + 5000 AS qty FROM e WHERE k % 4 < 2
+  UNION ALL SELECT k, ms, m, 'M' || m || '/yes', 10000 - t - 500, 20000 - k % 7 * 3000 FROM e WHERE k % 4 = 2
+  UNION ALL SELECT k, ms, m, 'M' || m || '/no', 10000 - t - 700, 20000 - k % 5 * 4000 FROM e WHERE k % 4 = 3
+), sums AS (SELECT *, sum(qty) OVER (PARTITION BY book, tick ORDER BY k) AS s FROM log
+), sizes AS (SELECT k, m, book, tick, CASE WHEN starts_with(book, 'A') THEN qty ELSE s - least(0, min(s) OVER (PARTITION BY book, tick ORDER BY k)) END AS size FROM sums
+), hist AS (SELECT *, coalesce(lead(k) OVER (PARTITION BY book, tick ORDER BY k), 9223372036854775807) AS till FROM sizes
+), tops AS (SELECT l.k, l.m, coalesce(max(h.tick) FILTER (h.size > 0), 0) AS top FROM log l JOIN hist h ON h.book = l.book AND h.k <= l.k AND h.till > l.k WHERE l.k % 4 = 2 GROUP BY 1, 2
+), filled AS (SELECT l.*, {", ".join(f"coalesce(last_value(CASE WHEN l.m % 4 = {j} THEN top END IGNORE NULLS) OVER w, 0) AS t{j}" for j in range(4))} FROM log l LEFT JOIN tops USING (k)
+  WINDOW w AS (PARTITION BY l.m // 4 ORDER BY l.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), evals AS (SELECT k, ms, m, (t0 > 0)::INT + (t1 > 0)::INT + (t2 > 0)::INT + (t3 > 0)::INT >= {FEED_LIMITS.oversum_markets} AND t0 + t1 + t2 + t3 > {round(FEED_LIMITS.oversum * 10_000)} AS oversum,
+  {", ".join(f"last_value(CASE WHEN k % 4 = {r} THEN ms END IGNORE NULLS) OVER w AS {name}" for r, name in ((0, "s_ay"), (1, "s_an"), (2, "s_by"), (3, "s_bn")))} FROM filled WINDOW w AS (PARTITION BY m ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), legs AS (SELECT k, ms, m, 1 AS way, 'A' || m || 'y' AS a, 'M' || m || '/yes' AS b, s_ay AS sa, s_by AS sb FROM evals UNION ALL SELECT k, ms, m, 2, 'A' || m || 'n', 'M' || m || '/no', s_an, s_bn FROM evals
+), asks AS (SELECT l.k, l.way, 'a' AS leg, h.tick / 10000.0::DOUBLE AS price, h.size / 100.0::DOUBLE AS size FROM legs l JOIN hist h ON h.book = l.a AND h.k <= l.k AND h.till > l.k WHERE h.size > 0
+  UNION ALL SELECT l.k, l.way, 'b', round(1.0::DOUBLE - h.tick / 10000.0::DOUBLE, 4), h.size / 100.0::DOUBLE FROM legs l JOIN hist h ON h.book = l.b AND h.k <= l.k AND h.till > l.k WHERE h.size > 0 AND h.tick > 0 AND h.tick < 10000
+), lists AS (SELECT k, way, leg, count(*) AS depth, list({{'p': price, 'q': size, 'c': 0.0::DOUBLE, 's': 0.0::DOUBLE}} ORDER BY price) AS c FROM asks GROUP BY 1, 2, 3
+), walks AS (SELECT k, way, leg, depth, x.c / x.s AS vwap FROM (SELECT k, way, leg, depth, list_reduce(c, lambda acc, y: CASE WHEN acc.c >= 50 THEN acc ELSE {{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE,
+  'c': acc.c + least(y.q, (50.0::DOUBLE - acc.c) / y.p) * y.p, 's': acc.s + least(y.q, (50.0::DOUBLE - acc.c) / y.p)}} END, {{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 's': 0.0::DOUBLE}}) AS x FROM lists)
+), costs AS (SELECT l.*, a.depth AS da, b.depth AS db, a.vwap + b.vwap * (1.0::DOUBLE + ({_FEE.format(p="b.vwap", c="(50.0::DOUBLE / b.vwap)")}) / ((50.0::DOUBLE / b.vwap) * b.vwap)) AS cost, l.m * 20 + 0.5::DOUBLE AS days
+  FROM legs l LEFT JOIN walks a ON a.k = l.k AND a.way = l.way AND a.leg = 'a' LEFT JOIN walks b ON b.k = l.k AND b.way = l.way AND b.leg = 'b'
+), ways AS (SELECT *, CASE WHEN sa IS NULL OR sb IS NULL OR ms - sa > {FEED_LIMITS.stale_ms} OR ms - sb > {FEED_LIMITS.stale_ms} THEN 'stale' WHEN coalesce(da, 0) < 2 OR coalesce(db, 0) < 2 THEN 'thin' WHEN cost >= 1 THEN 'no_edge'
+  WHEN 1 - cost > 0.15 THEN 'suspect' WHEN days < 1 OR 1 - cost < 0.04::DOUBLE * (CASE WHEN m % 8 = 0 THEN greatest(days, 1095.0::DOUBLE) ELSE days END / 365.0::DOUBLE) THEN 'time_value' ELSE 'trade' END AS outcome FROM costs
+), would AS (SELECT e.*, s_ay IS NULL OR s_by IS NULL AS unseen, x.outcome AS o1, 1 - x.cost AS p1, y.outcome AS o2, 1 - y.cost AS p2 FROM evals e JOIN ways x ON x.k = e.k AND x.way = 1 JOIN ways y ON y.k = e.k AND y.way = 2
+), fires AS (SELECT m, list([{{'k': k, 'ms': ms}}] ORDER BY k) AS c FROM would WHERE NOT unseen AND NOT oversum AND (o1 = 'trade' OR o2 = 'trade') GROUP BY 1
+), fired AS (SELECT m, unnest(list_reduce(c, lambda acc, x: CASE WHEN x[1].ms - acc[len(acc)].ms < {FEED_LIMITS.cooldown_ms} THEN acc ELSE list_concat(acc, x) END)) AS f FROM fires
+), told AS (SELECT w.*, w.ms - f.ms < {FEED_LIMITS.cooldown_ms} AS cooling FROM would w ASOF LEFT JOIN (SELECT m, f.k AS k, f.ms AS ms FROM fired) f ON w.m = f.m AND w.k > f.k
+), outcomes AS (SELECT k, m, 1 AS way, CASE WHEN cooling THEN 'cooling' WHEN unseen THEN 'unseen' WHEN oversum THEN 'oversum' ELSE o1 END AS outcome, p1 AS profit FROM told
+  UNION ALL SELECT k, m, 2, o2, p2 FROM told WHERE NOT coalesce(cooling, false) AND NOT unseen AND NOT oversum AND o1 <> 'trade')"""
+
+
+@query("replay_outcomes", f"""WITH {_REPLAY} SELECT 'P' || CAST(m AS VARCHAR) AS pair, outcome, count(*) AS n, round(coalesce(avg(profit) FILTER (outcome = 'trade'), 0), 6) AS mean_profit FROM outcomes GROUP BY 1, 2""")
+def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of the whole log by pair; tests hold them against the stream and a plain loop as well."""
+    return _replay(spark, d).groupBy("pair", "outcome").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("profit"), F.lit(0.0)), 6).alias("mean_profit"))
 
 
+@query("replay_status", f"""WITH {_REPLAY} SELECT outcome AS counter, count(*) AS n FROM outcomes GROUP BY 1 UNION ALL SELECT 'evaluations', count(*) FROM outcomes WHERE way = 1 HAVING count(*) > 0""")
 def replay_status(spark: SparkSession, d: str) -> DataFrame:
     """The counters of the whole log: evaluations, and how often each outcome came."""
     from gridloom.streaming.engine import counters as status
-    from gridloom.streaming.engine import replay
 
-    return status(replay(*_feed(spark, d), FEED_LIMITS))
+    return status(_replay(spark, d))
+
+
+@query("counters", f"WITH {_REPLAY} SELECT 'E' || CAST(m // 4 AS VARCHAR) AS event, outcome, count(*) AS n FROM outcomes GROUP BY 1, 2")
+def counters(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of the whole log by event."""
+    return _replay(spark, d).groupBy("event", "outcome").agg(F.count("*").alias("n"))
 
 
-QUERIES["replay_status"] = replay_status
+@query("replay_trades", f"WITH {_REPLAY} SELECT k AS seq, 'P' || CAST(m AS VARCHAR) AS pair, CASE way WHEN 1 THEN 'a_yes_b_no' ELSE 'a_no_b_yes' END AS direction, round(profit, 6) AS profit FROM outcomes WHERE outcome = 'trade'")
+def replay_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Each trade of the whole log."""
+    return _replay(spark, d).where("outcome = 'trade'").select("seq", "pair", "direction", F.round("profit", 6).alias("profit"))

@@ -155,3 +155,21 @@ def test_status_of_a_running_engine(spark, tmp_path):
     known = pairs.select(F.explode(F.array("a_yes", "a_no", F.concat("b_ticker", F.lit("/yes")), F.concat("b_ticker", F.lit("/no")))).alias("book"))
     assert got.pop("active_books") == books.active(known, log).head().n_active
     assert got == {r.counter: r.n for r in streaming.counters(streaming.replay(log, pairs, engine.FEED_LIMITS)).collect()}
+
+
+@pytest.mark.parametrize("limit", [1.3, 3.2])
+def test_the_timeline_is_the_gate(spark, limit):
+    """The over-sum of an event after each message, from the best bids' changes, is what the replay's gate sees."""
+    from dataclasses import replace
+
+    log, pairs = engine._feed(spark, DATA)
+    out = streaming.replay(log, pairs, replace(engine.FEED_LIMITS, oversum=limit)).where("outcome not in ('cooling', 'unseen')").collect()
+    markets = pairs.select("event", F.concat("b_ticker", F.lit("/yes")).alias("book"))
+    line = books.oversum_changes(log.where("book like '%/yes'"), markets, round(limit * 10_000), 3, pieces=5).orderBy("seq").collect()
+    now = {}
+    for r in sorted([*((x.seq, 0, x) for x in line), *((x.seq, 1, x) for x in out)], key=lambda r: r[:2]):
+        if r[1] == 0:
+            now[r[2].event] = r[2].is_oversum
+        else:
+            assert (r[2].outcome == "oversum") == now.get(r[2].event, False)
+    assert {r.outcome == "oversum" for r in out} == {True, False}
