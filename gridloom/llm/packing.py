@@ -19,7 +19,7 @@ from gridloom.sources.tables import materialize
 
 #: Piece lengths are ranked within (length, bucket), so that a length that most pieces share is no single task.
 RANK_BUCKETS = 1024
-#: Triples of lengths that are enumerated beside all pairs.
+#: Triples, and fours, of lengths that are kept beside all pairs.
 TRIPLES = 20_000
 #: The fit ends when no pattern's use changes by more than this share of the most used one, or after so many steps.
 CLOSE, STEPS = 1e-6, 2000
@@ -115,24 +115,31 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
 
 
 def patterns(counts: np.ndarray, size: int) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill a sequence: all pairs, and triples from a fixed pseudorandom series."""
-    here = np.flatnonzero(counts)
-    pairs = np.stack([here, size - here, np.zeros_like(here)], 1)
-    rng = np.random.default_rng(7)
-    if len(here):
-        a, b = (rng.choice(here, TRIPLES * 4, p=counts[here] / counts[here].sum()) for _ in range(2))
-        triples = np.stack([a, b, size - a - b], 1)
-        triples = triples[triples[:, 2] > 0]
-    else:
-        triples = pairs
-    rows = np.sort(np.concatenate([pairs, triples]), axis=1)[:, ::-1]
-    rows = np.unique(rows[(rows[:, 1] > 0)], axis=0)
-    rows = rows[(counts[rows] > 0)[:, :2].all(axis=1) & ((rows[:, 2] == 0) | (counts[rows[:, 2]] > 0))]
-    # all pairs stay; of the triples those that can be used most, ties in pseudorandom order
-    fewest = np.where(rows > 0, counts[rows], np.iinfo(np.int64).max).min(axis=1)
-    triple = rows[:, 2] > 0
-    order = np.lexsort((rng.random(len(rows)), -fewest))
-    return np.concatenate([rows[order[~triple[order]]], rows[order[triple[order]]][:TRIPLES]])
+    """Rows of four lengths (0: none), longest first, that fill a sequence as far as the lengths there are allow: each of two or three
+    pieces with the longest one that still fits, and each piece with its longest partner.
+
+    All pairs; of triples and of fours all where lengths are few, else a fixed pseudorandom series. The ``TRIPLES`` of either stay
+    that leave least room, of these those that can be used most.
+    """
+    here, rng = np.flatnonzero(counts), np.random.default_rng(7)
+    if not len(here):
+        return np.empty((0, 4), np.int64)
+    longest = np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))
+    share, found = counts[here] / counts[here].sum(), []
+    for many in (1, 2, 3):
+        if len(here) ** many <= 4 * TRIPLES:
+            some = np.stack([x.ravel() for x in np.meshgrid(*[here] * many, indexing="ij")], 1)
+        else:
+            some = rng.choice(here, (4 * TRIPLES, many), p=share)
+        room = size - some.sum(axis=1)
+        last = longest[np.clip(room, 0, len(counts) - 1)]
+        rows = np.concatenate([some, last[:, None], np.zeros((len(some), 3 - many), np.int64)], 1)[(room > 0) & (last > 0)]
+        rows = np.unique(np.sort(rows, axis=1)[:, ::-1], axis=0)
+        if many > 1:
+            fewest = np.where(rows > 0, counts[rows], np.iinfo(np.int64).max).min(axis=1)
+            rows = rows[np.lexsort((rng.random(len(rows)), -fewest, size - rows.sum(axis=1)))][:TRIPLES]
+        found.append(rows)
+    return np.concatenate(found)
 
 
 def fit(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -141,13 +148,12 @@ def fit(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     A residual counts by the square of its length, for short pieces still find room and long ones don't.
     """
     present = (rows > 0).astype(float)
-    goal = counts.astype(float) * np.square(np.arange(len(counts)) / len(counts))
+    weight = np.square(np.arange(len(counts)) / len(counts))
     use = np.where(rows[:, 2] == 0, np.where(rows > 0, counts[rows], counts.max()).min(axis=1) * 0.9, 1.0)
-    up = (goal[rows] * present).sum(axis=1)
+    up = ((counts * weight)[rows] * present).sum(axis=1)
     for _ in range(STEPS):
         before = use
-        made = np.bincount(rows.ravel(), (present * use[:, None]).ravel(), minlength=len(counts))
-        made *= np.square(np.arange(len(counts)) / len(counts))
+        made = np.bincount(rows.ravel(), (present * use[:, None]).ravel(), minlength=len(counts)) * weight
         use = use * (up / np.maximum((made[rows] * present).sum(axis=1), 1e-12))
         if np.abs(use - before).max() <= CLOSE * use.max():
             break
@@ -157,14 +163,18 @@ def fit(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def plan(counts: np.ndarray, size: int) -> np.ndarray:
     """Rows (length, rank from, sequence from, offset): the pieces of a length, by rank, go to consecutive sequences.
 
-    ``counts`` holds how many pieces have each length below ``size``; the plan's size depends on ``size`` alone. Of the plans by
-    fitted patterns, whole or less a share, and the one by best fit alone, the first with the fewest sequences is given: so it
-    never takes more than best fit.
+    ``counts`` holds how many pieces have each length below ``size``; the plan's size depends on ``size`` alone. Plans by the patterns
+    that leave no room, and by all of them where that adds a tenth or more, each used as fitted or less a share, and the one by best
+    fit alone: the first with the fewest sequences is given. So it never takes more than best fit.
     """
-    rows = patterns(counts, size)
-    use = fit(rows, counts) if len(rows) else np.empty(0)
-    plans = [fill(counts, size, rows, np.floor(use * share + 1e-6).astype(np.int64)) for share in SHARES]
-    plans.append(fill(counts, size, rows[:0], use[:0].astype(np.int64)))
+    every = patterns(counts, size)
+    exact = every[every.sum(axis=1) == size]
+    plans = []
+    for rows in (exact, every) if len(exact) < 0.9 * len(every) else (exact,):
+        if len(rows):
+            use = fit(rows, counts)
+            plans += [fill(counts, size, rows, np.floor(use * share + 1e-6).astype(np.int64)) for share in SHARES]
+    plans.append(fill(counts, size, every[:0], np.empty(0, np.int64)))
     return min(plans, key=lambda p: p[1])[0]
 
 
@@ -177,16 +187,15 @@ def fill(counts: np.ndarray, size: int, rows: np.ndarray, use: np.ndarray) -> tu
         used[length] += many
         left[length] -= many
 
-    if len(rows):
-        for k in np.argsort(-use, kind="stable"):
-            lengths = [int(x) for x in rows[k] if x]
-            many = min(int(use[k]), *(int(left[x]) // lengths.count(x) for x in lengths))
-            if many > 0:
-                offset = 0
-                for x in lengths:
-                    place(x, many, top, offset)
-                    offset += x
-                top += many
+    for k in np.argsort(-use, kind="stable"):
+        lengths = [int(x) for x in rows[k] if x]
+        many = min(int(use[k]), *(int(left[x]) // lengths.count(x) for x in lengths))
+        if many > 0:
+            offset = 0
+            for x in lengths:
+                place(x, many, top, offset)
+                offset += x
+            top += many
     free: dict[int, list[tuple[int, int]]] = {}
     for length in range(size - 1, 0, -1):
         room = length

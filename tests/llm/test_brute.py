@@ -780,3 +780,23 @@ def test_op10_symbols_tell_windows_apart(alphabet):
         hashes = substrings.window_hashes(of.words, of.middle, of.starts, window)
         texts = [tuple(of.words[s : s + window].tolist()) for s in of.starts.tolist()]
         assert len(set(zip(hashes.tolist(), texts, strict=True))) == len(set(texts)) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize(("lengths", "most"), [(range(600, 751, 10), 20_015), (range(500, 520), 15_000), (range(690, 830, 7), 30_100), ([1000, 1040], 30_000), ([5], 147)])
+def test_packing_without_exact_fills(lengths, most):
+    """Lengths of which no few fill a sequence: patterns that leave as little room as they can beat best fit, and no piece is lost."""
+    counts = np.zeros(2048, np.int64)
+    counts[list(lengths)] = 60_000 // len(lengths)
+    plan = packing.plan(counts, 2048)
+    none = np.empty(0, np.int64)
+    plain = packing.fill(counts, 2048, np.empty((0, 4), np.int64), none)[1]
+    many, ends = Counter(), Counter()
+    by = {n: np.sort(plan[plan[:, 0] == n][:, 1]) for n in lengths}
+    for n, since, sequence, offset in plan.tolist():
+        after = by[n][by[n] > since]
+        size = int(after[0] if len(after) else counts[n]) - since
+        many[n] += size
+        for s in range(sequence, sequence + size):
+            ends[s] = max(ends[s], offset + n)
+    assert all(many[n] == counts[n] for n in lengths) and max(ends.values()) <= 2048
+    assert len(ends) <= min(most, plain)
