@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.llm.common import pieces, table, texts
+from gridloom.sources.tables import materialize
 
 UNKNOWN = "und"
 #: Bound of the labelled sample: at most so many whole texts of each language, of at most so many characters together.
 SAMPLE_TEXTS, SAMPLE_CHARS = 48, 40_000
 #: Texts of so many characters at most are sampled, if a language has any.
 SHORT_CHARS = 4096
-#: Languages that one model may have: each has a table of about a megabyte in every worker.
-MOST_LANGUAGES = 200
+#: Languages whose tables, about a megabyte each, are in a worker at once. More are taken in groups of so many.
+GROUP = 200
+#: Bytes of texts that are parsed at once. A longer text is parsed block by block, each from where the one before ended.
+BLOCK = 2 << 20
 #: Symbols of a stretch, and after how many of them two parses are compared.
 SEGMENT, MEET = 256, 32
-_BLANK = 0
+_BLANK, NONE = 0, 1 << 62
 
 
 def automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -75,10 +78,11 @@ class Alphabet:
         for i, b in enumerate(known):
             self.classes[b] = i + 1
 
-    def symbols(self, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Classes with runs of blanks made one, and which bytes they stand for."""
+    def symbols(self, body: bytes, blank: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Classes with runs of blanks made one, and which bytes they stand for. ``blank``: a blank goes before."""
         x = self.classes[np.frombuffer(body, np.uint8)]
         keep = np.ones(len(x), bool)
+        keep[:1] = not blank or x[:1] != _BLANK
         keep[1:] = (x[1:] != _BLANK) | (x[:-1] != _BLANK)
         return x[keep], keep
 
@@ -153,21 +157,27 @@ def parser(sample: bytes, alphabet: Alphabet) -> Table:
 class Parsers:
     """What a model needs on the executors: names, alphabet and tables, built once on the driver."""
 
-    def __init__(self, model: tuple) -> None:
+    def __init__(self, model: tuple, alphabet: Alphabet | None = None) -> None:
         self.names = [lang for lang, _ in model]
-        self.alphabet = Alphabet([sample for _, sample in model])
+        self.alphabet = alphabet or Alphabet([sample for _, sample in model])
         self.tables = [parser(sample, self.alphabet) for _, sample in model]
 
 
 def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[Table]) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases by text and language, and symbols by text.
+    """Phrases by text and language, and symbols by text."""
+    return parses(bodies, alphabet, tables)[:2]
+
+
+def parses(bodies: list[bytes], alphabet: Alphabet, tables: list[Table], begin: list[int] | None = None, blank: bool = False) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Phrases by text and language, symbols by text, and the states in which the last text ends. ``begin``: the states in which a
+    single text begins that goes on, ``blank`` if after a blank.
 
     All stretches run at once from the state before a text; then those run again that in truth begin in another state, namely
     where the stretch before them ended, until none does. Greedy parses soon meet: a stretch that after ``MEET`` symbols is in
     the state it was in before goes on as before.
     """
     body = b"".join(bodies)
-    symbols, keep = alphabet.symbols(body)
+    symbols, keep = alphabet.symbols(body, blank)
     ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum([len(x) for x in bodies])]
     size = np.diff(ends, prepend=0)
     lanes = -(-size // SEGMENT)
@@ -183,13 +193,14 @@ def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[Table]) -> tup
     before[column[part > 0]] = column[np.flatnonzero(part > 0) - 1]
     order = np.argsort(column)
     owner, length = owner[order], length[order]
-    out = np.zeros((len(bodies), len(tables)), np.int64)
+    out, after = np.zeros((len(bodies), len(tables)), np.int64), []
     for k, table in enumerate(tables):
+        first = table.outside if begin is None else begin[k]
         start = np.full(len(owner), table.outside, np.int32)
         met, head = table.run(grid[:MEET], length, start)
         state, tail = table.run(grid[MEET:], length - MEET, met)
         while True:
-            due = np.where(before < 0, table.outside, state[before]).astype(np.int32) if len(state) else state
+            due = np.where(before < 0, first, state[before]).astype(np.int32) if len(state) else state
             again = np.flatnonzero(due != start)
             if not len(again):
                 break
@@ -199,39 +210,46 @@ def phrases(bodies: list[bytes], alphabet: Alphabet, tables: list[Table]) -> tup
             met[again] = now
             state[other], tail[other] = table.run(grid[MEET:, other], length[other] - MEET, met[other])
         out[:, k] = np.bincount(owner, head + tail, minlength=len(bodies))
-    return out, size
+        after.append(int(state[column[-1]]) if len(state) else first)
+    return out, size, after
+
+
+def parsed(body: bytes, alphabet: Alphabet, tables: list[Table], room: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``phrases`` gives for one long text, with the memory of ``room`` bytes of it."""
+    count, size, state, blank = np.zeros((1, len(tables)), np.int64), np.zeros(1, np.int64), None, False
+    for i in range(0, len(body), room):
+        part = body[i : i + room]
+        n, m, state = parses([part], alphabet, tables, state, blank)
+        count, size, blank = count + n, size + m, alphabet.classes[part[-1]] == _BLANK
+    return count, size
 
 
-def judged(bodies: list[bytes], has_letter: np.ndarray, model: Parsers, room: int = 2 << 20) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. score: the share of phrases that the winner saves against the next language."""
-    names, scores = [UNKNOWN] * len(bodies), np.zeros(len(bodies))
-    if model.names:
-        for i, j in pieces(bodies, room):
-            counts, size = phrases(bodies[i:j], model.alphabet, model.tables)
-            best = counts.argmin(axis=1)
-            order = np.sort(counts, axis=1)
-            other = order[:, 1] if counts.shape[1] > 1 else np.maximum(size, 1)
-            scores[i:j] = np.where(has_letter[i:j], 1 - order[:, 0] / np.maximum(other, order[:, 0]).clip(1), 0)
-            for k in np.flatnonzero(has_letter[i:j]):
-                names[i + k] = model.names[best[k]]
-    return names, scores
+def fewest(bodies: list[bytes], model: Parsers, room: int = BLOCK) -> np.ndarray:
+    """By text: the place of the language with fewest phrases, the first of equal ones, that number, the next least (``NONE`` where
+    there is one language), and symbols."""
+    out = np.zeros((4, len(bodies)), np.int64)
+    for i, j in pieces(bodies, room):
+        long = j == i + 1 and len(bodies[i]) > room
+        counts, size = parsed(bodies[i], model.alphabet, model.tables, room) if long else phrases(bodies[i:j], model.alphabet, model.tables)
+        order = np.sort(counts, axis=1)
+        out[:, i:j] = counts.argmin(axis=1), order[:, 0], order[:, 1] if counts.shape[1] > 1 else np.full(j - i, NONE), size
+    return out
 
 
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> tuple:
     """((lang, sample), ...) from ``labelled(doc_id, text, lang)``: whole texts with the least hashes, for each lang at most
     ``sample_texts`` of at most ``sample_chars`` characters together. Texts over ``SHORT_CHARS`` characters are left out, but
-    where a lang has no other its shortest text is taken. That bounded sample is all that comes to the driver."""
+    where a lang has no other its shortest text is taken. That bounded sample, of any number of languages, is all that comes to the
+    driver. Ties of hashes go by text; repeated rows may both be taken."""
     rows = labelled.where("lang is not null and text is not null").withColumns({"h": F.xxhash64("doc_id", "lang"), "n": F.length("text")})
     short = F.col("n") <= SHORT_CHARS
     shortest = F.min_by(F.when(~short, F.col("text")), F.when(~short, F.struct("n", "h")))
-    known = rows.groupBy("lang").agg(F.count_if(short).alias("many"), F.when(F.count_if(short) == 0, shortest).alias("only")).limit(MOST_LANGUAGES + 1).collect()
-    if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    known = rows.groupBy("lang").agg(F.count_if(short).alias("many"), F.when(F.count_if(short) == 0, shortest).alias("only")).collect()
     by: dict[str, list] = {r["lang"]: [] if r["only"] is None else [r["only"].lower()] for r in known}
     share = {r["lang"]: min(1.0, 3 * sample_texts / r["many"]) for r in known if r["many"]}
     if share:
-        limit = F.element_at(F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, int((2 * s - 1) * (2**63 - 1024))))), F.col("lang"))
-        near = rows.where(short & (F.col("h") <= limit)).select("lang", "h", "n", F.lower("text").alias("text"))
+        limits = labelled.sparkSession.createDataFrame([(lang, int((2 * s - 1) * (2**63 - 1024))) for lang, s in share.items()], "lang string, most bigint")
+        near = rows.join(F.broadcast(limits), "lang").where(short & (F.col("h") <= F.col("most"))).select("lang", "h", "n", F.lower("text").alias("text"))
         order = Window.partitionBy("lang").orderBy("h", "text")
         near = near.withColumns({"nth": F.row_number().over(order), "sum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
         for r in sorted(near.where((F.col("nth") <= sample_texts) & ((F.col("sum") <= sample_chars) | (F.col("nth") == 1))).collect(), key=lambda r: (r["lang"], r["nth"])):
@@ -245,19 +263,55 @@ def predict(docs: DataFrame, model: tuple, keep: tuple[str, ...] = ("doc_id",),
     ``und`` and score 0: no text, a text without a letter, or a model that learned nothing. Ties go to the first language by
     code point. Rows are judged one by one, so repeated rows get the same answer, and an empty table gives no rows.
     """
-    columns = [*keep, *(more or {})]
+    columns, spark = [*keep, *(more or {})], docs.sparkSession
+    carried = {"__best": "bigint", "__other": "bigint", "__size": "bigint", "__lang": "string"}
     source = docs.select(*keep, *(c.alias(n) for n, c in (more or {}).items()), F.lower("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
-
-    shared = docs.sparkSession.sparkContext.broadcast(Parsers(model))  # about a megabyte a language, of a bounded number
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [x or b"" for x in texts(batch, "__text")]
-            names, scores = judged(bodies, batch.column("__letter").to_numpy(zero_copy_only=False), shared.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
-
-    return source.mapInArrow(run, schema)
+    types = {f.name: f.dataType.simpleString() for f in source.schema}
+    alphabet = Alphabet([sample for _, sample in model])
+
+    def judge(rows: DataFrame, group: tuple, first: bool, last: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Parsers(group, alphabet))  # about a megabyte a language, of a bounded number
+        given = [*columns, *(() if last else ("__text", "__letter"))]
+        names = [*given, *(("lang_pred", "score") if last else carried)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lang, best, other, size = _taken(batch, shared.value, first)
+                if last:
+                    letter = batch.column("__letter").to_numpy(zero_copy_only=False) & (best >= 0)
+                    other = np.where(other == NONE, np.maximum(size, 1), other)
+                    score = np.where(letter, 1 - best / np.maximum(other, best).clip(1), 0)
+                    made = [pa.array([x if y else UNKNOWN for x, y in zip(lang, letter.tolist(), strict=True)], pa.string()), pa.array(score, pa.float64())]
+                else:
+                    made = [pa.array(best), pa.array(other), pa.array(size), pa.array(lang, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), *made], names)
+
+        out = {**{c: types[c] for c in given}, **({"lang_pred": "string", "score": "double"} if last else carried)}
+        return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in out.items()))
+
+    groups = [model[i : i + GROUP] for i in range(0, len(model), GROUP)] or [()]
+    rows = source
+    for k, group in enumerate(groups[:-1]):
+        rows = materialize(judge(rows, group, k == 0, False))  # one group's tables at a time in a worker
+    return judge(rows, groups[-1], len(groups) == 1, True)
+
+
+def _taken(batch: pa.RecordBatch, model: Parsers, first: bool) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+    """The best language so far by text, its phrases (-1: none), the next least number, and symbols; earlier groups win ties."""
+    n = batch.num_rows
+    if first:
+        lang, best, other, size = [None] * n, np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
+    else:
+        lang = batch.column("__lang").to_pylist()
+        best, other, size = (batch.column(c).to_numpy() for c in ("__best", "__other", "__size"))
+    if not model.names:
+        return lang, best, other, size
+    place, least, second, size = fewest([x or b"" for x in texts(batch, "__text")], model)
+    if first:
+        return [model.names[k] for k in place], least, second, size
+    wins = least < best
+    other = np.minimum(np.minimum(other, second), np.maximum(least, best))
+    return [model.names[k] if w else x for k, w, x in zip(place, wins.tolist(), lang, strict=True)], np.minimum(least, best), other, size
 
 
 #: A text is in another language than it says if the predicted one saves such a share of phrases.

@@ -800,3 +800,43 @@ def test_packing_without_exact_fills(lengths, most):
             ends[s] = max(ends[s], offset + n)
     assert all(many[n] == counts[n] for n in lengths) and max(ends.values()) <= 2048
     assert len(ends) <= min(most, plain)
+
+
+def test_langid_of_many_languages(spark, monkeypatch):
+    """203 languages are two groups; smaller groups, of one language too, change nothing."""
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)]
+    use = [rng.sample(letters, 6) for _ in range(201)]
+    text = lambda k: " ".join("".join(rng.choice(use[k]) for _ in range(rng.randrange(2, 7))) for _ in range(25))
+    learned = spark.createDataFrame([(k, text(k), f"l{k:03}") for k in range(201)] + [(900, "equal", "x1"), (901, "equal", "x0")], "doc_id bigint, text string, lang string")
+    model = langid.learn(learned)
+    assert len(model) == 203
+    docs = spark.createDataFrame([(k, text(k)) for k in range(201)] + [(300, "equal"), (301, None), (302, "7"), (303, (text(5) + "  \n ") * 9)], "doc_id bigint, text string").repartition(3)
+    found = []
+    for group in (200, 1000, 37, 202):
+        monkeypatch.setattr(langid, "GROUP", group)
+        found.append(sorted(map(tuple, langid.predict(docs, model).collect())))
+    assert all(f == found[0] for f in found)
+    got = {i: (lang, score) for i, lang, score in found[0]}
+    assert got[300][0] == "x0" and got[301] == got[302] == ("und", 0.0) and sum(got[k][0] == f"l{k:03}" for k in range(201)) > 190
+    monkeypatch.setattr(langid, "GROUP", 1)
+    few = tuple(m for m in model if m[0] in ("l001", "l002", "l003"))
+    one = sorted(map(tuple, langid.predict(docs, few).collect()))
+    monkeypatch.setattr(langid, "GROUP", 200)
+    assert one == sorted(map(tuple, langid.predict(docs, few).collect()))
+
+
+def test_langid_of_a_long_text_is_bounded():
+    """A text parsed in blocks gives the count of one parse, with the memory of a block."""
+    import tracemalloc
+
+    sample = " ".join(f"w{i % 97} the {i % 13}" for i in range(4000)).encode()
+    model = langid.Parsers((("a", sample), ("b", sample[500:9000])))
+    body = b" ".join([sample[i * 7 % 3000 :][:900] for i in range(4000)])
+    whole = langid.phrases([body], model.alphabet, model.tables)
+    tracemalloc.start()
+    parts = langid.parsed(body, model.alphabet, model.tables, 1 << 17)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (parts[0] == whole[0]).all() and (parts[1] == whole[1]).all()
+    assert len(body) > 3_000_000 and peak < 20_000_000
