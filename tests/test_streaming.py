@@ -157,7 +157,7 @@ def test_status_of_a_running_engine(spark, tmp_path):
     assert got == {r.counter: r.n for r in streaming.counters(streaming.replay(log, pairs, engine.FEED_LIMITS)).collect()}
 
 
-@pytest.mark.parametrize("limit", [1.3, 3.2])
+@pytest.mark.parametrize("limit", [1.3, 2.0])
 def test_the_timeline_is_the_gate(spark, limit):
     """The over-sum of an event after each message, from the best bids' changes, is what the replay's gate sees."""
     from dataclasses import replace
