@@ -13,13 +13,12 @@ from gridloom.sources.tables import materialize
 
 #: (rule, verdict). A rule is a host and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Weak labels of the query, as its tables have none: a host with one of these words is labelled block, any other allow. Only
-#: hosts are labelled whose crc32 leaves no 2 when divided by 4; the trees judge all others by their form alone.
-SEED_WORDS = ("casino", "pills", "bets", "spam", "ads-", "adult")
-#: Bound of the labelled sample that the trees are fitted on: the rows with the least hashes.
+#: Bound of the labelled sample that the trees are fitted on: the URLs with the least hashes.
 SAMPLE_ROWS = 20_000
 RESULT = ("host", "path", "rule", "verdict", "score")
 TREES, DEPTH, RATE, BINS = 20, 3, 0.3, 32
+#: Parts of the hosts; a row that is learned from gets the suffix statistics of the other parts.
+FOLDS = 4
 #: Suffix statistics of at most so many suffixes are broadcast; more are joined by a shuffle.
 BROADCAST_SUFFIXES = 10_000
 FEATURES = tuple(f"__{c}" for c in ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_count", "suffix_rate"))
@@ -66,27 +65,32 @@ def lexical(rows: DataFrame) -> DataFrame:
     })
 
 
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
 def suffix_counts(known: DataFrame) -> DataFrame:
-    """(__suffix, __n, __b): the URLs of each suffix and how many of them are blocked, over all labelled rows."""
-    return materialize(known.groupBy("__suffix").agg(F.count("*").alias("__n"), F.sum("__label").cast("long").alias("__b")))
+    """(__suffix, __n, __b): the labelled URLs of each suffix and how many of them are blocked, by fold of their hosts."""
+    fold, each = fold_of(F.col("__host")), range(FOLDS)
+    n = F.array(*(F.count_if(fold == k) for k in each))
+    b = F.array(*(F.coalesce(F.sum(F.when(fold == k, F.col("__label"))), F.lit(0)).cast("long") for k in each))
+    return materialize(known.groupBy("__suffix").agg(n.alias("__n"), b.alias("__b")))
 
 
-def with_suffixes(rows: DataFrame, counts: DataFrame, own: Column | None = None) -> DataFrame:
-    """``rows`` with the count and the smoothed share of blocked URLs of their suffix. ``own``: a labelled row's label, which is
-    left out of its statistics."""
-    n, b = F.coalesce("__n", F.lit(0)), F.coalesce("__b", F.lit(0))
-    if own is not None:
-        n, b = n - 1, b - own
+def with_suffixes(rows: DataFrame, counts: DataFrame, learning: bool = False) -> DataFrame:
+    """``rows`` with the count and the smoothed share of blocked URLs of their suffix. ``learning``: of the hosts of other folds only,
+    for a rate that a row's own label takes part in would tell it."""
     met = rows.join(F.broadcast(counts) if few(counts, BROADCAST_SUFFIXES) else counts, "__suffix", "left")
+    n, b = (F.coalesce(F.reduce(c, F.lit(0).cast("long"), lambda x, y: x + y) - (F.get(c, fold_of(F.col("__host"))) if learning else 0), F.lit(0)) for c in ("__n", "__b"))
     return met.withColumns({"__suffix_count": F.log2(n + 1), "__suffix_rate": (b + 1) / (n + 2)}).drop("__n", "__b")
 
 
 class Trees:
     """Boosted regression trees of the logistic loss. A tree is nested (feature, threshold, left, right) or a leaf's value."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         self.trees: list = []
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
+        share = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
         self.base = float(np.log(share / (1 - share)))
         if not len(y) or y.min() == y.max():
             return
@@ -96,7 +100,7 @@ class Trees:
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-raw))
             step = np.zeros(len(y))
-            self.trees.append(self._grow(bins, cuts, p - y, p * (1 - p), np.arange(len(y)), DEPTH, step))
+            self.trees.append(self._grow(bins, cuts, weight * (p - y), weight * p * (1 - p), np.arange(len(y)), DEPTH, step))
             raw += step
 
     def _grow(self, bins: np.ndarray, cuts: list, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, step: np.ndarray) -> tuple | float:
@@ -122,6 +126,21 @@ class Trees:
         left = bins[rows, f] <= k
         return f, float(cuts[f][k]), *(self._grow(bins, cuts, g, h, rows[side], depth - 1, step) for side in (left, ~left))
 
+    def splits(self) -> dict[str, int]:
+        """How many splits each feature has, for a report on what the trees look at."""
+        found: dict[str, int] = {}
+
+        def walk(tree: tuple | float) -> None:
+            if not isinstance(tree, float):
+                name = FEATURES[tree[0]].removeprefix("__")
+                found[name] = found.get(name, 0) + 1
+                walk(tree[2])
+                walk(tree[3])
+
+        for tree in self.trees:
+            walk(tree)
+        return found
+
     def column(self) -> Column:
         """The chance that a URL is blocked, as an expression over the features: no Python runs on the executors."""
 
@@ -138,26 +157,36 @@ class Trees:
 
 
 def fit(known: DataFrame, counts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees fitted on the ``sample_rows`` rows of ``known(url, __label, features)`` with the least hashes. Hashes over a limit that
-    leaves about twice as many are dropped first, so no more than that are ever sorted or moved."""
-    total = counts.agg(F.sum("__n")).head()[0] or 0
-    share = min(1.0, 2 * sample_rows / max(total, 1))
-    near = known.withColumn("__h", F.xxhash64("url")).where(F.col("__h") <= int((2 * share - 1) * (2**63 - 1024)))
-    near = with_suffixes(near, counts, F.col("__label"))
-    rows = near.orderBy("__h", "url").limit(sample_rows).select(*(F.col(c).cast("double") for c in FEATURES), F.col("__label").cast("double")).toArrow()
+    """Trees fitted on the ``sample_rows`` labelled URLs of ``known(url, __label, features)`` with the least hashes, each weighing as
+    many rows as it has. Hashes over a limit that leaves about twice as many are dropped first, so no more are ever sorted."""
+    each = known.groupBy("url", *(c for c in known.columns if c not in ("url", "__path"))).agg(F.count("*").alias("__weight"))
+    share = min(1.0, 2 * sample_rows / max(each.count(), 1))
+    near = each.withColumn("__h", F.xxhash64("url")).where(F.col("__h") <= int((2 * share - 1) * (2**63 - 1024)))
+    near = with_suffixes(near, counts, learning=True)
+    rows = near.orderBy("__h", "url", "__label").limit(sample_rows).select(*(F.col(c).cast("double") for c in (*FEATURES, "__label", "__weight"))).toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in FEATURES], 1) if rows.num_rows else np.empty((0, len(FEATURES)))
-    return Trees(x, rows.column("__label").to_numpy())
-
-
-def seed_labels(host: Column, words: tuple[str, ...] = SEED_WORDS) -> Column:
-    return F.when(host.rlike("|".join(words)), 1).otherwise(0)
+    return Trees(x, rows.column("__label").to_numpy(), rows.column("__weight").to_numpy())
 
 
 def unlabelled(host: Column) -> Column:
-    """Hosts that the query's labels leave out."""
+    """Hosts that nothing is learned from: crc32 of the host leaves 2 when divided by 4."""
     return F.crc32(host) % 4 == 2
 
 
+def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """(url, label) of the URLs of ``pages(url)`` that a rule decides, of hosts that are not held out: 1 for block, 0 for allow."""
+    host, path = parts(F.col("url"))
+    says = rule_of(host, path, rules)[1]
+    return pages.where(says.isNotNull() & ~unlabelled(host)).select("url", (says == "block").cast("int").alias("label"))
+
+
+def learned(labelled: DataFrame) -> tuple[Trees, DataFrame]:
+    """The trees of ``labelled(url, label)`` and its suffix statistics."""
+    known = lexical(labelled.select("url", F.col("label").alias("__label")))
+    counts = suffix_counts(known)
+    return fit(known, counts), counts
+
+
 def filtered(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, cut: float = 0.5) -> DataFrame:
     """``pages(.., url)`` with host, path, rule, verdict and score; columns of ``pages`` with these names give way to them.
 
@@ -166,9 +195,7 @@ def filtered(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str]
     judged like others. Without labels, or with labels of one kind, all are judged alike. Rows are judged one by one, so
     repeated rows get the same answer, and an empty table gives no rows. A URL that is labelled twice counts twice.
     """
-    known = lexical(labelled.select("url", F.col("label").alias("__label")))
-    counts = suffix_counts(known)
-    trees = fit(known, counts)
+    trees, counts = learned(labelled)
     kept = [c for c in pages.columns if c not in RESULT]
     rows = with_suffixes(lexical(pages.select("url", F.struct(*kept).alias("__row"))), counts)
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
@@ -178,8 +205,7 @@ def filtered(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str]
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every page."""
+    """page_id, host, path, rule, verdict and score of every page. The tables have no labels but the rules: URLs that a rule decides
+    teach the trees, which judge the others."""
     pages = table(spark, sf_dir, "pages", "page_id", "url")
-    host = parts(F.col("url"))[0]
-    labelled = pages.where(F.col("url").isNotNull() & ~unlabelled(host)).select("url", seed_labels(host).alias("label"))
-    return filtered(pages, labelled).select("page_id", *RESULT)
+    return filtered(pages, ruled(pages)).select("page_id", *RESULT)
