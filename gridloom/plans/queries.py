@@ -725,6 +725,18 @@ def feed_levels(spark: SparkSession, d: str) -> DataFrame:
     return feeds.decode(_frames(spark, d)).select("seq", "item", "pos", "kind", "book", "side", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("tick", "qty")))
 
 
+@query("feed_subscribed", ORACLE_SQL["feed_levels"])
+def feed_subscribed(spark: SparkSession, d: str) -> DataFrame:
+    """The same from frames that landed by subscription, three books to a connection, read by the feed source."""
+    from gridloom.sources import landing, tables
+
+    frames = _frames(spark, d).withColumn("id", F.concat(F.when(F.col("venue") == "a", "A").otherwise("M"), (F.col("seq") % 7).cast("string")))
+    folder = tables.new_folder(frames.sparkSession)
+    landing.land(frames, landing.subscriptions(frames, {"a": 3, "b": 3}), folder)
+    read = landing.register(frames.sparkSession).read.format("landed_feed").load(folder)
+    return feeds.decode(read).select("seq", "item", "pos", "kind", "book", "side", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("tick", "qty")))
+
+
 @query("feed_books", """WITH e AS (SELECT event_id AS k, 'A' || (user_id % 9) AS book FROM events),
  clears AS (SELECT k, book FROM e WHERE k % 5 = 0), sets AS (
   SELECT k, 0 AS item, 2 AS pos, book, 'bid' AS side, 4000 AS tick, 100 * CASE WHEN k % 3 > 0 THEN k % 3 ELSE k % 7 END AS qty FROM e WHERE k % 5 = 0 AND k % 2 = 0

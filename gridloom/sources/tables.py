@@ -37,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gridloom-"))
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder for files of one's own, removed with the intermediate tables."""
+    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once and read back. What is used several times is computed once, plans stay short, and lost executors cost
     nothing. This runs a job: functions that call it do so while they build their result."""
