@@ -687,13 +687,61 @@ def resolve_errors(spark: SparkSession, d: str) -> DataFrame:
     return found.errors.select("a_event_id", "stage", "error")
 
 
+# ---- files ----
+
+
+@query("files_of_pairs", f"""WITH {I.SCORED} SELECT strategy, 'y' || CAST(idx AS VARCHAR) AS a_yes_token, 'q "' || CAST(idx AS VARCHAR) || '", z' || chr(10) || 'é' AS a_question, b_ticker, coalesce(a_entity, '') AS a_entity, score FROM scored WHERE strategy <> 'S4'""")
+def files_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The strategies' pairs written as CSV files and read again, quotes and line breaks included; the file of one is not there."""
+    from gridloom.sources import files, schemas, tables
+
+    rows = I.scored(spark, d)
+    k = F.col("idx").cast("string")
+    made = {"a_yes_token": F.concat(F.lit("y"), k), "a_no_token": F.concat(F.lit("n"), k), "a_question": F.concat(F.lit('q "'), k, F.lit('", z\né')), "b_ticker": F.col("b_ticker"), "score": F.col("score"), "a_entity": F.col("a_entity")}
+    columns = [x.split()[0] for x in schemas.PAIRS.split(", ")]
+    pairs = rows.select("strategy", *(made.get(c, F.lit(c)).alias(c) for c in columns))
+    folder = tables.new_folder(rows.sparkSession)
+    for s in ("S1", "S2", "S3", "S5"):
+        files.write_csv(pairs.where(F.col("strategy") == s).drop("strategy"), f"{folder}/{s}")
+    read = files.read_strategies(rows.sparkSession, {s: f"{folder}/{s}" for s in V.STRATEGIES})
+    return read.select("strategy", "a_yes_token", "a_question", "b_ticker", F.coalesce("a_entity", F.lit("")).alias("a_entity"), "score")
+
+
+@query("files_of_manifest", f"""WITH {I.DATED} SELECT CAST(idx AS VARCHAR) AS a_yes_token, category, score, coalesce(strftime(resolution_date, '%Y-%m-%dT%H:%M:%S.000Z'), '') AS resolution_date, coalesce(days_to_resolution, -1) AS days_to_resolution, date_capped FROM resolved""")
+def files_of_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest written as CSV files and read again."""
+    from gridloom.sources import files, tables
+
+    rows = merge.with_dates(I.dated(spark, d), F.lit(I.AS_OF).cast("timestamp")).withColumn("a_yes_token", F.col("idx").cast("string"))
+    rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(c).alias(c) for c in merge.MANIFEST))
+    path = f"{tables.new_folder(rows.sparkSession)}/manifest"
+    files.write_csv(merge.manifest(rows), path)
+    read = files.read_manifest(rows.sparkSession, path)
+    return read.select("a_yes_token", "category", "score", F.coalesce(iso_millis(F.col("resolution_date")), F.lit("")).alias("resolution_date"), F.coalesce("days_to_resolution", F.lit(-1.0)).alias("days_to_resolution"), "date_capped")
+
+
 # ---- verdict log and feed messages ----
 
 
-@query("verdict_log", f"""WITH {I.SCORED} SELECT 'q' || CAST(idx AS VARCHAR) AS a_question, b_ticker AS b_title, coalesce(a_entity, '') AS a_entity, score,
-  CASE WHEN idx % 3 = 0 AND idx % 9 <> 0 THEN 'MATCH' ELSE 'REJECT' END AS verdict, CASE WHEN idx % 3 = 0 THEN 'same' ELSE '' END AS reason FROM scored WHERE score < 0.75""")
+@query("verdict_log", f"""WITH {I.SCORED} SELECT 'q' || CAST(idx AS VARCHAR) AS a_question, b_ticker AS b_title, coalesce(a_entity, '') AS a_entity, 'e' AS b_entity, CASE WHEN idx % 3 = 0 THEN 'x' ELSE '' END AS a_identified,
+  CASE WHEN idx % 3 <> 0 THEN '' WHEN idx % 9 = 0 THEN 'unknown' ELSE 'x' END AS b_identified, score, CASE WHEN idx % 3 = 0 AND idx % 9 <> 0 THEN 'MATCH' ELSE 'REJECT' END AS verdict, CASE WHEN idx % 3 = 0 THEN 'same' ELSE '' END AS reason FROM scored WHERE score < 0.75""")
 def verdict_log(spark: SparkSession, d: str) -> DataFrame:
-    return _verdict_log(spark, d).select("a_question", "b_title", "a_entity", "score", "verdict", "reason")
+    return _verdict_log(spark, d)
+
+
+@query("verification_requests", f"""WITH {I.SCORED} SELECT CAST(idx AS VARCHAR) AS pair_key, substring(repeat('q' || CAST(idx AS VARCHAR) || ' "é" ', 40), 1, 200) AS a_question, b_ticker AS b_title, '' AS b_event_title, coalesce(a_entity, '') AS a_entity FROM scored WHERE score < 0.75""")
+def verification_requests(spark: SparkSession, d: str) -> DataFrame:
+    """What the verifier is asked of each pair below the threshold, read back from the JSON."""
+    k = F.col("idx").cast("string")
+    rows = I.scored(spark, d).where(F.col("score") < T.auto_accept).withColumns({"pair_key": k, "a_question": F.repeat(F.concat(F.lit("q"), k, F.lit(' "é" ')), 40), "b_title": F.col("b_ticker"), "a_event_title": F.lit("t"), "b_event_title": F.lit(None).cast("string"), "b_entity": F.lit("e")})
+    asked = merge.verification_request(rows).withColumn("x", F.from_json("request", "a_question string, b_title string, b_event_title string, a_entity string"))
+    return asked.select("pair_key", "x.*")
+
+
+@query("report_sample", f"WITH {I.SCORED} SELECT idx, b_ticker, score FROM scored ORDER BY md5(CAST(idx AS VARCHAR)), idx LIMIT 20")
+def report_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty pairs for a report, the same in every run."""
+    return merge.sample(I.scored(spark, d).select("idx", "b_ticker", "score"), "idx", 20)
 
 
 @query("verdict_counts", f"""WITH {I.SCORED} SELECT count(*) FILTER (idx % 3 = 0 AND idx % 9 <> 0) AS n_match, count(*) FILTER (idx % 3 <> 0 OR idx % 9 = 0) AS n_reject, 0::BIGINT AS n_error FROM scored WHERE score < 0.75""")
