@@ -17,7 +17,12 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds that context and checksums add to the base kinds.
 ADDED = ("iban", "local_phone", "short_card", "secret")
 KINDS = BASE + ADDED
-THRESHOLD = 0.6
+#: Scores are in tenths. A span of an added kind counts from the threshold on.
+THRESHOLD = 6
+#: What form and check give: both, or the form alone.
+SCORES = {"iban": (7, 1), "local_phone": (6, 3), "short_card": (4, 1), "secret": (4, 1)}
+#: What words nearby add: one of the kind, two or more different ones, and one that speaks of things rather than people.
+ONE, SEVERAL, AGAINST = 4, 5, -3
 NEAR = 48  # characters before or after a span in which a word counts as nearby
 
 # Each pattern starts where no earlier character could belong to the match, so no text takes quadratic time.
@@ -35,6 +40,7 @@ _WORDS = {
     "short_card": re.compile(r"\b(?:card|visa|amex|credit|karte|carte|tarjeta)\b", re.I),
     "secret": re.compile(r"\b(?:token|secret|key|password|apikey|passwd|bearer)\b", re.I),
 }
+_THINGS = re.compile(r"\b(?:part|parts|sku|serial|model|isbn|issn|order|version|build|checksum|hash|sha1|sha256|md5|digest|commit|uuid)\b", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -82,24 +88,31 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _scored(text: str) -> Iterator[tuple[str, int, int]]:
-    def near(kind: str, m: re.Match) -> float:
-        word, (start, end) = _WORDS[kind], m.span()
-        return 0.4 if word.search(text, max(0, start - NEAR), start) or word.search(text, end, end + NEAR) else 0.0
+def _nearby(kind: str, text: str, start: int, end: int) -> int:
+    """What the words before and after a span add to its score."""
+    windows = (max(0, start - NEAR), start), (end, end + NEAR)
+    words = {w.lower() for a, b in windows for w in _WORDS[kind].findall(text, a, b)}
+    against = any(_THINGS.search(text, a, b) for a, b in windows)
+    return (0, ONE, SEVERAL)[min(len(words), 2)] + AGAINST * against
+
+
+def scored(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """Proposed spans of the added kinds with their scores: kind, start, end, tenths. A check that fails can be outweighed by two
+    words nearby, one that holds by a word against it."""
+
+    def score(kind: str, m: re.Match, sure: bool) -> tuple[str, int, int, int]:
+        return kind, *m.span(), SCORES[kind][0 if sure else 1] + _nearby(kind, text, *m.span())
 
     for m in _IBAN.finditer(text):
-        if (0.7 if mod97(m[0]) else 0.0) + near("iban", m) / 2 >= THRESHOLD:
-            yield "iban", *m.span()
+        yield score("iban", m, mod97(m[0]))
     for m in _LOCAL_PHONE.finditer(text):
-        if 0.3 + near("local_phone", m) >= THRESHOLD:
-            yield "local_phone", *m.span()
+        d = re.sub("[^0-9]", "", m[0])  # in brackets, and neither area nor exchange begins with 0 or 1
+        yield score("local_phone", m, m[0].startswith("(") and ")" in m[0] and d[0] > "1" and d[3] > "1")
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() <= 29 and 13 <= len(d := re.sub("[ -]", "", m[0])) <= 15:
-            if (0.4 if luhn(d) else 0.0) + near("short_card", m) >= THRESHOLD:
-                yield "short_card", *m.span()
+            yield score("short_card", m, luhn(d))
     for m in _SECRET.finditer(text):
-        if (0.4 if any(map(str.isdigit, m[0])) else 0.1) + near("secret", m) >= THRESHOLD:
-            yield "secret", *m.span()
+        yield score("secret", m, any(map(str.isdigit, m[0])))
 
 
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -108,9 +121,9 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     taken = sorted(s for k in BASE for s in out[k])
     starts = [a for a, _ in taken]
     ends = list(accumulate((b for _, b in taken), max))  # the furthest end so far
-    for kind, start, end in _scored(text):
+    for kind, start, end, score in scored(text):
         before = bisect_left(starts, end)  # spans that begin before this one ends
-        if not before or ends[before - 1] <= start:
+        if score >= THRESHOLD and (not before or ends[before - 1] <= start):
             out[kind].append((start, end))
     return out
 

@@ -503,30 +503,56 @@ def test_op7_method():
     assert pii.redact(text, pii.spans(text)) == 'token = "<SECRET>" <EMAIL>'
 
 
+THINGS = "part parts sku serial model isbn issn order version build checksum hash sha1 sha256 md5 digest commit uuid".split()
+
+
 def added_of(t, base):
     """The added kinds, found by plain search: every word near is looked for in both windows, every base span is compared."""
     def near(words, a, b):
-        return any(re.search(rf"\b{w}\b", part, re.I) for w in words for part in (t[max(0, a - 48) : a], t[b : b + 48]))
+        parts = (t[max(0, a - 48) : a], t[b : b + 48])
+        found = sum(any(re.search(rf"\b{w}\b", part, re.I) for part in parts) for w in words)
+        return [0, 4, 5][min(found, 2)] - 3 * any(re.search(rf"\b{w}\b", part, re.I) for w in THINGS for part in parts)
 
     out = []
     for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", t):
         s = m[0].replace(" ", "")
         n = int("".join(str(ord(c) - 55) if c.isalpha() else c for c in s[4:] + s[:4]))
-        if n % 97 == 1:
+        if (7 if n % 97 == 1 else 1) + near("iban account bank konto compte cuenta".split(), *m.span()) >= 6:
             out.append(("iban", *m.span()))
     for m in re.finditer(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", t):
-        if near("phone call tel telephone mobile fax contact telefon teléfono".split(), *m.span()):
+        plain = re.fullmatch(r"\([2-9][0-9]{2}\)[ .-][2-9][0-9]{2}[ .-][0-9]{4}", m[0])
+        if (6 if plain else 3) + near("phone call tel telephone mobile fax contact telefon teléfono".split(), *m.span()) >= 6:
             out.append(("local_phone", *m.span()))
     for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", t):
         d = re.sub("[ -]", "", m[0])
-        if 13 <= len(d) <= 15 and pii.luhn(d) and near("card visa amex credit karte carte tarjeta".split(), *m.span()):
+        if 13 <= len(d) <= 15 and (4 if pii.luhn(d) else 1) + near("card visa amex credit karte carte tarjeta".split(), *m.span()) >= 6:
             out.append(("short_card", *m.span()))
     for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}(?![A-Za-z0-9])", t):
-        if re.search("[0-9]", m[0]) and near("token secret key password apikey passwd bearer".split(), *m.span()):
+        if (4 if re.search("[0-9]", m[0]) else 1) + near("token secret key password apikey passwd bearer".split(), *m.span()) >= 6:
             out.append(("secret", *m.span()))
     return [x for x in out if not any(a < x[2] and x[1] < b for _, a, b in base)]
 
 
+IBAN, NO_IBAN, CARD, NO_CARD = "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00", "3782 822463 10005", "3782 822463 10006"
+KEY, LETTERS = "0123456789abcdef0123456789abcdef01234567", "abcdefghijklmnopqrstuvwxyzabcdefghijkl"
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "counts"),
+    [
+        ("iban", f"see {IBAN} there", True), ("iban", f"part numbers {IBAN}", False), ("iban", f"serial {IBAN}, my account", True),
+        ("iban", f"see {NO_IBAN} there", False), ("iban", f"the bank has {NO_IBAN}", False), ("iban", f"bank account {NO_IBAN}", True), ("iban", f"bank account, part {NO_IBAN}", False),
+        ("local_phone", "it is 555-723-4567", False), ("local_phone", "call 555-723-4567", True), ("local_phone", "(555) 723-4567", True), ("local_phone", "order (555) 723-4567", False),
+        ("local_phone", "sku 555-723-4567, call", False), ("local_phone", "(155) 723-4567", False),
+        ("short_card", f"it is {CARD}", False), ("short_card", f"card {CARD}", True), ("short_card", f"card model {CARD}", False), ("short_card", f"credit card model {CARD}", True), ("short_card", f"card {NO_CARD}", False), ("short_card", f"credit card {NO_CARD}", True),
+        ("secret", f"it is {KEY}", False), ("secret", f"key {KEY}", True), ("secret", f"sha256 key {KEY}", False), ("secret", f"key {LETTERS}", False), ("secret", f"secret key {LETTERS}", True),
+    ],
+)
+def test_op7_words_move_scores_both_ways(kind, text, counts):
+    assert bool(pii.spans(text)[kind]) is counts
+    assert [x for x in added_of(text, base_of(text)) if x[0] == kind] == [(kind, *s) for s in pii.spans(text)[kind]]
+
+
 def test_op7_added(spark, case):
     d, rows = case
     got = Counter((r.doc_id, r.spans) for r in QUERIES["op7_pii"](spark, d).collect())
