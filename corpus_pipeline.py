@@ -45,7 +45,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Fingerprints, automata and the tokenizer are beyond SQL; tests hold the stages against plain versions.
+#: Fingerprints, automata and the tokenizer are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -113,7 +113,8 @@ def digests(chunks: DataFrame) -> DataFrame:
     """What the contract asks of each conversation, read back from its chunks as ``formatted`` streams them.
 
     The turns are parsed from the joined chunks that a batch has of a conversation. The learned text is what the loss mask covers
-    of the formatted text, unescaped; the mask is checked to lie within its chunk.
+    of the formatted text, unescaped; the mask is checked to lie within its chunk. Null texts and roles are read back as empty, turns
+    that repeat come again, the null id is a conversation as any other, and no chunks give no rows.
     """
     kind = chunks.schema["conv_id"].dataType
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

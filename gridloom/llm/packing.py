@@ -52,6 +52,8 @@ class Ids(dict):
         self.letters = {chr(b): letters[b] for b in range(256)}
         probe = "größe"
         self.plain = self._by_model(probe) == self._whole(probe)  # else the vocabulary is written in another way
+        self.folds = self._whole("Stone RING") == self._whole("stone ring")  # else upper-case letters have ids of their own
+        self.splits = all(self._whole("ring" + m) == self._whole("ring") + self._whole(m) for m in (".", "!?", ",;:", "%&"))
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.old.get(word)
@@ -72,10 +74,10 @@ class Ids(dict):
 
     def _encode(self, word: bytes) -> bytes:
         if b"<|" not in word:  # else a control token may stand in it, in just this case
-            low = word.lower()
+            low = word.lower() if self.folds else word
             if low != word:
                 return self[low]
-            body = word.rstrip(_MARKS)
+            body = word.rstrip(_MARKS) if self.splits else word
             if body and body != word and body[-1:].isalpha():  # after an ASCII letter, marks are a token run of their own
                 return self[body] + self[word[len(body) :]]
         text = word.decode("utf-8", "replace")

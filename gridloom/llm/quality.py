@@ -282,7 +282,8 @@ def joined_scores(docs: DataFrame, chances: DataFrame) -> DataFrame:
 
     The texts are written with the number of their partition. The distinct n-grams of each partition's texts are joined with
     ``chances(lang, key, p)``, a join that Spark splits where one n-gram is in most of them, and meet the texts again: a task holds
-    one partition's texts and n-grams. Texts move once, and the n-grams of a partition but once.
+    one partition's texts and n-grams. Texts move once, and the n-grams of a partition but once. A null lang is a language, null texts
+    score as empty ones, repeated rows score each, and an empty table gives no rows.
     """
     docs = materialize(docs.select("doc_id", "text", "lang").withColumn("batch", F.spark_partition_id()))
 

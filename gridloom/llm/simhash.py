@@ -134,7 +134,7 @@ def near_links(distinct_fps: DataFrame, budget: int = 3, chunk: int = 1 << 17) -
 
     With budget 3, two fingerprints agree in one of four blocks of 16 bits. So four tries are built, each with another
     block as its top 16 levels, and their subtrees below those levels are the units of work: within one, no bit is spent yet.
-    A unit gives links of a spanning forest, never all its pairs. At most about 2 * ``chunk`` values, or one unit, are held.
+    A unit gives links of a spanning forest, never all its pairs. Fingerprints are neither null nor repeated; none give no links. At most about 2 * ``chunk`` values, or one unit, are held.
     """
     if budget >= BITS // BLOCK:
         raise ValueError("the top levels are shared by all pairs for budgets of at most 3")
@@ -178,7 +178,8 @@ def near_links(distinct_fps: DataFrame, budget: int = 3, chunk: int = 1 << 17) -
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, fp and component_id: the least doc_id that chains of fingerprints within ``budget`` bits reach.
+    """``keep`` columns, fp, component_id, the least doc_id that chains of fingerprints within ``budget`` bits reach, and group, a
+    fingerprint that stands for all of the chain.
 
     Null and empty texts have fingerprint 0 and link like others. Equal rows share a component. A null doc_id is kept and
     never is a component's id, unless no other id is there: then component_id is null. An empty table gives no rows.
@@ -187,10 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, keep: tupl
     own = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(own.select("fp"), budget)).withColumnRenamed("node", "fp")
     linked = own.join(roots, "fp")
-    component = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    component = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
     # written, so that both sides of the last join are plain exchanges: then Spark splits the fingerprint of a large group of copies
-    by_fp = materialize(own.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return marked.join(by_fp, "fp", "left").select(*keep, "fp", "component_id")
+    by_fp = materialize(own.join(component, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("group")))
+    return marked.join(by_fp, "fp", "left").select(*keep, "fp", "component_id", "group")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,13 +203,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 3, budget: int = 3) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the least doc_id, of equal ids that with the least row key.
 
-    Rows with a null doc_id stay only where their whole group has none. Of rows equal in id and text one stays; where their
-    other columns differ, which one is arbitrary. An empty table gives no rows.
+    Groups are told apart by their fingerprints, so rows of one doc_id with other texts are of several. Rows with a null doc_id stay
+    only where their whole group has none. Of rows equal in id and text one stays; where their other columns differ, which one is
+    arbitrary. An empty table gives no rows.
     """
-    keyed = docs.withColumn("__key", row_key(F.col("text")))
+    keyed = docs.select(F.struct("*").alias("__row"), "doc_id", "text", row_key(F.col("text")).alias("__key"))
     found = near_duplicates(keyed.select("doc_id", "text", "__key"), width, budget, ("doc_id", "__key"))
-    best = found.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key")).alias("best"))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key")).alias("best"))
     best = best.select("best.doc_id", "best.__key").distinct()
     kept = keyed.alias("d").join(best.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.__key") == F.col("b.__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
-
+    return kept.dropDuplicates(["doc_id", "__key"]).select("__row.*")

@@ -63,7 +63,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ties go by a hash of the text, null ids come last. The row after the last is the first. The texts move once. Of each
     range the first id is broadcast, for at most ``QUANTILES * (MOST_PARTS + SHARED_PARTS)`` ranges, whatever the input. An id
-    (or null) that holds two quantiles or more is cut by the hash of the texts; just rows equal in both share a range always.
+    (or null) that holds two quantiles or more is cut by the hash of the texts; just rows equal in both share a range always. A doc_id
+    of -2**63 counts as null. An empty table gives no rows.
     """
     ids = docs.select("doc_id")
     unique = ids.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -319,7 +319,7 @@ def removals(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, text and ranges (array of lo, hi in words) to remove.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id; windows are
-    those of the input. Null doc_ids come after all others and don't precede each other. Rows of one doc_id don't precede
+    those of the input. Null doc_ids, and one of 2**63 - 1, come after all others and don't precede each other. Rows of one doc_id don't precede
     each other; equal rows fare alike. Null and empty texts have no words. An empty table gives no rows.
     """
     keyed = _keyed(docs.select("doc_id", "text"))
