@@ -113,6 +113,31 @@ def value_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key)
 
 
+def resolver_report(events: DataFrame, pairs: DataFrame, errors: DataFrame) -> DataFrame:
+    """(section, item, value): what a resolver's run gave, of its ``events``, ``pairs(alignment_type, category, score, a_entity, b_entity)``
+    and ``errors(stage)``: totals, errors by stage, pairs by alignment type and category, how many matched entities are equal, and
+    the mean, least and median score to three places. One pass over the pairs counts, one measures."""
+
+    def cell(section: str, item: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"))
+
+    def counted(rows: DataFrame, *cells: Column) -> DataFrame:
+        each = rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("item is not null")
+        return each.groupBy("section", "item").agg(F.count("*").cast("double").alias("value"))
+
+    same = F.when(F.col("alignment_type") == "entity_match", F.when(F.col("a_entity") == F.col("b_entity"), "equal").otherwise("different"))
+    scores = pairs.agg(F.bround(F.avg("score"), 3).alias("mean"), F.min("score").alias("least"), F.median("score").alias("median"))
+    scores = scores.select(F.explode(F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in scores.columns))).alias("x")).select(F.lit("score").alias("section"), "x.*").where("value is not null")
+    tables = [counted(events, cell("total", F.lit("events"))), counted(errors, cell("total", F.lit("errors")), cell("error", F.col("stage"))), counted(pairs, cell("total", F.lit("pairs")), cell("alignment", F.col("alignment_type")), cell("category", F.col("category")), cell("entities", same))]
+    return union_all([*tables, scores])
+
+
+def inspections(pairs: DataFrame, length: int = 65) -> DataFrame:
+    """(score, a_entity, b_entity, a_question, b_title) of entity matches whose entities differ, for a look at each; titles are cut."""
+    rows = pairs.where((F.col("alignment_type") == "entity_match") & ~F.col("a_entity").eqNullSafe(F.col("b_entity")))
+    return rows.select("score", "a_entity", "b_entity", *(F.substring(c, 1, length).alias(c) for c in ("a_question", "b_title")))
+
+
 def score_bands(pairs: DataFrame) -> DataFrame:
     s = F.col("score")
     return pairs.agg(F.count_if(s == 1).alias("exact"), F.count_if((s >= 0.75) & (s < 1)).alias("high"), F.count_if((s >= 0.5) & (s < 0.75)).alias("low"))

@@ -657,6 +657,36 @@ for _s, _category, _title in (("S1", "Elections", " poll"), ("S3", "Sports", " a
     _resolve_query(_s, _category, _title)
 
 
+_S1_PAIRS = f"""{_pairs_sql("S1")}, {_FOLDED}, found AS (SELECT folded.event, a.title AS a_title, b.title AS b_title, a.entity AS x, b.entity AS y, round_even(e.s, 3) AS score
+  FROM folded JOIN entities a ON a.idx = e.a JOIN entities b ON b.idx = e.b WHERE NOT {_CONFLICT}
+), matched AS (SELECT DISTINCT event FROM titles), none AS (SELECT event, CASE WHEN NOT bool_or(side = 'a') THEN 'a_fetch' WHEN NOT bool_or(side = 'b') THEN 'b_fetch' ELSE 'alignment' END AS stage FROM titles WHERE event NOT IN (SELECT event FROM found) GROUP BY 1)"""
+
+
+def _resolved_s1(spark: SparkSession, d: str) -> tuple:
+    from gridloom.plans.resolve import resolve
+
+    rows = I.titles(spark, d)
+    matches = _matches(rows, "Elections", F.concat("event", F.lit(" poll")))
+    return matches, resolve(matches, *_landed(rows, _DAY), "S1", I.YEAR)
+
+
+@query("resolver_report", f"""WITH {_S1_PAIRS}
+SELECT 'total' AS section, 'events' AS item, count(*)::DOUBLE AS value FROM matched UNION ALL SELECT 'total', 'pairs', count(*) FROM found HAVING count(*) > 0 UNION ALL SELECT 'total', 'errors', count(*) FROM none HAVING count(*) > 0
+UNION ALL SELECT 'error', stage, count(*) FROM none GROUP BY 2 UNION ALL SELECT 'alignment', 'entity_match', count(*) FROM found HAVING count(*) > 0 UNION ALL SELECT 'category', 'Elections', count(*) FROM found HAVING count(*) > 0
+UNION ALL SELECT 'entities', CASE WHEN x = y THEN 'equal' ELSE 'different' END, count(*) FROM found GROUP BY 2
+UNION ALL SELECT 'score', 'mean', round_even(avg(score), 3) FROM found UNION ALL SELECT 'score', 'least', min(score) FROM found UNION ALL SELECT 'score', 'median', median(score) FROM found""")
+def resolver_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a resolver's run gave."""
+    matches, found = _resolved_s1(spark, d)
+    return merge.resolver_report(matches, found.pairs, found.errors)
+
+
+@query("inspections", f"WITH {_S1_PAIRS} SELECT score, x AS a_entity, y AS b_entity, substring(a_title, 1, 65) AS a_question, substring(b_title, 1, 65) AS b_title FROM found WHERE x <> y")
+def inspections(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of unequal entities."""
+    return merge.inspections(_resolved_s1(spark, d)[1].pairs)
+
+
 @query("resolve_s4", f"""WITH {I.BRACKETS}, sided AS (SELECT event, side, count(*) FILTER (idx % 7 <> 6) * 10 > count(*) * 3 AS is_numeric FROM brackets GROUP BY 1, 2
 ), numeric AS (SELECT event FROM sided GROUP BY 1 HAVING count(*) = 2 AND bool_and(is_numeric)
 ), b AS (SELECT *, CASE WHEN idx % 3 <> 1 THEN p_size END AS lo, CASE WHEN idx % 3 = 0 THEN p_size + 5 WHEN idx % 3 = 1 THEN p_size END AS hi FROM brackets WHERE idx % 7 <> 6
