@@ -302,6 +302,18 @@ def running_sums(rows: DataFrame, key: str, order: tuple[str, ...], sums: tuple[
     return added.select(*rows.columns)
 
 
+def running_last(rows: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with each null of ``columns`` replaced by the last value of ``key`` before it, in ranges as ``running_sums``."""
+    cut = materialize(rows.repartitionByRange(key, *order).withColumn("__piece", F.spark_partition_id()))
+    at = F.struct(*order)
+    ends = cut.groupBy(key, "__piece").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns))
+    upto = Window.partitionBy(key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ends.select(F.col(key).alias("__key"), F.col("__piece").alias("__at"), *(F.last(c, ignorenulls=True).over(upto).alias(f"__{c}") for c in columns))
+    within = Window.partitionBy(key, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = cut.join(ahead, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__piece") == F.col("__at")))
+    return met.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"__{c}")) for c in columns}).select(*rows.columns)
+
+
 def oversum_changes(log: DataFrame, markets: DataFrame, threshold: int, least: int, pieces: int | None = None) -> DataFrame:
     """(event, seq, item, total, counted, is_oversum): the sum and number of the best bids of an event's markets after each message that
     changes one of them, for ``markets(event, book)``; ``threshold`` is in ticks. A book may be a market of several events."""

@@ -914,6 +914,15 @@ def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return _replay(spark, d).groupBy("pair", "outcome").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("profit"), F.lit(0.0)), 6).alias("mean_profit"))
 
 
+@query("replay_by_sets", ORACLE_SQL["replay_outcomes"])
+def replay_by_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The same, evaluated with no event in one task."""
+    from gridloom.streaming import by_sets
+
+    out = by_sets.replay(*_feed(spark, d), FEED_LIMITS)
+    return out.groupBy("pair", "outcome").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("profit"), F.lit(0.0)), 6).alias("mean_profit"))
+
+
 @query("replay_status", f"""WITH {_REPLAY} SELECT outcome AS counter, count(*) AS n FROM outcomes GROUP BY 1 UNION ALL SELECT 'evaluations', count(*) FROM outcomes WHERE way = 1 HAVING count(*) > 0""")
 def replay_status(spark: SparkSession, d: str) -> DataFrame:
     """The counters of the whole log: evaluations, and how often each outcome came."""
