@@ -40,11 +40,12 @@ def words(values: list[str]) -> Column:
 def entity(title_tokens: Column, shared: Column, alone: Column, stop: list[str]) -> Column:
     """What tells a title from its siblings: without stop words and the tokens that all have, order and repeats kept.
 
-    A title that is ``alone`` on its side loses digit tokens instead of shared ones.
+    A title that is ``alone`` on its side loses digit tokens instead of shared ones. Each token is asked by itself: a set that is made
+    within a lambda is made once a token.
     """
-    kept = F.array_except(title_tokens, words(stop))  # the distinct ones that may stay
-    lasting = F.when(alone, F.filter(kept, lambda t: ~is_digits(t))).otherwise(F.array_except(kept, F.coalesce(shared, F.array().cast("array<string>"))))
-    return F.array_join(F.filter(title_tokens, lambda t: F.array_contains(lasting, t)), " ")
+    known = F.coalesce(shared, F.array().cast("array<string>"))
+    kept = F.filter(title_tokens, lambda t: ~t.isin(*stop))
+    return F.array_join(F.when(alone, F.filter(kept, lambda t: ~is_digits(t))).otherwise(F.filter(kept, lambda t: ~F.array_contains(known, t))), " ")
 
 
 def ticker_suffix(ticker: Column, least_parts: int) -> Column:
@@ -59,35 +60,38 @@ def is_placeholder(e: Column, strategy: str) -> Column:
     return F.lower(F.trim(e)).rlike(rf"^(?:(?:{nouns})\s+[a-z0-9]{{1,3}}|{whole})$")
 
 
-def token_sets(e: Column) -> tuple[Column, Column]:
-    """The distinct tokens of an entity, and those that are digits."""
-    distinct = F.array_distinct(split_tokens(e))
-    return distinct, F.filter(distinct, is_digits)
+def token_set(e: Column) -> Column:
+    """The distinct tokens of an entity."""
+    return F.array_distinct(split_tokens(e))
 
 
-def similarity(a: Column, b: Column, s: V.Strategy, sets: tuple[Column, Column, Column, Column] | None = None) -> Column:
+def traits(tokens: Column) -> Column:
+    """What guards ask of one token set: how many tokens are digits, whether one compares, and both kinds of tokens in order, as text."""
+    digits = F.filter(tokens, is_digits)
+    text = [F.array_join(F.sort_array(t), " ") for t in (digits, F.array_except(tokens, digits))]
+    return F.struct(F.size(digits).alias("n_digits"), F.arrays_overlap(tokens, words(V.DIRECTIONAL)).alias("compares"), text[0].alias("digits"), text[1].alias("others"))
+
+
+def similarity(a: Column, b: Column, s: V.Strategy, sides: tuple[Column, Column, Column, Column] | None = None) -> Column:
     """Overlap coefficient of the token sets, 1 for equal entities, 0 where a guard of the strategy speaks against it.
 
-    The larger of Jaccard and overlap is always the overlap, as a union is no smaller than the shorter side. ``sets`` are the
-    token sets of both, where they are columns already.
+    The larger of Jaccard and overlap is always the overlap, as a union is no smaller than the shorter side. ``sides`` are the token
+    set and the traits of either, where they are columns already. What pairs share is counted last, as all else is known by side.
     """
-    x, xd, y, yd = sets or (*token_sets(a), *token_sets(b))
-    shared = F.size(F.array_intersect(x, y))
+    x, tx, y, ty = sides or (*((e := token_set(a)), traits(e)), *((e := token_set(b)), traits(e)))
     short, long = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
-    guards = []
+    guards = [short < 2]
     if s.digits_exact:
-        guards.append((2 * F.size(xd) > F.size(x)) & (2 * F.size(yd) > F.size(y)))
+        guards.append((2 * tx["n_digits"] > F.size(x)) & (2 * ty["n_digits"] > F.size(y)))
     if s.direction_exact:
-        compare = words(V.DIRECTIONAL)
-        guards += [F.arrays_overlap(t, compare) & (F.size(d) > 0) for t, d in ((x, xd), (y, yd))]
+        guards += [t["compares"] & (t["n_digits"] > 0) for t in (tx, ty)]
     if s.digit_divergence:
-        same = [F.sort_array(F.array_except(t, d)) for t, d in ((x, xd), (y, yd))]
-        guards.append((same[0] == same[1]) & (F.size(xd) > 0) & (F.size(yd) > 0) & (F.sort_array(xd) != F.sort_array(yd)))
-    guards.append(short < 2)
-    if s.bundle_from is not None:
-        guards.append((short >= s.bundle_from) & (shared > 0) & (long - shared >= 2 * shared))
-    against = reduce(lambda p, q: p | q, guards)
-    return F.when(a == b, 1.0).when(against, 0.0).otherwise(shared / short)
+        guards.append((tx["n_digits"] > 0) & (ty["n_digits"] > 0) & (tx["others"] == ty["others"]) & (tx["digits"] != ty["digits"]))
+    shared = F.size(F.array_intersect(x, y))
+    score = shared / short
+    if s.bundle_from is not None:  # none shared gives 0 by itself
+        score = F.when((short >= s.bundle_from) & (3 * shared <= long), 0.0).otherwise(score)
+    return F.when(a == b, 1.0).when(reduce(lambda p, q: p | q, guards), 0.0).otherwise(score)
 
 
 def has_any(text: Column, phrases: list[str]) -> Column:

@@ -31,8 +31,11 @@ def shared_tokens(titles: DataFrame) -> DataFrame:
 
 
 def with_entities(titles: DataFrame, s: V.Strategy) -> DataFrame:
-    """``titles(event, side, idx, title, ..)`` with n, the titles of the side, and entity."""
-    titles = titles.withColumn("tokens", X.tokens(F.col("title")))
+    """``titles(event, side, idx, title, ..)`` with n, the titles of the side, and entity.
+
+    Titles are dealt out first: a small file that is read in one task holds many, each of which takes time.
+    """
+    titles = titles.repartition("event", "side", "idx").withColumn("tokens", X.tokens(F.col("title")))
     joined = titles.join(shared_tokens(titles), ["event", "side"])
     return joined.withColumn("entity", X.entity(F.col("tokens"), F.col("shared"), F.col("n") == 1, s.stop)).drop("shared", "tokens")
 
@@ -65,7 +68,13 @@ def ranked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _side(rows: DataFrame, k: str) -> DataFrame:
-    return rows.where(F.col("side") == k).select("event", *(F.col(c).alias(f"{k}_{c}") for c in ("idx", "entity", "set")))
+    return rows.where(F.col("side") == k).select("event", *(F.col(c).alias(f"{k}_{c}") for c in ("idx", "entity", "set")), X.traits(F.col("set")).alias(f"{k}_traits"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """All pairs within events. Both sides are dealt out by event, however small they are: pairs are many more than titles, and a
+    broadcast side leaves them to the few tasks that read the other."""
+    return _side(rows, "a").hint("merge").join(_side(rows, "b").hint("merge"), "event")
 
 
 def overlapping(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -112,25 +121,23 @@ def candidates(a: DataFrame, b: DataFrame, s: V.Strategy, least: float = V.Thres
         left = left.where(~X.is_placeholder(F.col("entity"), s.name))
     right = b.where(F.col("entity") != "").select("event", "idx", "entity")
     both = left.withColumn("side", F.lit("a")).unionByName(right.withColumn("side", F.lit("b")))
-    rows = both.withColumn("set", X.token_sets(F.col("entity"))[0])  # token sets are made once a title
+    rows = both.withColumn("set", X.token_set(F.col("entity")))  # token sets are made once a title
     if most is not None and most <= all_pairs:
-        return _scored(_side(rows, "a").join(_side(rows, "b"), "event"), s, least)
+        return _scored(_met(rows), s, least)
     rows = materialize(rows)
     sizes = rows.groupBy("event").agg((F.count_if(F.col("side") == "a") * F.count_if(F.col("side") == "b")).alias("pairs"))
     large = materialize(sizes.where(F.col("pairs") > all_pairs).select("event"))
     if large.isEmpty():
-        return _scored(_side(rows, "a").join(_side(rows, "b"), "event"), s, least)
+        return _scored(_met(rows), s, least)
     small, rows = rows.join(large, "event", "left_anti"), rows.join(large, "event", "left_semi")
     sides = [_side(rows, k).withColumn("entity", F.col(f"{k}_entity")) for k in ("a", "b")]
     equal = sides[0].join(sides[1], ["event", "entity"]).drop("entity")
     apart = overlapping(*ranked_sets(rows), least).where(F.col("a_entity") != F.col("b_entity"))
-    met = _side(small, "a").join(_side(small, "b"), "event")
-    return _scored(met.unionByName(equal).unionByName(apart), s, least)
+    return _scored(_met(small).unionByName(equal).unionByName(apart), s, least)
 
 
 def _scored(met: DataFrame, s: V.Strategy, least: float) -> DataFrame:
-    digits = [F.filter(f"{k}_set", X.is_digits) for k in ("a", "b")]
-    score = X.similarity(F.col("a_entity"), F.col("b_entity"), s, (F.col("a_set"), digits[0], F.col("b_set"), digits[1]))
+    score = X.similarity(F.col("a_entity"), F.col("b_entity"), s, tuple(F.col(f"{k}_{c}") for k in ("a", "b") for c in ("set", "traits")))
     return met.withColumn("score", score).where(F.col("score") >= least).select("event", "a_idx", "b_idx", "a_entity", "b_entity", "score")
 
 

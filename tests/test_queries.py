@@ -49,6 +49,16 @@ def test_plans(spark):
     assert "ReadSchema: struct<user_id" not in plan_of(engine.QUERIES["vwap"](spark, DATA))
 
 
+@pytest.mark.parametrize("name", ["scores_s1"])
+def test_pairs_are_scored_where_events_are_dealt_to(spark, name):
+    """Not in the tasks that read one small file, nor with digits looked for once a pair."""
+    plan = plan_of(engine.QUERIES[name](spark, DATA))
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "SortMergeJoin [event" in joins[0] and "RLIKE" not in joins[0]
+    # a side's titles are dealt out right above their scan, before tokens and entities are found
+    assert plan.count("REPARTITION_BY_COL") >= 2
+
+
 KEYS = ["seq", "pair", "outcome", "direction", "cost", "profit"]
 
 
