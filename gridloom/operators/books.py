@@ -317,9 +317,14 @@ def running_last(rows: DataFrame, key: str, order: tuple[str, ...], columns: tup
 def oversum_changes(log: DataFrame, markets: DataFrame, threshold: int, least: int, pieces: int | None = None) -> DataFrame:
     """(event, seq, item, total, counted, is_oversum): the sum and number of the best bids of an event's markets after each message that
     changes one of them, for ``markets(event, book)``; ``threshold`` is in ticks. A book may be a market of several events."""
+    return oversum_of(best_changes(log, "bid", pieces), markets, threshold, least)
+
+
+def oversum_of(changes: DataFrame, markets: DataFrame, threshold: int, least: int) -> DataFrame:
+    """``oversum_changes`` from the ``best_changes`` of bids, those of other books too."""
     named = markets.where(F.coalesce("event", F.lit("")) != "").select("event", "book").distinct()
     many = named.groupBy("event").agg(F.count("*").alias("n_markets"))
-    steps = best_changes(log, "bid", pieces).select("book", "seq", "item", (F.coalesce("best", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("total"), (F.col("best").isNotNull().cast("bigint") - F.col("before").isNotNull().cast("bigint")).alias("counted"))
+    steps = changes.select("book", "seq", "item", (F.coalesce("best", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("total"), (F.col("best").isNotNull().cast("bigint") - F.col("before").isNotNull().cast("bigint")).alias("counted"))
     each = steps.join(named, "book").groupBy("event", "seq", "item").agg(F.sum("total").alias("total"), F.sum("counted").alias("counted"))
     summed = running_sums(each, "event", ("seq", "item"), ("total", "counted")).join(many, "event")
     return summed.withColumn("is_oversum", (F.col("n_markets") >= least) & (F.col("counted") >= least) & (F.col("total") > threshold)).drop("n_markets")

@@ -209,3 +209,21 @@ def test_sets_give_what_the_replay_gives(spark, pieces):
     assert {r.outcome for r in want} >= {"cooling", "unseen", "oversum", "stale", "thin", "no_edge", "suspect", "time_value", "trade"}
     key = lambda r: (r.seq, r.item, r.pair, r.outcome, r.direction or "")
     assert [tuple(r) for r in sorted(got, key=key)] == [tuple(r) for r in sorted(want, key=key)]
+
+
+def test_sets_replay_the_log_once(spark, monkeypatch):
+    """Walks and best bids come from one replay of the books, and the same best bids as from their own."""
+    import random
+
+    from gridloom.streaming import by_sets
+
+    log, pairs = mixed_log(spark, random.Random(3), 60)
+    t, calls = Thresholds(), []
+    said = by_sets.quotes(log, t, 3).where("not best <=> before").select("book", "seq", "item", "best", "before")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, said.collect()), key=key) == sorted(map(tuple, books.best_changes(log, "bid", 3).collect()), key=key)
+    for module in (by_sets, books):
+        held = module.in_pieces
+        monkeypatch.setattr(module, "in_pieces", lambda *a, held=held: calls.append(1) or held(*a))
+    by_sets.replay(log, pairs, t, 3)
+    assert len(calls) == 1
