@@ -49,7 +49,7 @@ def test_plans(spark):
     assert "ReadSchema: struct<user_id" not in plan_of(engine.QUERIES["vwap"](spark, DATA))
 
 
-@pytest.mark.parametrize("name", ["scores_s1", "scores_s3", "scores_s4"])
+@pytest.mark.parametrize("name", ["scores_s1", "scores_s2", "scores_s3", "scores_s4"])
 def test_pairs_are_scored_where_events_are_dealt_to(spark, name):
     """Not in the tasks that read one small file, nor with digits looked for once a pair."""
     plan = plan_of(engine.QUERIES[name](spark, DATA))
